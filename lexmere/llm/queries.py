@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lexmere.llm import exact_dedup, url_filter, warc
+from lexmere.llm import exact_dedup, language_id, simhash, url_filter, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op9_simhash": simhash.op9_simhash,
+    "op10_language_id": language_id.op10_language_id,
 }
 ORACLE_SQL = {
     "op1_warc_revisits": warc.OP1_SQL,
