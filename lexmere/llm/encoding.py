@@ -17,7 +17,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Pieces (between spaces) and parts of pieces that a worker remembers; beyond, it starts afresh.
-PIECES, PARTS = 400_000, 1_000_000
+MEMORY = 1_200_000
 #: Longer pieces are encoded each time that they occur in a batch.
 LONGEST = 48
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -35,23 +35,20 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = spaced
-        self.pieces: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary doesn't fit 16 bits")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
         cut = [self._cut(t or "") for t in texts]
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        known = self.pieces
-        new = [x for x in set().union(*cut) if x not in known]
-        self._learn(new)
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        known = self.known
+        long = self._learn([x for x in set().union(*cut) if x not in known])
         out = [b"".join(map(known.__getitem__, p)) for p in cut]
-        for x in new:
-            if len(x) > LONGEST:
-                del known[x]
+        for x in long:
+            del known[x]
         return out
 
     def _cut(self, text: str) -> list[str]:
@@ -62,24 +59,23 @@ class Encoder:
         head, *rest = text.split(" ")
         return [head, *[" " + x for x in rest]]
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.parts) > PARTS:
-            self.parts.clear()
-        split = [CUTS.split(p) if len(p) <= LONGEST and "<|" not in p else [p] for p in pieces]
-        new = [x for x in set().union(*split) if x not in self.parts]
-        words = [x for x in new if len(x) <= LONGEST and WORD.fullmatch(x)]
+    def _learn(self, pieces: list[str]) -> list[str]:
+        """Adds pieces to those known; returns the long ones among them."""
+        known = self.known
+        cut = [(p, parts) for p in pieces if len(p) <= LONGEST and "<|" not in p and len(parts := CUTS.split(p)) > 1]
+        whole = set(pieces).difference(p for p, _ in cut)
+        whole.update(x for _, parts in cut for x in parts if x not in known)
+        words, others = [], []
+        for x in whole:
+            (words if len(x) <= LONGEST and WORD.fullmatch(x) else others).append(x)
         for k in range(0, len(words), 1000):
             part = words[k : k + 1000]
-            self.parts.update(zip(part, self._words(part), strict=True))
-        others = [x for x in new if x not in self.parts]
+            known.update(zip(part, self._words(part), strict=True))
         for k in range(0, len(others), 5000):
             part = others[k : k + 5000]
-            self.parts.update(zip(part, self._each(part), strict=True))
-        parts = self.parts
-        self.pieces.update((p, b"".join(map(parts.__getitem__, s))) for p, s in zip(pieces, split, strict=True))
-        for x in others:
-            if len(x) > LONGEST:
-                del parts[x]
+            known.update(zip(part, self._each(part), strict=True))
+        known.update((p, b"".join([known[x] for x in parts])) for p, parts in cut)
+        return [x for x in others if len(x) > LONGEST]
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
