@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmere.llm import exact_dedup, id_store, language_id, packing, simhash, url_filter, warc
+from lexmere.llm import cross_polytope, exact_dedup, id_store, language_id, packing, simhash, url_filter, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_id_store": id_store.op6_id_store,
     "op7_best_two_fit": packing.op7_best_two_fit,
+    "op8_cross_polytope": cross_polytope.op8_cross_polytope,
     "op9_simhash": simhash.op9_simhash,
     "op10_language_id": language_id.op10_language_id,
 }
