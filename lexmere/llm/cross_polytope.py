@@ -59,7 +59,7 @@ def buckets(y: np.ndarray) -> np.ndarray:
 
 def probed(y: np.ndarray, share: float) -> np.ndarray:
     """Which buckets each row probes: those of the signed axes nearest to it."""
-    near = np.stack([y, -y], axis=2).reshape(len(y), -1)
+    near = np.stack([y, -y], axis=2).reshape(len(y), 2 * y.shape[1])
     m = max(1, round(share * near.shape[1]))
     at = np.argpartition(-near, min(m, near.shape[1]) - 1, axis=1)[:, :m]
     out = np.zeros(near.shape, bool)
