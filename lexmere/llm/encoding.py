@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -23,6 +24,8 @@ LONGEST = 48
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 CUTS = re.compile(rf"(?<=[{LATIN}])(?=[.,;:!?|*#$%&\n])|(?<=\S\n)(?=[{LATIN}])")
 WORD = re.compile(rf" ?[{LATIN}]+")
+#: How a space looks to a byte-level model; ASCII letters look like themselves.
+SPACE = "Ġ"
 
 
 class Encoder:
@@ -53,7 +56,7 @@ class Encoder:
 
     def _cut(self, text: str) -> list[str]:
         if not self.spaced:
-            return text.split(" ")
+            return _folded(text).split(" ")
         if "  " in text or text.endswith(" "):  # spaces that merge with each other
             return [text]
         head, *rest = text.split(" ")
@@ -66,8 +69,15 @@ class Encoder:
         whole = set(pieces).difference(p for p, _ in cut)
         whole.update(x for _, parts in cut for x in parts if x not in known)
         words, others = [], []
+        merge, spaced = self.tokenizer.model.tokenize, self.spaced
         for x in whole:
-            (words if len(x) <= LONGEST and WORD.fullmatch(x) else others).append(x)
+            if len(x) > LONGEST or not WORD.fullmatch(x):
+                others.append(x)
+            elif x.isascii():  # a single unit that only the model's merges are left to apply to
+                unit = x.replace(" ", SPACE) if spaced else x.strip(" ").lower()
+                known[x] = array("H", [t.id for t in merge(unit)]).tobytes()
+            else:
+                words.append(x)
         for k in range(0, len(words), 1000):
             part = words[k : k + 1000]
             known.update(zip(part, self._words(part), strict=True))
@@ -93,6 +103,15 @@ class Encoder:
         return [raw[2 * i : 2 * j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def _folded(text: str) -> str:
+    """Lower-cased where that can't change the ids: the vocabulary folds case itself, and Latin-1 letters one by one."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 @functools.cache
 def word_encoder(path: str | None = None) -> Encoder:
     return Encoder(path or public_tokenizers.path("word_bpe_49k.json"), spaced=False)
