@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,11 +36,11 @@ SPAN, LEAST, MEAN, MOST = 16, 64, 256, 1024
 POLYNOMIAL = 0xEDB88320
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def cuts(ids: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each document (of sizes[k] ids, one after the other), counted from its start.
+
+    A chunk has LEAST ids at least, so that the ids of a document before never decide a cut.
+    """
     h = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
     step = 1
     while step < SPAN:  # h[i] = sum of the last SPAN ids' values, each shifted by its distance
@@ -47,16 +48,22 @@ def cuts(ids: np.ndarray) -> list[int]:
         more[step:] = h[:-step] << np.uint32(step)
         h = h + more
         step *= 2
-    out, last = [], 0
     marks = np.flatnonzero((h >> np.uint32(SPAN)) % np.uint32(MEAN) == 0) + 1
-    for e in [*marks.tolist(), n]:
-        while e - last > MOST:
-            last += MOST
-            out.append(last)
-        if e - last >= LEAST or e == n:
-            if e > last:
-                out.append(e)
-            last = e
+    ends = np.cumsum(sizes)
+    first = np.searchsorted(marks, ends - sizes, side="right").tolist()
+    last = np.searchsorted(marks, ends, side="left").tolist()
+    marks, out = marks.tolist(), []
+    for n, end, i, j in zip(sizes.tolist(), ends.tolist(), first, last, strict=True):
+        own, at, start = [], 0, end - n
+        for e in [*marks[i:j], end]:
+            e -= start
+            while e - at > MOST:
+                at += MOST
+                own.append(at)
+            if e > at and (e - at >= LEAST or e == n):
+                own.append(e)
+                at = e
+        out.append(own)
     return out
 
 
@@ -89,16 +96,17 @@ def _zeros(n_bytes: np.ndarray) -> np.ndarray:
     return out
 
 
-def combine_crcs(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """CRC-32 of each document from its chunks' (CRCs, lengths in bytes)."""
-    sizes = np.array([len(c) for c, _ in parts], np.int64)
-    total = np.zeros(len(parts), np.uint32)
-    order = np.argsort(-sizes, kind="stable")
-    for j in range(int(sizes.max(initial=0))):
-        at = order[: int((sizes > j).sum())]
-        crc = np.array([parts[k][0][j] for k in at], np.uint32)
-        total[at] = _times(total[at], _zeros(np.array([parts[k][1][j] for k in at]))) ^ crc
-    return total
+def combine_crcs(crcs: np.ndarray, n_bytes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """CRC-32 of each document from those and the lengths of its chunks (sizes[k] of them, one document after the other):
+    each chunk's CRC counts times what the bytes after it in its document multiply it by."""
+    ends = np.cumsum(sizes)
+    done = np.concatenate(([0], np.cumsum(n_bytes)))
+    after = np.repeat(done[ends], sizes) - done[1:]
+    parts = _times(crcs.astype(np.uint32), _zeros(after))
+    out = np.zeros(len(sizes), np.uint32)
+    if len(parts):
+        out[sizes > 0] = np.bitwise_xor.reduceat(parts, (ends - sizes)[sizes > 0])
+    return out
 
 
 def write_store(docs: DataFrame, path: str, encoder: Callable[[], Encoder] = word_encoder, end_id: int = END_ID) -> None:
@@ -120,10 +128,11 @@ def write_store(docs: DataFrame, path: str, encoder: Callable[[], Encoder] = wor
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
                 source, out = [], []
-                for k, ids in enumerate(enc.encode(part.column(2).to_pylist())):
-                    raw = ids + last
+                raws = [ids + last for ids in enc.encode(part.column(2).to_pylist())]
+                sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // 2
+                for k, (raw, ends) in enumerate(zip(raws, cuts(np.frombuffer(b"".join(raws), "<u2"), sizes), strict=True)):
                     start = 0
-                    for p, end in enumerate(cuts(np.frombuffer(raw, "<u2"))):
+                    for p, end in enumerate(ends):
                         data = raw[2 * start : 2 * end]
                         h = hashlib.sha256(data).digest()
                         source.append(k)
@@ -213,11 +222,16 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ns = [np.array(x or [], np.int64) for x in b.column(5).to_pylist()]
-            for n, root, total, hashes in zip(ns, b.column(3).to_pylist(), b.column(2).to_pylist(), b.column(6).to_pylist(), strict=True):
-                if merkle_root(hashes or []) != root or n.sum() != total:
+            lists = b.column(5)
+            sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+            n = lists.flatten().to_numpy()
+            sums = np.add.reduceat(np.append(n, 0), np.cumsum(sizes) - sizes) * (sizes > 0)
+            if (sums != b.column(2).to_numpy()).any():
+                raise ValueError("a document's chunks don't have its length")
+            for root, hashes in zip(b.column(3).to_pylist(), b.column(6).to_pylist(), strict=True):
+                if merkle_root(hashes or []) != root:
                     raise ValueError("a document differs from its manifest")
-            crc = combine_crcs([(np.array(c, np.int64), n * 4) for c, n in zip(b.column(4).to_pylist(), ns, strict=True)])
+            crc = combine_crcs(b.column(4).flatten().to_numpy(), n * 4, sizes)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return each.mapInArrow(verify, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
