@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lexmere.llm import context_tree, cross_polytope, exact_dedup, id_store, language_id, packing, simhash, url_filter, warc
+from lexmere.llm import context_tree, cross_polytope, exact_dedup, id_store, language_id, mixing, packing, simhash, url_filter, warc
 
 QUERIES = {
     "op1_warc_revisits": warc.op1_warc_revisits,
+    "op2_mixing": mixing.op2_mixing,
     "op3_context_tree": context_tree.op3_context_tree,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,

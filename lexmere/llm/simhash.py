@@ -120,6 +120,20 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "links")
 
 
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of docs, with their columns, of one document for each component: that with the smallest doc_id (of
+    repeated rows with that doc_id one; where all are null, one of them)."""
+    groups = stage(near_groups(docs.select("doc_id", "text"), shingle, max_bits).select("doc_id", "component_id"), "groups")
+    other = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(other, docs["doc_id"].eqNullSafe(other["__gone"]), "left_anti")
+    again = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not again.isEmpty():
+        again = again.select(F.col("doc_id").alias("__again"))
+        twice = kept["doc_id"].eqNullSafe(again["__again"])
+        kept = kept.join(again, twice, "left_anti").unionByName(kept.join(again, twice, "left_semi").dropDuplicates(["doc_id"]))
+    return kept
+
+
 def op9_simhash(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_groups(docs)
