@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from lexmere.operators import filters, matching, statistics  # noqa: F401
+from lexmere.operators import filters, generation, matching, quality, ranking, retrieval, statistics, trees, versions  # noqa: F401
 from lexmere.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
