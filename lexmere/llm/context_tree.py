@@ -61,13 +61,25 @@ def spread(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed."""
+    planes = values.view(np.uint8).reshape(len(values), -1).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def numbers(raw: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(width, -1).T).view(kind).ravel()
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, which compress."""
-    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").tobytes()
+    """Sorted keys as differences."""
+    return squeeze(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))
 
 
 def unpack_keys(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, "<u8"), dtype=np.uint64)
+    return np.cumsum(numbers(raw, "<u8"), dtype=np.uint64)
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +255,7 @@ def asked(blocks: DataFrame, buckets: int) -> DataFrame:
             w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
             for kind, parts in (("gram", grams), ("word", [(w, np.fromiter(words.values(), np.int64, len(words)))])):
                 keys, n = merged(parts)
-                rows = [(kind, b, chunk, pack_keys(keys[at]), n[at].astype("<u4").tobytes()) for b, at in by_bucket(keys, buckets)]
+                rows = [(kind, b, chunk, pack_keys(keys[at]), squeeze(n[at].astype("<u4"))) for b, at in by_bucket(keys, buckets)]
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
@@ -298,18 +310,18 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def add_up(t: pa.Table) -> pa.Table:
         kind, bucket = t.column("kind")[0].as_py(), t.column("bucket")[0].as_py()
-        parts = [(unpack_keys(k), np.frombuffer(n, "<u4").astype(np.int64)) for k, n in zip(t.column("keys").to_pylist(), t.column("counts").to_pylist(), strict=True)]
+        parts = [(unpack_keys(k), numbers(n, "<u4").astype(np.int64)) for k, n in zip(t.column("keys").to_pylist(), t.column("counts").to_pylist(), strict=True)]
         keys, n = merged(parts)
         rows = []
         if kind == "word":
             rows.append(("total", bucket, b"", b"", int(n.sum()), int((n > 0).sum())))
             for chunk, (k, _) in zip(t.column("chunk").to_pylist(), parts, strict=True):
-                rows.append(("word", chunk, pack_keys(k), n[np.searchsorted(keys, k)].astype("<f8").tobytes(), 0, 0))
+                rows.append(("word", chunk, pack_keys(k), squeeze(n[np.searchsorted(keys, k)].astype("<f8")), 0, 0))
         else:
             of = spread(keys >> np.uint64(32), groups)
             order = np.argsort(of, kind="stable")
             for at in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
-                rows.append(("gram", int(of[at[0]]), pack_keys(keys[at]), n[at].astype("<f8").tobytes(), 0, 0))
+                rows.append(("gram", int(of[at[0]]), pack_keys(keys[at]), squeeze(n[at].astype("<f8")), 0, 0))
         types = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
         return pa.table({c: pa.array(v, x) for c, v, x in zip(("kind", "at", "keys", "numbers", "n", "v"), zip(*rows, strict=True), types, strict=True)})
 
@@ -317,7 +329,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     sums = stage(sums, "sums")
 
     def grams(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return merged([(unpack_keys(k), np.frombuffer(n, "<f8")) for k, n in zip(t.column("keys").to_pylist(), t.column("numbers").to_pylist(), strict=True)])
+        return merged([(unpack_keys(k), numbers(n, "<f8")) for k, n in zip(t.column("keys").to_pylist(), t.column("numbers").to_pylist(), strict=True)])
 
     def tops(t: pa.Table) -> pa.Table:
         x = levels(*grams(t))[0]
@@ -332,17 +344,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def solve(t: pa.Table) -> pa.Table:
         keys, n = grams(t)
         p = log10_probabilities(keys, n, above)
-        rows = [(b, pack_keys(keys[at]), p[at].astype("<f8").tobytes()) for b, at in by_bucket(keys, buckets)]
+        rows = [(b, pack_keys(keys[at]), squeeze(p[at].astype("<f8"))) for b, at in by_bucket(keys, buckets)]
         return pa.table({c: pa.array(v, x) for c, v, x in zip(("bucket", "keys", "p"), zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)})
 
     model = trees.groupBy("at").applyInArrow(solve, "bucket long, keys binary, p binary")
 
     def answer(asking: pa.Table, model: pa.Table) -> pa.Table:
-        parts = [(unpack_keys(k), np.frombuffer(p, "<f8")) for k, p in zip(model.column("keys").to_pylist(), model.column("p").to_pylist(), strict=True)]
+        parts = [(unpack_keys(k), numbers(p, "<f8")) for k, p in zip(model.column("keys").to_pylist(), model.column("p").to_pylist(), strict=True)]
         keys = np.concatenate([k for k, _ in parts] or [np.zeros(0, np.uint64)])
         order = np.argsort(keys)
         keys, p = keys[order], np.concatenate([p for _, p in parts] or [np.zeros(0)])[order]
-        found = [p[np.searchsorted(keys, unpack_keys(k))].astype("<f8").tobytes() for k in asking.column("keys").to_pylist()]
+        found = [squeeze(p[np.searchsorted(keys, unpack_keys(k))].astype("<f8")) for k in asking.column("keys").to_pylist()]
         return pa.table({"kind": pa.array(["gram"] * len(found), pa.string()), "at": asking.column("chunk"), "keys": asking.column("keys"), "numbers": pa.array(found, pa.binary())})
 
     asking = requests.where("kind = 'gram'").select("bucket", "chunk", "keys")
@@ -352,7 +364,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         tables = {}
         for kind in ("gram", "word"):
-            parts = [(unpack_keys(k), np.frombuffer(n, "<f8")) for c, k, n in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "numbers")), strict=True) if c == kind]
+            parts = [(unpack_keys(k), numbers(n, "<f8")) for c, k, n in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "numbers")), strict=True) if c == kind]
             keys, at = np.unique(np.concatenate([k for k, _ in parts] or [np.zeros(0, np.uint64)]), return_index=True)
             tables[kind] = keys, np.concatenate([n for _, n in parts] or [np.zeros(0)])[at]
         keys, p = tables["gram"]
