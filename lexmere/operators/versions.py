@@ -37,31 +37,43 @@ def text_edits(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series([word_edits(x or "", y or "") for x, y in zip(before, after, strict=True)])
 
 
-def apply_edits(nodes: DataFrame, edits: DataFrame) -> DataFrame:
+def apply_edits(nodes: DataFrame, edits: DataFrame, rows_each: int = 50_000) -> DataFrame:
     """nodes (law, id, text, place), edits (law, seq, op, target, text): the nodes after their law's edits in order.
 
     Operations: replace, delete, insert_after. A law with an edit whose target isn't there keeps all its nodes as they
     were and names the edit in error.
     """
 
-    def merge(rows: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["place", "id"])
-        law, start = rows["law"].iloc[0] if len(rows) else None, rows[["id", "text"]].values.tolist()
+    def merge_one(law: int, start: list[list[str]], todo: list[tuple]) -> list[tuple]:
         now, error = [list(r) for r in start], None
-        for e in todo.sort_values("seq").itertuples():
-            at = next((k for k, r in enumerate(now) if r[0] == e.target), None)
+        for seq, op, target, text in todo:
+            at = next((k for k, r in enumerate(now) if r[0] == target), None)
             if at is None:
-                now, error = start, f"edit {e.seq}: no {e.target}"
+                now, error = start, f"edit {seq}: no {target}"
                 break
-            if e.op == "replace":
-                now[at][1] = e.text
-            elif e.op == "delete":
+            if op == "replace":
+                now[at][1] = text
+            elif op == "delete":
                 now.pop(at)
             else:
-                now.insert(at + 1, [f"{e.target}+{e.seq}", e.text])
-        return pd.DataFrame([(law, i, text, k, error) for k, (i, text) in enumerate(now)], columns=["law", "id", "text", "place", "error"], dtype=object)
+                now.insert(at + 1, [f"{target}+{seq}", text])
+        return [(law, i, text, k, error) for k, (i, text) in enumerate(now)]
 
-    return nodes.groupBy("law").cogroup(edits.groupBy("law")).applyInPandas(merge, "law long, id string, text string, place long, error string")
+    def merge(rows: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
+        wanted: dict[int, list[tuple]] = {}
+        for law, *edit in todo.sort_values("seq")[["law", "seq", "op", "target", "text"]].itertuples(index=False):
+            wanted.setdefault(law, []).append(tuple(edit))
+        laws: dict[int, list[list[str]]] = {}
+        for law, i, text in rows.sort_values(["place", "id"])[["law", "id", "text"]].itertuples(index=False):
+            laws.setdefault(law, []).append([i, text])
+        out = [r for law, start in laws.items() for r in merge_one(law, start, wanted.get(law, []))]
+        return pd.DataFrame(out, columns=["law", "id", "text", "place", "error"], dtype=object)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64("law"), F.lit(buckets)))
+
+    buckets = max(8, -(-nodes.count() // rows_each))  # many laws share a task's call; none is split
+    return dealt(nodes).groupBy("bucket").cogroup(dealt(edits).groupBy("bucket")).applyInPandas(merge, "law long, id string, text string, place long, error string")
 
 
 def snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
