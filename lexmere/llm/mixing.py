@@ -103,28 +103,44 @@ def rates(rows: DataFrame, targets: list[float], rounds: int = ROUNDS, tolerance
     Targets are shares of as many tokens as let the domain with the largest share be taken once on average; scarcer
     domains may have rates above 1. Rates start from 1. Steps are scaled by the inverse of the domains' matrix
     sum(tokens * p * p'), in the metric in which a document weighs by its tokens: without the bound at 0, one step
-    meets the targets.
+    meets the targets. A step uses the matrix over the rows that are still above 0; where that doesn't bring the sums
+    nearer, it uses the whole one, for which each step does.
     """
     k = len(targets)
     n, p = F.col("__tokens"), [F.col("__p")[i] for i in range(k)]
-    first = rows.agg(*[F.sum(n * p[i]) for i in range(k)], *[F.sum(n * p[i] * p[j]) for i in range(k) for j in range(k)]).first()
-    first = [x or 0.0 for x in first]
-    supply, matrix = first[:k], [first[k + i * k : k + (i + 1) * k] for i in range(k)]
-    m = inverse(matrix)
+
+    def measure(rate: Column) -> tuple[list[float], list[list[float]]]:
+        """Expected tokens of each domain, and the domains' matrix over the rows whose rate is above 0."""
+        live = n * (rate > 0).cast("double")
+        sums = rows.agg(*[F.sum(n * p[i] * rate) for i in range(k)], *[F.sum(live * p[i] * p[j]) for i in range(k) for j in range(k)]).first()
+        sums = [x or 0.0 for x in sums]
+        return sums[:k], [sums[k + i * k : 2 * k + i * k] for i in range(k)]
+
+    rate = F.lit(1.0)
+    supply, matrix = have, live = measure(rate)
+    metric = inverse(matrix)
     main = max(range(k), key=lambda i: targets[i])
-    budget = supply[main] / targets[main]
-    wanted = [w * budget for w in targets]
-    rate, have = F.lit(1.0), supply
-    last = math.inf
-    for _ in range(rounds):
+    wanted = [w * supply[main] / targets[main] for w in targets]
+
+    def off_by(have: list[float]) -> float:
         off = [h - w for h, w in zip(have, wanted, strict=True)]
-        size = math.sqrt(sum(o * m[i][j] * off[j] for i, o in enumerate(off) for j in range(k)) / max(sum(supply), 1.0))
-        if size <= tolerance or last - size <= tolerance * 0.01:
+        return math.sqrt(max(0.0, sum(off[i] * metric[i][j] * off[j] for i in range(k) for j in range(k))) / max(sum(supply), 1.0))
+
+    for _ in range(rounds):
+        size = off_by(have)
+        if size <= tolerance:
+            break
+        for m in (inverse(live), metric):  # the rows that can still give way alone; if that overshoots, all
+            g = [sum(m[i][j] * (have[j] - wanted[j]) for j in range(k)) for i in range(k)]
+            step = F.greatest(F.lit(0.0), rate - sum((p[i] * g[i] for i in range(k)), F.lit(0.0)))
+            then, after = measure(step)
+            if off_by(then) < size:
+                break
+        else:
+            break
+        rate, have, live = step, then, after
+        if size - off_by(have) <= tolerance * 0.01:
             break
-        last = size
-        g = [sum(m[i][j] * off[j] for j in range(k)) for i in range(k)]
-        rate = F.greatest(F.lit(0.0), rate - sum((p[i] * g[i] for i in range(k)), F.lit(0.0)))
-        have = [x or 0.0 for x in rows.agg(*[F.sum(n * p[i] * rate) for i in range(k)]).first()]
     return rate
 
 
