@@ -5,6 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,21 +60,22 @@ def apply_edits(nodes: DataFrame, edits: DataFrame, rows_each: int = 50_000) ->
                 now.insert(at + 1, [f"{target}+{seq}", text])
         return [(law, i, text, k, error) for k, (i, text) in enumerate(now)]
 
-    def merge(rows: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
+    def merge(rows: pa.Table, todo: pa.Table) -> pa.Table:
         wanted: dict[int, list[tuple]] = {}
-        for law, *edit in todo.sort_values("seq")[["law", "seq", "op", "target", "text"]].itertuples(index=False):
-            wanted.setdefault(law, []).append(tuple(edit))
+        for e in todo.sort_by("seq").to_pylist():
+            wanted.setdefault(e["law"], []).append((e["seq"], e["op"], e["target"], e["text"]))
         laws: dict[int, list[list[str]]] = {}
-        for law, i, text in rows.sort_values(["place", "id"])[["law", "id", "text"]].itertuples(index=False):
-            laws.setdefault(law, []).append([i, text])
+        for r in rows.sort_by([("place", "ascending"), ("id", "ascending")]).to_pylist():
+            laws.setdefault(r["law"], []).append([r["id"], r["text"]])
         out = [r for law, start in laws.items() for r in merge_one(law, start, wanted.get(law, []))]
-        return pd.DataFrame(out, columns=["law", "id", "text", "place", "error"], dtype=object)
+        names, types = ("law", "id", "text", "place", "error"), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(names, types, strict=True))})
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.xxhash64("law"), F.lit(buckets)))
 
     buckets = max(8, -(-nodes.count() // rows_each))  # many laws share a task's call; none is split
-    return dealt(nodes).groupBy("bucket").cogroup(dealt(edits).groupBy("bucket")).applyInPandas(merge, "law long, id string, text string, place long, error string")
+    return dealt(nodes).groupBy("bucket").cogroup(dealt(edits).groupBy("bucket")).applyInArrow(merge, "law long, id string, text string, place long, error string")
 
 
 def snapshots(t: Tables) -> tuple[DataFrame, DataFrame]:
