@@ -23,8 +23,10 @@ TARGETS = {"clean": 0.95, "junk": 0.03, "toxic": 0.02}
 BUCKETS = 1 << 14
 #: Labelled rows (about) that the classifier is fitted on.
 SAMPLE = 20_000
-#: Documents' worth of the pooled rate that a word's rate in a domain is drawn towards.
+#: Documents' worth of the pooled rate that a feature's rate in a domain is drawn towards.
 SHRINK = 40.0
+#: A feature counts if its rate in some domain is so many times the pooled rate, over so many documents at least.
+TELLING, SEEN = 3.0, 20
 ROUNDS, TOLERANCE = 40, 1e-4
 
 
@@ -40,28 +42,51 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def features(text: Column) -> Column:
+    """Buckets of a text's distinct words and word shapes (runs of small letters, capitals and digits as one sign each)."""
+    shape = F.coalesce(text, F.lit(""))
+    for run, sign in ((r"[a-zà-öø-ÿ]+", "a"), (r"[A-ZÀ-ÖØ-Þ]+", "A"), (r"[0-9]+", "0")):
+        shape = F.regexp_replace(shape, run, sign)
+    shapes = F.transform(F.array_distinct(words(shape)), lambda w: F.concat(F.lit("\x01"), w))
+    return F.transform(F.concat(F.array_distinct(words(text)), shapes), bucket)
+
+
 def bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int = SAMPLE) -> tuple[list[float], list[list[float]]]:
-    """Log priors, and for each domain a weight for each bucket: the log of a word's rate among its documents over the
-    pooled rate. The sample is every labelled row whose hash falls below the share that makes about ``sample`` rows."""
+    """Bernoulli naive Bayes: for each domain the log of its prior and of having no feature, and each bucket's log odds.
+
+    Only telling features count, those well over-represented in some domain: common words would otherwise add up over
+    a long text to more than they know. The sample is every labelled row whose hash falls below the share that makes
+    about ``sample`` rows.
+    """
     n = labels.count()
     u = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     some = labels.where(u < min(1.0, sample / max(n, 1)))
-    train = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("domain", F.array_distinct(words(F.col("text"))).alias("w"))
+    train = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("domain", F.array_distinct(features(F.col("text"))).alias("b"))
+    train = stage(train, "training")
     sizes = {r[0]: r[1] for r in train.groupBy("domain").count().collect()}
-    rows = train.select("domain", F.explode("w").alias("w")).groupBy("domain", bucket(F.col("w")).alias("b")).count().collect()
+    rows = train.select("domain", F.explode("b").alias("b")).groupBy("domain", "b").count().collect()
     held = {d: [0.0] * BUCKETS for d in domains}
     for domain, b, count in rows:  # a row for each domain and bucket at most
         if domain in held:
             held[domain][b] = count
     total = sum(sizes.get(d, 0) for d in domains)
-    pooled = [sum(held[d][b] for d in domains) / max(total, 1) for b in range(BUCKETS)]
-    weights = [[math.log((held[d][b] / p + SHRINK) / (sizes.get(d, 0) + SHRINK)) if (p := pooled[b]) else 0.0 for b in range(BUCKETS)] for d in domains]
-    priors = [math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains]
-    return priors, weights
+    start = [math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains]
+    weights = [[0.0] * BUCKETS for _ in domains]
+    for b in range(BUCKETS):
+        seen = sum(held[d][b] for d in domains)
+        pooled = seen / max(total, 1)
+        if seen < SEEN:
+            continue
+        rates = [min(1 - 1e-6, (held[d][b] + SHRINK * pooled) / (sizes.get(d, 0) + SHRINK)) for d in domains]
+        if max(rates) >= TELLING * pooled:
+            for k, r in enumerate(rates):
+                start[k] += math.log(1 - r)
+                weights[k][b] = math.log(r / (1 - r))
+    return start, weights
 
 
 def _summed(buckets: Column, start: float, weights: Column) -> Column:
@@ -74,7 +99,7 @@ def posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]], te
     # The weights travel as one constant each: a literal that the optimizer folds to an array.
     arrays = [F.split(F.lit(",".join(f"{w:.5g}" for w in ws)), ",").cast("array<double>") for ws in weights]
     rows = docs.withColumn("__w", words(F.col(text_col))).withColumn("__tokens", F.size("__w").cast("double"))
-    rows = rows.withColumn("__b", F.transform(F.array_distinct("__w"), bucket)).drop("__w")
+    rows = rows.withColumn("__b", F.array_distinct(features(F.col(text_col)))).drop("__w")
     logs = [_summed(F.col("__b"), prior, a) for prior, a in zip(priors, arrays, strict=True)]
     rows = rows.withColumn("__l", F.array(*logs)).drop("__b")
     rows = rows.withColumn("__e", F.transform("__l", lambda x: F.exp(x - F.array_max("__l")))).drop("__l")

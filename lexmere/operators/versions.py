@@ -72,7 +72,7 @@ def apply_edits(nodes: DataFrame, edits: DataFrame, rows_each: int = 50_000) ->
         return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(names, types, strict=True))})
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64("law"), F.lit(buckets)))
+        return df.toDF(*df.columns).withColumn("bucket", F.pmod(F.xxhash64("law"), F.lit(buckets)))  # both sides may come from one table
 
     buckets = max(8, -(-nodes.count() // rows_each))  # many laws share a task's call; none is split
     return dealt(nodes).groupBy("bucket").cogroup(dealt(edits).groupBy("bucket")).applyInArrow(merge, "law long, id string, text string, place long, error string")

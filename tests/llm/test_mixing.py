@@ -14,11 +14,11 @@ from .conftest import ROWS
 DOMAINS = ["clean", "junk", "toxic"]
 
 
-def made(spark, n=400):
+def made(spark, n=900):
     rng = random.Random(8)
     docs, labels = [], []
     for i in range(n):
-        kind = rng.choices(DOMAINS, [6, 3, 1])[0]
+        kind = rng.choices(DOMAINS, [7, 2, 1])[0]
         own = {"clean": "law court text", "junk": "### $$$ ||| buy", "toxic": "idiot trash stupid"}[kind].split()
         docs.append((i, " ".join(rng.choices(own + ["the", "of", "and", "to"], k=rng.randint(1, 40)))))
         if rng.random() < 0.5:
@@ -54,23 +54,42 @@ def test_rates_against_brute_force(spark):
         assert all(math.floor(r.rate) <= r.copies <= math.floor(r.rate) + 1 for r in rows)
 
 
+def shape(word):
+    out = ""
+    for c in word:
+        sign = "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else c
+        if sign not in "aA0" or out[-1:] != sign:
+            out += sign
+    return "\x01" + out
+
+
 def test_posteriors_by_hand(spark):
     docs, labels, d, lab = made(spark)
-    priors, weights = mixing.fit(d, mixing.label_domain(lab), DOMAINS)
+    start, weights = mixing.fit(d, mixing.label_domain(lab), DOMAINS)
     of = {i: "toxic" if t else "clean" if q else "junk" for i, q, t in labels if i is not None and q is not None}
-    texts = dict(docs)
-    sizes = Counter(of[i] for i in of if i in texts)
-    assert np.allclose(priors, [math.log((sizes[k] + 1) / (sum(sizes.values()) + 3)) for k in DOMAINS])
-    holds = {k: Counter(w for i, x in of.items() if x == k and i in texts for w in set(texts[i].split())) for k in DOMAINS}
-    bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in set().union(*holds.values())], "w string").select("w", mixing.bucket(mixing.F.col("w")).alias("b")).collect()}
+    texts = {i: set(t.split()) | {shape(w) for w in t.split()} for i, t in docs}
+    of = {i: x for i, x in of.items() if i in texts}
+    sizes, total = Counter(of.values()), len(of)
+    every = sorted(set().union(*texts.values()))
+    bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", mixing.bucket(mixing.F.col("w")).alias("b")).collect()}
     assert len(set(bucket.values())) == len(bucket)
+    want = [math.log((sizes[k] + 1) / (total + 3)) for k in DOMAINS]
+    telling = 0
     for w, b in bucket.items():
-        pooled = sum(holds[k][w] for k in DOMAINS) / sum(sizes.values())
-        for j, k in enumerate(DOMAINS):
-            assert weights[j][b] == pytest.approx(math.log((holds[k][w] / pooled + mixing.SHRINK) / (sizes[k] + mixing.SHRINK)))
-    row = mixing.posteriors(d.where("doc_id = 3"), (priors, weights)).first()
-    logs = np.array([priors[j] + sum(weights[j][bucket[w]] for w in set(texts[3].split()) if w in bucket) for j in range(3)])
-    assert np.allclose(row["__p"], np.exp(logs) / np.exp(logs).sum(), rtol=1e-3)
+        counts = [sum(w in texts[i] for i, x in of.items() if x == k) for k in DOMAINS]
+        pooled = sum(counts) / total
+        rates = [(c + mixing.SHRINK * pooled) / (sizes[k] + mixing.SHRINK) for c, k in zip(counts, DOMAINS, strict=True)]
+        if sum(counts) >= mixing.SEEN and max(rates) >= mixing.TELLING * pooled:
+            telling += 1
+            for j, r in enumerate(rates):
+                want[j] += math.log(1 - r)
+                assert weights[j][b] == pytest.approx(math.log(r / (1 - r)))
+        else:
+            assert all(weights[j][b] == 0 for j in range(3))
+    assert telling and np.allclose(start, want)
+    for row in mixing.posteriors(d.where("doc_id < 30"), (start, weights)).collect():
+        logs = np.array([start[j] + sum(weights[j][bucket[w]] for w in texts[row.doc_id]) for j in range(3)])
+        assert np.allclose(row["__p"], np.exp(logs) / np.exp(logs).sum(), rtol=1e-3)
 
 
 def test_odd_rows(spark, odd, no_rows):
