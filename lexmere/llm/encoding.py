@@ -18,7 +18,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 #: Pieces (between spaces) and parts of pieces that a worker remembers; beyond, it starts afresh.
-MEMORY = 1_200_000
+MEMORY = 800_000
 #: Longer pieces are encoded each time that they occur in a batch.
 LONGEST = 48
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
