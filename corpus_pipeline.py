@@ -23,8 +23,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the row with the smallest doc_id stays."""
-    return simhash.drop_near_copies(docs)
+    """Of each component of texts whose five-word shingles overlap by 0.8 or more the row with the smallest doc_id stays."""
+    return simhash.drop_overlapping(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

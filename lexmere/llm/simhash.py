@@ -7,6 +7,10 @@ one group then differs by 1 at most. Each group is a grid whose cells are its bi
 range join over the cell and its neighbours at distance 1, are filtered by the lower bound and verified exactly.
 
 Equal fingerprints are one row throughout, so that a group of copies costs as much as a single document.
+
+The pipeline's stage asks for more: pairs whose sets of five-word shingles overlap by 0.8 or more. Such pairs differ in
+about ten bits, a radius that no grid over 64 bits carries. So candidates come from the grid and from shingles that two
+documents share among their first fifth in one global order, which every such pair does, and each is checked exactly.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmere.llm.common import stage
@@ -27,28 +31,42 @@ SHINGLE = 3
 MAX_BITS = 3
 SEGMENTS = 16
 WIDTH = 64 // SEGMENTS
+#: The pipeline's stage: words of a shingle, and the overlap (shared over all shingles) as numerator and denominator.
+STAGE_SHINGLE = 5
+OVERLAP = (4, 5)
+#: Documents whose shingles are counted to find common ones, and how many of these are told to tasks.
+ORDER_DOCS, ORDER_SHINGLES = 8_000, 65_536
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Words are runs of non-space bytes after lower-casing A-Z; a bit is set if set in over half the shingles' XXH64
-    (repeats included). Fewer words than a shingle: the whole sequence; none: zero."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; of the whole sequence where it has fewer words; empty without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    h = np.array([digest(joined[i:j], SEED) for i, j in spans], np.uint64)
+    return np.array([digest(joined[i:j], SEED) for i, j in spans], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
         counts += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Words are runs of non-space bytes after lower-casing A-Z; a bit is set if set in over half the shingles' XXH64
+    (repeats included). Fewer words than a shingle: the whole sequence; none: zero."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint's 64 bits as a signed long."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -134,6 +152,127 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MA
     return kept
 
 
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, key, fp, node, shingles) of every row: key is a hash of the text, node one of the set of shingles."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, nodes, sets = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), []
+            for k, t in enumerate(b.column(2)):
+                h = shingle_hashes(t.as_py(), shingle)
+                sets.append(np.unique(h))
+                fps[k], nodes[k] = majority(h), xxhash.xxh64_intdigest(sets[-1].tobytes(), SEED)
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            columns = [b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "fp", "node", "shingles"])
+
+    return rows.mapInArrow(each, f"doc_id {dict(rows.dtypes)['doc_id']}, key long, fp long, node long, shingles array<long>")
+
+
+def first_shingles(rows: DataFrame) -> DataFrame:
+    """(node, shingle) for the first n - ceil(0.8 n) + 1 of each set's n shingles, rare ones first.
+
+    Two sets that overlap by 0.8 share one of these whatever the order is, as long as it is one for all sets. A sample
+    tells which shingles are common and come last; it decides how many sets meet, not which pairs are found.
+    """
+    sample = rows.where(F.pmod(F.xxhash64("node"), F.lit(max(rows.count() // ORDER_DOCS, 1))) == 0)
+    counts = sample.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    common = np.array([r.s for r in counts.orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).collect()], np.int64)
+    place = np.argsort(common)
+    known = common[place]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, flat = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
+            firsts = []
+            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                s, n = flat[i:j], j - i
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    hit = known[at] == s
+                    s = np.concatenate((s[~hit], s[hit][np.argsort(-place[at[hit]])]))
+                firsts.append(s[: n - -(-OVERLAP[0] * n // OVERLAP[1]) + 1])
+            many = [len(x) for x in firsts]
+            values = np.concatenate([np.zeros(0, np.int64), *firsts])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), many)), pa.array(values)], names=["node", "shingle"])
+
+    return rows.select("node", "shingles").mapInArrow(each, "node long, shingle long")
+
+
+def like_sizes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are of sizes (nodes: node, n) that an overlap of 0.8 allows."""
+    n = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"))
+    met = pairs.join(n("a"), "a").join(n("b"), "b")
+    return met.where(F.least("na", "nb") * OVERLAP[1] >= F.greatest("na", "nb") * OVERLAP[0]).select("a", "b")
+
+
+def overlapping(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets (node, shingles) overlap by 0.8 or more, counted exactly."""
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
+    shared, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    held = shared * sum(OVERLAP) >= both * OVERLAP[0]
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(held).select("a", "b")
+
+
+def overlap_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, key, component) of every row; documents link at an overlap of 0.8 or more, none is missed.
+
+    First each set meets those within max_bits and one other for each first shingle; then only sets of one first
+    shingle that are still in different components meet, so that a large group never makes all its pairs.
+    """
+    rows = stage(shingle_sets(docs, shingle), "sets")
+    nodes = stage(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.size("shingles")).alias("n")), "nodes")
+    lead = stage(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
+    near = near_pairs(lead.select(F.col("lead").alias("node"), "fp"), max_bits)
+    same = nodes.join(lead, "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    w = Window.partitionBy("shingle")
+    met = first_shingles(rows).select("node", "shingle", F.min("node").over(w).alias("lead"), F.max("node").over(w).alias("last"))
+    first = stage(met.where("lead <> last").drop("last"), "met")
+    star = first.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    pairs = stage(near.union(same).union(star).distinct().transform(like_sizes, nodes), "candidates")
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(first.select("node")).distinct()
+    sets = stage(rows.select("node", "shingles").join(named, "node", "left_semi").dropDuplicates(["node"]), "named")
+    links = stage(overlapping(pairs, sets), "overlaps")
+    part = stage(first.join(connected_components(links), "node", "left").select("shingle", "node", F.coalesce("component", "node").alias("c")), "parts")
+    mixed = part.groupBy("shingle").agg(F.min("c").alias("c"), F.max("c").alias("d")).where("c <> d").select("shingle")
+    part = stage(part.join(mixed, "shingle", "left_semi").distinct(), "mixed")
+    a, b = (part.select("shingle", *[F.col(c).alias(f"{c}{x}") for c in ("node", "c")]) for x in "ab")
+    rest = a.join(b, "shingle").where((F.col("nodea") < F.col("nodeb")) & (F.col("ca") != F.col("cb")))
+    rest = rest.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+    rest = stage(rest.transform(like_sizes, nodes), "rest")
+    comp = connected_components(stage(links.union(overlapping(rest, sets)), "all-overlaps"))
+    return rows.select("doc_id", "key", "node").join(comp, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("component"))
+
+
+def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs, with their columns, of one document for each component of groups (doc_id, key, component).
+
+    Rows are told by doc_id and text (key is its hash), so that null or repeated doc_ids of different texts don't touch
+    each other. The smallest doc_id stays, then the smallest key; null ones only where a component has no other. Of
+    repeated rows one stays.
+    """
+    groups = stage(groups, "groups")
+    best = groups.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("void"), "doc_id", "key")).alias("best"), F.count(F.lit(1)).alias("rows"))
+    met = groups.join(best.where("rows > 1"), "component")
+    met = met.select("doc_id", "key", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))).alias("stays"))
+    met = stage(met.groupBy("doc_id", "key").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("rows")), "met-rows")
+    met = met.select(F.col("doc_id").alias("__id"), F.col("key").alias("__met"), "stays", "rows")
+    d = docs.withColumn("__key", F.xxhash64("text"))
+    at = d["doc_id"].eqNullSafe(met["__id"]) & (d["__key"] == met["__met"])
+    kept = d.join(met.where("not stays"), at, "left_anti")
+    again = met.where("stays and rows > 1")
+    if not again.isEmpty():
+        kept = kept.join(again, at, "left_anti").unionByName(kept.join(again, at, "left_semi").dropDuplicates(["doc_id", "__key"]))
+    return kept.drop("__key")
+
+
+def drop_overlapping(docs: DataFrame, shingle: int = STAGE_SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One document for each component of texts whose five-word shingles overlap by 0.8 or more; see keep_one."""
+    return keep_one(docs, overlap_groups(docs.select("doc_id", "text"), shingle, max_bits))
+
+
 def op9_simhash(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_groups(docs)

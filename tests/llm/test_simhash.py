@@ -75,3 +75,54 @@ def test_chain_and_stage(spark, odd, no_rows):
     nodes = [(r[0], simhash.fingerprint(r[1])) for r in ROWS]
     assert kept.count() == len(set(components(nodes)))
     assert simhash.near_groups(no_rows).count() == 0 and simhash.drop_near_copies(no_rows).count() == 0
+
+
+def shingles(text, n=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(len(words) - n, 0) + 1)} if words else set()
+
+
+def overlap_components(texts):
+    """The component of each text, linked where 0.8 or more of all five-word shingles are shared; by brute force."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    return [find(k) for k in range(len(texts))]
+
+
+def planted(rng, groups=25):
+    """Texts with copies at overlaps from about 0.65 to 1, and a passage that all of them share."""
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage, texts = [word() for _ in range(40)], []
+    for _ in range(groups):
+        base = [word() for _ in range(rng.randint(60, 250))] + passage
+        texts.append(base)
+        for _ in range(4):
+            copy = list(base)
+            for k in rng.sample(range(len(base)), max(1, len(base) * rng.randint(1, 8) // 200)):
+                copy[k] = word()
+            texts.append(copy)
+    return [" ".join(t) for t in texts] + ["a b", "A  b", "", " ", None]
+
+
+def test_stage_drops_overlaps_of_eight_tenths(spark):
+    import corpus_pipeline
+
+    texts = planted(random.Random(5))
+    want = {}
+    for i, c in enumerate(overlap_components(texts)):
+        want.setdefault(c, i)
+    sets = [shingles(t) for t in texts]
+    pairs = [len(a & b) / len(a | b) for k, a in enumerate(sets) for b in sets[:k] if a | b]
+    assert sum(0.8 <= x < 0.95 for x in pairs) > 20 and sum(0.65 < x < 0.8 for x in pairs) > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(got) == sorted(want.values())
