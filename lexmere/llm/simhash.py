@@ -125,6 +125,12 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     ignored.
     """
     rows = stage(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    of = classes(rows, max_bits)
+    return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "links")
+
+
+def classes(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, component, component_id, links) of each fingerprint in rows (doc_id, fp); component is a fingerprint."""
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     nodes = stage(nodes.select("fp", F.col("fp").alias("node"), "least"), "nodes")
     pairs = stage(near_pairs(nodes.select("node", "fp"), max_bits), "pairs")
@@ -132,24 +138,16 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     degree = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     linked = stage(nodes.join(comp, "node").join(degree, "node"), "linked")
     best = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = linked.join(best, "component").select("fp", "component_id", "links")
-    alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"), F.lit(0).cast("long").alias("links"))
-    of = stage(linked.union(alone), "classes")
-    return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "links")
+    linked = linked.join(best, "component").select("fp", "component", "component_id", "links")
+    alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("component"), F.col("least").alias("component_id"), F.lit(0).cast("long").alias("links"))
+    return stage(linked.union(alone), "classes")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of docs, with their columns, of one document for each component: that with the smallest doc_id (of
-    repeated rows with that doc_id one; where all are null, one of them)."""
-    groups = stage(near_groups(docs.select("doc_id", "text"), shingle, max_bits).select("doc_id", "component_id"), "groups")
-    other = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(other, docs["doc_id"].eqNullSafe(other["__gone"]), "left_anti")
-    again = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not again.isEmpty():
-        again = again.select(F.col("doc_id").alias("__again"))
-        twice = kept["doc_id"].eqNullSafe(again["__again"])
-        kept = kept.join(again, twice, "left_anti").unionByName(kept.join(again, twice, "left_semi").dropDuplicates(["doc_id"]))
-    return kept
+    """One document for each component of near_groups; see keep_one."""
+    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("row"), "text")
+    rows = stage(fingerprints(rows, shingle, "row"), "fingerprints")
+    return keep_one(docs, rows.join(classes(rows, max_bits), "fp").select("doc_id.doc_id", "doc_id.key", "component"))
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:

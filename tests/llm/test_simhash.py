@@ -126,3 +126,14 @@ def test_stage_drops_overlaps_of_eight_tenths(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert sorted(got) == sorted(want.values())
+
+
+def test_null_and_shared_ids(spark):
+    """Null ids on different texts, one id on two texts, repeated rows: each component keeps exactly one row."""
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(9000)}" for _ in range(80)) for _ in range(5))
+    rows = [(None, a), (1, a), (None, b), (None, c), (None, c), (2, d), (2, e), (3, d), (3, e)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted([(1, a), (None, b), (None, c), (2, d), (2, e)], key=str)
+    assert sorted((tuple(r) for r in simhash.drop_near_copies(docs).collect()), key=str) == want
+    assert sorted((tuple(r) for r in simhash.drop_overlapping(docs).collect()), key=str) == want
