@@ -56,22 +56,36 @@ def document_chunks(t: Tables) -> DataFrame:
     return chunks(t.documents.select("doc_id", F.concat("lang", F.lit(" - section "), "source").alias("title"), "text"))
 
 
+def quote_verdicts(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """How well each quote (item_id, text) stands in the documents (doc_id, text).
+
+    A quote's words between its first and last are whole words wherever it stands. Quotes and documents meet over the
+    hashes of up to six of these, then the whole quote decides; quotes without such a word meet all documents.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)).alias("w")
+    asked = quotes.select("item_id", F.col("text").alias("quote"), words("text"))
+    asked = asked.select("item_id", "quote", "w", F.least(F.size("w") - 2, F.lit(6)).alias("k"))
+    keyed = asked.where("k > 0").select("item_id", "k", F.xxhash64(F.slice("w", 2, F.col("k"))).alias("key"))
+    lengths = [r.k for r in keyed.select("k").distinct().collect()]  # six at most
+    exact, loose = F.contains("text", F.col("quote")), F.contains(F.lower("text"), F.lower("quote"))
+    short = F.broadcast(asked.where("k <= 0").select("item_id", "quote"))
+    found = docs.select("text").join(short, exact | loose).select("item_id", "text", "quote")
+    if lengths:
+        window = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, k)))
+        runs = F.explode(F.array_distinct(F.flatten(F.array(*[window(k) for k in lengths])))).alias("key")
+        met = docs.select("doc_id", words("text")).select("doc_id", runs).join(keyed.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+        met = met.join(docs.select("doc_id", "text"), "doc_id").join(asked.select("item_id", "quote"), "item_id")
+        found = found.unionByName(met.select("item_id", "text", "quote"))
+    found = found.groupBy("item_id").agg(F.bool_or(exact).alias("exact"), F.bool_or(loose).alias("loose"))
+    verdict = F.when(F.col("exact"), "exact").when(F.col("loose"), "typography").otherwise("missing")
+    return quotes.select("item_id").join(found, "item_id", "left").select("item_id", verdict.alias("verdict"))
+
+
 @query("""
 SELECT b.item_id, CASE WHEN exact > 0 THEN 'exact' WHEN loose > 0 THEN 'typography' ELSE 'missing' END AS verdict FROM benchmark b LEFT JOIN (
   SELECT item_id, count(*) FILTER (contains(d.text, b.text)) AS exact, count(*) FILTER (contains(lower(d.text), lower(b.text))) AS loose FROM benchmark b, documents d GROUP BY 1) USING (item_id)""")
 def quote_ladder(t: Tables) -> DataFrame:
-    """How well each quote stands in the documents. Quotes and documents meet over the hashes of quotes' first six words,
-    then the whole quote decides."""
-    first = r"[^\x20\x09-\x0D]+"
-    quotes = t.benchmark.select("item_id", F.col("text").alias("quote"), F.regexp_extract_all(F.lower("text"), F.lit(f"({first})"), F.lit(1)).alias("w"))
-    quotes = quotes.select("item_id", "quote", F.xxhash64(F.slice("w", 2, 6)).alias("key"))
-    words = t.documents.select("doc_id", "text", F.regexp_extract_all(F.lower("text"), F.lit(f"({first})"), F.lit(1)).alias("w"))
-    runs = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 5, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 6))))).alias("key")
-    met = words.select("doc_id", runs).join(quotes.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    met = met.join(t.documents.select("doc_id", "text"), "doc_id").join(quotes.select("item_id", "quote"), "item_id")
-    found = met.groupBy("item_id").agg(F.bool_or(F.contains("text", F.col("quote"))).alias("exact"), F.bool_or(F.contains(F.lower("text"), F.lower("quote"))).alias("loose"))
-    verdict = F.when(F.col("exact"), "exact").when(F.col("loose"), "typography").otherwise("missing")
-    return t.benchmark.select("item_id").join(found, "item_id", "left").select("item_id", verdict.alias("verdict"))
+    return quote_verdicts(t.benchmark, t.documents)
 
 
 @query("""
