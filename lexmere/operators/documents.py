@@ -36,6 +36,12 @@ def chunks(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
     return docs.select("doc_id", F.col("title").alias("prefix"), parts).select("doc_id", "prefix", "c.chunk_index", "c.body")
 
 
+def order_notes(orders: DataFrame) -> DataFrame:
+    k = F.col("o_orderkey")
+    note = F.concat(F.lit("amended: [1939], X"), (k % 3).cast("string"), F.lit(", Y-"), (k % 5).cast("string"), F.lit(", ?!|other=1"))
+    return amendment_tokens(orders.select(k.alias("id"), note.alias("note")))
+
+
 @query("""
 WITH n AS (SELECT o_orderkey AS id, 'amended: [1939], X' || (o_orderkey % 3) || ', Y-' || (o_orderkey % 5) || ', ?!' || '|other=1' AS note FROM orders WHERE o_orderkey % 10 = 0)
 SELECT id, 0 AS place, '[1939]' AS raw, '1939' AS year, NULL::INT AS ordinal, true AS is_legacy, false AS is_unparsed FROM n
@@ -43,9 +49,18 @@ UNION ALL SELECT id, 1, 'X' || (id % 3), 'X' || (id % 3), NULL, false, false FRO
 UNION ALL SELECT id, 2, 'Y-' || (id % 5), 'Y', (id % 5)::INT, false, false FROM n
 UNION ALL SELECT id, 3, '?!', NULL, NULL, false, true FROM n""")
 def amendment_notes(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey")
-    note = F.concat(F.lit("amended: [1939], X"), (k % 3).cast("string"), F.lit(", Y-"), (k % 5).cast("string"), F.lit(", ?!|other=1"))
-    return amendment_tokens(t.orders.where(k % 10 == 0).select(k.alias("id"), note.alias("note")))
+    """The part of amendment_notes_all that its SQL asks for."""
+    return order_notes(t.orders.where(F.col("o_orderkey") % 10 == 0))
+
+
+@query("""
+WITH n AS (SELECT o_orderkey AS id, 'amended: [1939], X' || (o_orderkey % 3) || ', Y-' || (o_orderkey % 5) || ', ?!' || '|other=1' AS note FROM orders)
+SELECT id, 0 AS place, '[1939]' AS raw, '1939' AS year, NULL::INT AS ordinal, true AS is_legacy, false AS is_unparsed FROM n
+UNION ALL SELECT id, 1, 'X' || (id % 3), 'X' || (id % 3), NULL, false, false FROM n
+UNION ALL SELECT id, 2, 'Y-' || (id % 5), 'Y', (id % 5)::INT, false, false FROM n
+UNION ALL SELECT id, 3, '?!', NULL, NULL, false, true FROM n""")
+def amendment_notes_all(t: Tables) -> DataFrame:
+    return order_notes(t.orders)
 
 
 @query("""

@@ -146,11 +146,22 @@ def legal_order(t: Tables) -> DataFrame:
     return legal_order_all(t).where("place <= 200")
 
 
+def labels_after(parts: DataFrame) -> DataFrame:
+    label = F.col("p_size").cast("string")
+    none = F.array().cast("array<string>")
+    return parts.select("p_partkey", next_inserted(label, none).alias("inserted"), next_appended(label).alias("appended"), next_inserted(F.concat(label, F.lit("ב")), none).alias("after_letters"))
+
+
 @query("""
 SELECT p_partkey, p_size::VARCHAR || 'א' AS inserted, (p_size + 1)::VARCHAR AS appended,
        p_size::VARCHAR || 'ב' || '1' AS after_letters FROM part WHERE p_size < 10""")
 def next_labels(t: Tables) -> DataFrame:
-    label = F.col("p_size").cast("string")
-    none = F.array().cast("array<string>")
-    rows = t.part.where("p_size < 10")
-    return rows.select("p_partkey", next_inserted(label, none).alias("inserted"), next_appended(label).alias("appended"), next_inserted(F.concat(label, F.lit("ב")), none).alias("after_letters"))
+    """The part of next_labels_all that its SQL asks for."""
+    return labels_after(t.part.where("p_size < 10"))
+
+
+@query("""
+SELECT p_partkey, p_size::VARCHAR || 'א' AS inserted, (p_size + 1)::VARCHAR AS appended,
+       p_size::VARCHAR || 'ב' || '1' AS after_letters FROM part""")
+def next_labels_all(t: Tables) -> DataFrame:
+    return labels_after(t.part)

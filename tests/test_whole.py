@@ -14,3 +14,9 @@ def test_every_label_has_a_place(spark):
     assert sorted(r.place for r in rows) == list(range(1, len(rows) + 1))
     few = spark.createDataFrame([(5, 1), (3, 2), (3, 1)], "a int, b int")
     assert sorted(map(tuple, numbered(few, ["a", "b"]).collect())) == [(3, 1, 1), (3, 2, 2), (5, 1, 3)]
+
+
+def test_every_order_and_label(spark):
+    count = lambda name: spark.read.parquet(f"{SF_DIR}/{name}.parquet").count()
+    assert QUERIES["amendment_notes_all"](spark, SF_DIR).count() == 4 * count("orders")
+    assert QUERIES["next_labels_all"](spark, SF_DIR).count() == count("part")
