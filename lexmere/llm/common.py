@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Words of 64 bits in the bitmap of a set of keys: 2 MB of bits, told to every task.
+WORDS = 1 << 18
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -21,14 +23,15 @@ def ascii_lower(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one that the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is absent (tests, notebooks) a local folder takes its place.
-    """
+    """A fresh folder below the one that the cluster names in spark.checkpoint.dir, or that the session has as its
+    checkpoint folder. A session without either, as in tests, gets one of its own if it has no executors apart; else an
+    error is raised."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
+    if not base and spark.sparkContext.master.startswith("local"):
         base = tempfile.mkdtemp(prefix="lexmere-")
         spark.sparkContext.setCheckpointDir(base)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/lexmere-{name}-{uuid.uuid4().hex}"
 
 
@@ -37,3 +40,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def split_by_keys(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Splits rows into (surely not, perhaps) among keys (column h, long; of a hash): by a bitmap of fixed size.
+
+    Neither part is shuffled, so that only the second, a small one unless the keys fill the bitmap, has to meet the keys
+    themselves. Null keys count as perhaps.
+    """
+    bits = keys.select(F.pmod(F.col("h"), F.lit(WORDS)).alias("__word"), F.expr("shiftleft(1L, cast(pmod(shiftright(h, 40), 64) as int))").alias("__bits"))
+    bits = F.broadcast(stage(bits.groupBy("__word").agg(F.bit_or("__bits").alias("__bits")), "bitmap"))
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    met = rows.withColumn("__h", key).join(bits, F.pmod(F.col("__h"), F.lit(WORDS)) == F.col("__word"), "left")
+    perhaps = F.col("__h").isNull() | (F.expr("getbit(coalesce(__bits, 0L), cast(pmod(shiftright(__h, 40), 64) as int))") == 1)
+    return met.where(~perhaps).select(*names), met.where(perhaps).select(*names)

@@ -1,21 +1,21 @@
 """Exact dedup by a tree-merge of sorted digest runs.
 
-Every row joins one of ``fan_in ** levels`` leaf runs. A run holds one entry for each digest: its best identifier,
-its number of rows and the extremes of a second fingerprint. In each round ``fan_in`` neighbouring runs exchange
-their entries and merge; rows of one digest shrink to one entry for each run, so that a digest that holds a third of
-all rows never weighs more than the number of runs. The root's entries then go down to the leaves again, and rows
-meet them in their own leaf. Only digests and identifiers move, never texts.
+Every row joins one of ``2 ** (bits * rounds)`` leaf runs. A run is sorted by digest and holds one entry for each: its best
+identifier, its number of rows and the extremes of a second fingerprint. Rounds follow a binomial tree, ``bits`` of its
+levels at a time: a run goes to the one whose number has the next bits cleared, where the runs that arrive are merged in
+sorted order and the entries of one digest, one a run, are verified and become one. A digest that holds a third of all
+rows so never weighs more than the number of runs. The root's entries then go down to the leaves again, and rows meet
+them in their own leaf. Only digests and identifiers move, never texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmere.llm.common import ascii_lower, stage
+from lexmere.llm.common import ascii_lower, split_by_keys, stage
 
-FAN_IN = 16
-LEVELS = 3
+BITS, ROUNDS = 4, 3
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,23 +29,27 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def tree_merge(entries: DataFrame, fan_in: int = FAN_IN, levels: int = LEVELS) -> DataFrame:
-    """Merges the leaf entries (run, digest, best, n, lo, hi) to one entry (digest, best, n) for each digest.
+def tree_merge(entries: DataFrame, bits: int = BITS, rounds: int = ROUNDS) -> DataFrame:
+    """Merges the leaf runs' entries (run, digest, best, n, lo, hi) to one entry (digest, best, n) for each digest.
 
     The second fingerprint is compared at every level: entries of one digest with different ones raise an error
     rather than merge.
     """
-    for _ in range(levels):
+    for k in range(rounds):
+        receiver = F.expr(f"run & ~{(1 << bits * (k + 1)) - 1}")
+        digest = Window.partitionBy("run", "digest").orderBy(F.desc_nulls_last("best"))  # 2 ** bits entries at most
+        group = digest.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         entries = (
-            entries.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .groupBy("run", "digest")
-            .agg(F.max("best").alias("best"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            entries.withColumn("run", receiver)
+            .select("run", "digest", "best", F.sum("n").over(group).alias("n"), F.min("lo").over(group).alias("lo"), F.max("hi").over(group).alias("hi"), F.row_number().over(digest).alias("place"))
+            .where("place = 1")
             .withColumn("n", F.when(F.col("lo") == F.col("hi"), F.col("n")).otherwise(F.raise_error(F.lit("equal digests of different texts")).cast("long")))
+            .drop("place")
         )
     return entries.select("digest", "best", "n")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = FAN_IN, levels: int = LEVELS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", bits: int = BITS, rounds: int = ROUNDS) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_bytes.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
@@ -56,7 +60,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sign = 1 if keep == "max" else -1
     rows = (
         digest_rows(docs, id_col, text_col)
-        .withColumn("run", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(fan_in**levels)).cast("int"))
+        .withColumn("run", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << bits * rounds)).cast("int"))
         .groupBy("run", "digest", "doc_id")
         .agg(F.count(F.lit(1)).alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.max("n_bytes").alias("n_bytes"))
     )
@@ -65,7 +69,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.max(F.col("doc_id") * sign).alias("best"), F.sum("copies").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
     leaves = stage(leaves, "runs")
-    root = tree_merge(leaves, fan_in, levels)
+    root = tree_merge(leaves, bits, rounds)
     down = leaves.select("run", "digest").join(root, "digest")
     out = rows.join(down, ["run", "digest"])
     return out.select(
@@ -82,21 +86,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of docs that stay, with all their columns.
+    """The rows of docs that stay, with all their columns: of each group of equal texts one row, as exact_groups says.
 
-    Texts are shuffled only where the rows that go are too many to be broadcast, and then once.
+    Null texts count as empty and so form one group; a null identifier stays only where its group has no other. Of
+    repeated rows one stays. An empty table gives an empty result; any column but ``__h`` and ``__digest`` may occur.
+    Rows that no copy can be among, told by a bitmap of identifiers, stay where they are; the texts of the others are
+    shuffled.
     """
-    groups = exact_groups(docs, id_col, text_col, keep)
-    groups = stage(groups.where("group_size > 1").select("doc_id", "kept", "digest"), "copies")
-    gone = groups.groupBy("doc_id", "digest").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("rows"))
-    d = docs.withColumn("__digest", F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)))
-    out = d.join(gone.where("not stays"), d[id_col].eqNullSafe(gone["doc_id"]) & (d["__digest"] == gone["digest"]), "left_anti")
-    if not gone.where("stays and rows > 1").isEmpty():  # repeated rows: one of each stays
-        again = gone.where("stays and rows > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__twice"))
-        twice = d[id_col].eqNullSafe(again["__id"]) & (d["__digest"] == again["__twice"])
-        once = out.join(again, twice, "left_semi").dropDuplicates([id_col, "__digest"])
-        out = out.join(again, twice, "left_anti").unionByName(once)
-    return out.drop("__digest")
+    groups = exact_groups(docs, id_col, text_col, keep).where("group_size > 1").select("doc_id", "kept", "digest")
+    met = groups.groupBy("doc_id", "digest").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("rows")).where("not stays or rows > 1")
+    met = stage(met.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__met"), "stays"), "copies")
+    apart, near = split_by_keys(docs, F.xxhash64(F.col(id_col)), met.select(F.xxhash64("__id").alias("h")))
+    near = near.withColumn("__digest", F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)))
+    same = near[id_col].eqNullSafe(met["__id"]) & (near["__digest"] == met["__met"])
+    kept = near.join(met, same, "left_anti")
+    if not met.where("stays").isEmpty():  # repeated rows: one of each stays
+        kept = kept.unionByName(near.join(met.where("stays"), same, "left_semi").dropDuplicates([id_col, "__digest"]))
+    return apart.unionByName(kept.drop("__digest"))
 
 
 def op5_exact_dedup(spark, sf_dir):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmere.llm.common import shared_dir
-from lexmere.llm.encoding import Encoder, word_encoder
+from lexmere.llm.encoding import Encoder, slices, word_encoder
 
 END_ID = 2
 #: Ids that the rolling hash covers, and bounds and mean of a chunk's ids.
@@ -123,25 +123,24 @@ def write_store(docs: DataFrame, path: str, encoder: Callable[[], Encoder] = wor
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = encoder(), set()
-        last = np.array([end_id], "<u2").tobytes()
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
+            for at, n in slices(b.column(2)):
                 source, out = [], []
-                raws = [ids + last for ids in enc.encode(part.column(2).to_pylist())]
-                sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // 2
-                for k, (raw, ends) in enumerate(zip(raws, cuts(np.frombuffer(b"".join(raws), "<u2"), sizes), strict=True)):
+                ids, sizes = enc.encode(b.column(2).slice(at, n), end_id)
+                raw, first = ids.astype("<u2").tobytes(), 0
+                for k, (size, ends) in enumerate(zip(sizes.tolist(), cuts(ids, sizes), strict=True), at):
                     start = 0
                     for p, end in enumerate(ends):
-                        data = raw[2 * start : 2 * end]
+                        data = raw[2 * (first + start) : 2 * (first + end)]
                         h = hashlib.sha256(data).digest()
                         source.append(k)
                         out.append((p, h, end - start, None if h in seen else data))
                         seen.add(h)
                         start = end
-                at = pa.array(source, pa.int64())
+                    first += size
+                picked = pa.array(source, pa.int64())
                 cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.int32(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *cols], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(picked), b.column(1).take(picked), *cols], names=names)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by hash, those with ids first: the ids of all but the first go."""

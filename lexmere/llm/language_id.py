@@ -2,7 +2,8 @@
 
 Texts become normalised TF-IDF vectors of hashed byte trigrams. Document frequencies cover every training row; the
 centroids of each language come from spherical k-means over a bounded sample of its training rows. A text takes the
-language of the centroid with the largest cosine and is rejected where even that cosine is small.
+language of the centroid with the largest cosine and is rejected where it lies farther from it than all but a small share
+of each language's training rows lie from theirs.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ BUCKETS = 1 << 13
 CENTROIDS = 4
 #: Training rows of each language that the clustering sees (all rows count for document frequencies).
 SAMPLE = 1500
-#: Texts whose best cosine is smaller are rejected.
-MIN_COSINE = 0.08
+#: The share of a language's training rows that may lie too far from its centroids; the largest distance that any language
+#: needs for that is where texts are rejected, so that a language of few training rows isn't held to their distances alone.
+TOO_FAR = 0.001
 LETTER = regex.compile(r"\p{L}")
 #: Bytes as they count: letters and the bytes of longer characters as they are, all others a space.
 FOLD = np.array([b if b > 0x7F or chr(b).isalpha() else 0x20 for b in range(256)], np.uint8)
@@ -93,7 +95,8 @@ def cluster(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def fit(train: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> dict:
-    """train: (doc_id, text, lang) with non-null texts and languages. Returns idf, languages and their centroids.
+    """train: (doc_id, text, lang) with non-null texts and languages. Returns idf, each
+    centroid's language, the centroids, and the least cosine.
 
     The sample is every training row whose hash falls below the share that makes about ``sample`` rows of its
     language; each language is clustered in a task of its own.
@@ -110,37 +113,37 @@ def fit(train: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> dict:
         x = vectors(list(pdf["text"]), idf)
         x = x[np.linalg.norm(x, axis=1) > 0]
         if not len(x):
-            return pd.DataFrame({"lang": [], "centroid": []})
+            return pd.DataFrame({"lang": [], "centroid": [], "least": []})
         c = cluster(x, k)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [r.astype(np.float32).tobytes() for r in c]})
+        least = float(np.quantile((x @ c.T).max(axis=1), TOO_FAR))
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [r.astype(np.float32).tobytes() for r in c], "least": least})
 
-    rows = some.groupBy("lang").applyInPandas(one, "lang string, centroid binary").collect()  # k rows a language
+    rows = some.groupBy("lang").applyInPandas(one, "lang string, centroid binary, least double").collect()  # k rows a language
     rows = sorted(map(tuple, rows))
-    matrix = np.stack([np.frombuffer(c, np.float32) for _, c in rows]) if rows else np.zeros((0, BUCKETS), np.float32)
-    return {"idf": idf, "langs": [lang for lang, _ in rows], "centroids": matrix}
+    matrix = np.stack([np.frombuffer(c, np.float32) for _, c, _ in rows]) if rows else np.zeros((0, BUCKETS), np.float32)
+    return {"idf": idf, "langs": [lang for lang, _, _ in rows], "centroids": matrix, "least": min((x for _, _, x in rows), default=0.0) - 1e-6}
 
 
-def predict(docs: DataFrame, model: dict, min_cosine: float = MIN_COSINE, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred, score and rejected to docs' rows (their other columns must not have these names).
+def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """Adds lang_pred, score and rejected as the last columns of docs' rows.
 
     lang_pred is a learned language, or ``und`` where the text is null, has no letter or nothing was learned; score is
-    the largest cosine. ``und`` and texts with a cosine below min_cosine are rejected.
+    the largest cosine. ``und`` and texts whose cosine is below the least one are rejected.
     """
-    langs, centroids, idf = model["langs"], model["centroids"], model["idf"]
+    langs, centroids, idf, least = model["langs"], model["centroids"], model["idf"], model["least"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(text_col)
             texts = b.column(at).to_pylist()
-            lang, score = ["und"] * len(texts), np.zeros(len(texts))
+            lang, score, reject = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
             known = [k for k, t in enumerate(texts) if t and langs and LETTER.search(t)]
             for i in range(0, len(known), 256):
                 part = known[i : i + 256]
                 cos = vectors([texts[k] for k in part], idf) @ centroids.T
                 best = cos.argmax(axis=1)
                 for k, j, c in zip(part, best, cos.max(axis=1), strict=True):
-                    lang[k], score[k] = langs[j], min(1.0, max(0.0, float(c)))
-            reject = [x == "und" or s < min_cosine for x, s in zip(lang, score, strict=True)]
+                    lang[k], score[k], reject[k] = langs[j], min(1.0, max(0.0, float(c))), c < least
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang), pa.array(score), pa.array(reject)], names=[*b.schema.names, "lang_pred", "score", "rejected"])
 
     schema = StructType(list(docs.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()).add("rejected", BooleanType())
@@ -167,7 +170,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, that are not rejected."""
+    """The rows of docs (doc_id, text, lang), with all their columns, that are not rejected.
+
+    Null and empty texts and those without a letter go, as does everything where no row has a text and a language.
+    Repeated rows stay or go together; an empty table gives an empty result; columns may have any names.
+    """
     model = fit(training_rows(docs))
     names = docs.columns
     renamed = docs.toDF(*[f"c{k}" for k in range(len(names))])

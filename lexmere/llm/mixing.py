@@ -12,6 +12,7 @@ Everything here is DataFrame functions; the driver only does arithmetic on numbe
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +24,13 @@ TARGETS = {"clean": 0.95, "junk": 0.03, "toxic": 0.02}
 BUCKETS = 1 << 14
 #: Labelled rows (about) that the classifier is fitted on.
 SAMPLE = 20_000
-#: Documents' worth of the pooled rate that a feature's rate in a domain is drawn towards.
-SHRINK = 40.0
-#: A feature counts if its rate in some domain is so many times the pooled rate, over so many documents at least.
-TELLING, SEEN = 3.0, 20
-ROUNDS, TOLERANCE = 40, 1e-4
+#: Documents that a feature counts as met in, and expected in, besides those counted: its likelihood ratios are
+#: so drawn towards 1, the more the fewer documents hold it.
+PRIOR = 1.0
+#: A feature counts if its likelihood ratio in some domain is so large.
+TELLING = 3.0
+#: Steps at most, what counts as met, and steps after which rates are written down.
+ROUNDS, TOLERANCE, WRITTEN = 60, 1e-4, 8
 
 
 def label_domain(labels: DataFrame) -> DataFrame:
@@ -77,13 +80,11 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int = SA
     start = [math.log((sizes.get(d, 0) + 1) / (total + len(domains))) for d in domains]
     weights = [[0.0] * BUCKETS for _ in domains]
     for b in range(BUCKETS):
-        seen = sum(held[d][b] for d in domains)
-        pooled = seen / max(total, 1)
-        if seen < SEEN:
-            continue
-        rates = [min(1 - 1e-6, (held[d][b] + SHRINK * pooled) / (sizes.get(d, 0) + SHRINK)) for d in domains]
-        if max(rates) >= TELLING * pooled:
-            for k, r in enumerate(rates):
+        pooled = sum(held[d][b] for d in domains) / max(total, 1)
+        ratios = [(held[d][b] + PRIOR) / (sizes.get(d, 0) * pooled + PRIOR) for d in domains]
+        if max(ratios) >= TELLING:
+            for k, ratio in enumerate(ratios):
+                r = min(1 - 1e-6, pooled * ratio)
                 start[k] += math.log(1 - r)
                 weights[k][b] = math.log(r / (1 - r))
     return start, weights
@@ -122,14 +123,18 @@ def inverse(m: list[list[float]]) -> list[list[float]]:
     return [row[n:] for row in a]
 
 
-def rates(rows: DataFrame, targets: list[float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Column:
-    """The rate of each row of rows (__tokens, __p) as a column expression.
+def rates(rows: DataFrame, targets: list[float], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list[float], float]:
+    """rows (__tokens, __p) with their rate as __rate, the achieved share of each domain, and what the optimum lacks.
 
     Targets are shares of as many tokens as let the domain with the largest share be taken once on average; scarcer
     domains may have rates above 1. Rates start from 1. Steps are scaled by the inverse of the domains' matrix
     sum(tokens * p * p'), in the metric in which a document weighs by its tokens: without the bound at 0, one step
     meets the targets. A step uses the matrix over the rows that are still above 0; where that doesn't bring the sums
     nearer, it uses the whole one, for which each step does.
+
+    Steps end when the targets are met or the gradient certifies the optimum: it is 0 where a rate is above 0 and not
+    below 0 elsewhere. The last value returned is the gradient's violation per token, 0 where targets are met; a
+    warning tells of one that ``rounds`` steps have left above ten times the tolerance.
     """
     k = len(targets)
     n, p = F.col("__tokens"), [F.col("__p")[i] for i in range(k)]
@@ -141,32 +146,50 @@ def rates(rows: DataFrame, targets: list[float], rounds: int = ROUNDS, tolerance
         sums = [x or 0.0 for x in sums]
         return sums[:k], [sums[k + i * k : 2 * k + i * k] for i in range(k)]
 
-    rate = F.lit(1.0)
+    rows = rows.withColumn("__rate", F.lit(1.0))
+    rate = F.col("__rate")
     supply, matrix = have, live = measure(rate)
     metric = inverse(matrix)
     main = max(range(k), key=lambda i: targets[i])
     wanted = [w * supply[main] / targets[main] for w in targets]
+    total = max(sum(supply), 1.0)
 
     def off_by(have: list[float]) -> float:
         off = [h - w for h, w in zip(have, wanted, strict=True)]
-        return math.sqrt(max(0.0, sum(off[i] * metric[i][j] * off[j] for i in range(k) for j in range(k))) / max(sum(supply), 1.0))
+        return math.sqrt(max(0.0, sum(off[i] * metric[i][j] * off[j] for i in range(k) for j in range(k))) / total)
+
+    def along(m: list[list[float]], have: list[float]) -> Column:
+        g = [sum(m[i][j] * (have[j] - wanted[j]) for j in range(k)) for i in range(k)]
+        return sum((p[i] * g[i] for i in range(k)), F.lit(0.0))
 
-    for _ in range(rounds):
+    def violation(rate: Column, have: list[float]) -> float:
+        slope = along(metric, have)
+        return (rows.agg(F.sum(n * F.when(rate > 0, F.least(rate, F.lit(1.0)) * F.abs(slope)).otherwise(F.greatest(-slope, F.lit(0.0))))).first()[0] or 0.0) / total
+
+    lacking = 0.0
+    for step in range(1, rounds + 1):
         size = off_by(have)
         if size <= tolerance:
+            lacking = 0.0
             break
         for m in (inverse(live), metric):  # the rows that can still give way alone; if that overshoots, all
-            g = [sum(m[i][j] * (have[j] - wanted[j]) for j in range(k)) for i in range(k)]
-            step = F.greatest(F.lit(0.0), rate - sum((p[i] * g[i] for i in range(k)), F.lit(0.0)))
-            then, after = measure(step)
-            if off_by(then) < size:
+            then = F.greatest(F.lit(0.0), rate - along(m, have))
+            reached, left = measure(then)
+            if off_by(reached) < size:
+                rate, have, live = then, reached, left
                 break
         else:
+            lacking = violation(rate, have)
             break
-        rate, have, live = step, then, after
-        if size - off_by(have) <= tolerance * 0.01:
-            break
-    return rate
+        if step % WRITTEN == 0 or size - off_by(have) <= tolerance * 0.01:
+            lacking = violation(rate, have)
+            if lacking <= tolerance:
+                break
+            rows = stage(rows.withColumn("__rate", rate), "rates")  # steps don't pile up in one expression
+            rate = F.col("__rate")
+    if lacking > 10 * tolerance:
+        warnings.warn(f"rates are off their optimum: shares {[h / max(sum(have), 1.0) for h in have]}, violation {lacking}", stacklevel=2)
+    return rows.withColumn("__rate", rate), [h / max(sum(have), 1.0) for h in have], lacking
 
 
 def copies(rate: Column, id_col: str = "doc_id") -> Column:
@@ -175,28 +198,41 @@ def copies(rate: Column, id_col: str = "doc_id") -> Column:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """doc_id, n_tokens, posterior of each domain (p_<domain>), rate and copies of every row of docs (doc_id, text).
+    """doc_id, n_tokens, posterior of each domain (p_<domain>), rate and copies of every row of docs (doc_id, text), and
+    the achieved share of each domain (share_<domain>), the same on every row.
 
     A null text is empty; empty texts have the priors as posterior and weigh nothing. Repeated rows are documents of
     their own with equal rates. Without labels all documents have the same posterior and rate. An empty table gives an
-    empty result.
+    empty result. Other columns are ignored.
     """
     domains = list(targets)
     model = fit(docs, label_domain(labels), domains)
     rows = stage(posteriors(docs.select("doc_id", "text"), model).drop("text"), "posteriors")
-    rate = rates(rows, [targets[d] for d in domains])
-    rows = rows.withColumn("rate", rate)
-    return rows.select("doc_id", F.col("__tokens").cast("long").alias("n_tokens"), *[F.col("__p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate", copies(F.col("rate")).alias("copies"))
+    rows, shares, _ = rates(rows, [targets[d] for d in domains])
+    return rows.select(
+        "doc_id",
+        F.col("__tokens").cast("long").alias("n_tokens"),
+        *[F.col("__p")[i].alias(f"p_{d}") for i, d in enumerate(domains)],
+        F.col("__rate").alias("rate"),
+        copies(F.col("__rate")).alias("copies"),
+        *[F.lit(x).alias(f"share_{d}") for d, x in zip(domains, shares, strict=True)],
+    )
 
 
 def take_mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The rows of docs, with their columns, each as often as its rate says."""
+    """The rows of docs (doc_id, text), with all their columns, each as often as its rate says.
+
+    Null and empty texts weigh nothing and are taken as often as the priors say; rows with one identifier, null ones too,
+    draw alike. An empty table gives an empty result; columns may have any names.
+    """
     domains = list(targets)
     model = fit(docs, label_domain(labels), domains)
-    rows = stage(posteriors(docs, model), "mixed")
-    n = copies(rates(rows, [targets[d] for d in domains]))
-    taken = rows.withColumn("__n", n).where("__n > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), "__n")))
-    return taken.select(*[taken[f"`{c}`"] for c in docs.columns])
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    id_col, text_col = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    rows = stage(posteriors(plain, model, text_col), "mixed")
+    rows, _, _ = rates(rows, [targets[d] for d in domains])
+    taken = rows.withColumn("__n", copies(F.col("__rate"), id_col)).where("__n > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), "__n")))
+    return taken.select(*plain.columns).toDF(*docs.columns)
 
 
 def op2_mixing(spark, sf_dir):

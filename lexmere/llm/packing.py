@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmere.llm.common import stage
-from lexmere.llm.encoding import Encoder, byte_encoder
+from lexmere.llm.encoding import Encoder, byte_encoder, slices
 
 CAPACITY = 1024
 END_ID = 2
-#: Pieces that are packed together.
-GROUP = 4096
+#: Pieces that are packed together (up to twice as many in the last group of a task), and tasks at most.
+GROUP, TASKS = 4096, 4000
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,21 +39,21 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, encoder: Callable[[], Enco
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder()
-        last = np.array([end_id], "<u2").tobytes()
         for b in batches:
-            texts = b.column(1).to_pylist()
-            source, out = [], []
-            for i in range(0, len(texts), 500):
-                for k, ids in enumerate(enc.encode(texts[i : i + 500]), i):
-                    wide = np.frombuffer(ids + last, "<u2").astype("<u4").tobytes()
-                    for p, (start, n) in enumerate(cut_points(len(wide) // 4, capacity)):
+            for at, n in slices(b.column(1)):
+                ids, sizes = enc.encode(b.column(1).slice(at, n), end_id)
+                wide = memoryview(ids.astype("<u4").tobytes())
+                source, out, first = [], [], 0
+                for k, size in enumerate(sizes.tolist(), at):
+                    for p, (start, length) in enumerate(cut_points(size, capacity)):
                         source.append(k)
-                        out.append((p, start, n, zlib.crc32(wide[4 * start : 4 * (start + n)])))
-            cols = np.array(out, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(source, pa.int64())), pa.array(cols[:, 0].astype(np.int32)), *(pa.array(cols[:, c]) for c in (1, 2, 3))],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+                        out.append((p, start, length, zlib.crc32(wide[4 * (first + start) : 4 * (first + start + length)])))
+                    first += size
+                cols = np.array(out, np.int64).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(source, pa.int64())), pa.array(cols[:, 0].astype(np.int32)), *(pa.array(cols[:, c]) for c in (1, 2, 3))],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     return rows.mapInArrow(cut, f"doc_id {dict(rows.dtypes)['doc_id']}, {PIECES}")
 
@@ -124,25 +124,41 @@ def best_two_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
 def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32).
 
-    Groups come from an even deal of all rows, whatever their identifiers. A sequence_id is the number of its group
-    times 2**32 plus its number there.
+    Groups come from an even deal of all rows, whatever their identifiers; a task packs one group after the other. A
+    sequence_id is the number of its task times 2**40 plus its number there.
     """
     rows = stage(rows, "pieces")
-    groups = max(1, round(rows.count() / group))
+    tasks = min(TASKS, max(1, round(rows.count() / group)))
     kind = dict(rows.dtypes)["doc_id"]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
+        base = TaskContext.get().partitionId() << 40
+        for t in grouped(batches, group):
+            t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]).combine_chunks()
+            of, at = best_two_fit(t.column("length").to_numpy().astype(np.int64), capacity)
+            t = t.append_column("sequence_id", pa.array(of + base)).append_column("offset", pa.array(at))
+            yield from t.to_batches()
+            base += int(of.max()) + 1
+
+    return rows.repartition(tasks).mapInArrow(fill, f"doc_id {kind}, {PIECES}, sequence_id long, offset long")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], group: int) -> Iterator[pa.Table]:
+    """The rows of batches in tables of group rows; the last one has up to twice as many."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n < 2 * group:
+            continue
         t = pa.Table.from_batches(held)
-        t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]).combine_chunks()
-        of, at = best_two_fit(t.column("length").to_numpy().astype(np.int64), capacity)
-        base = TaskContext.get().partitionId() << 32
-        t = t.append_column("sequence_id", pa.array(of + base)).append_column("offset", pa.array(at))
-        yield from t.to_batches()
-
-    return rows.repartition(groups).mapInArrow(fill, f"doc_id {kind}, {PIECES}, sequence_id long, offset long")
+        while n >= 2 * group:
+            yield t.slice(0, group)
+            t, n = t.slice(group), n - group
+        held = t.to_batches()
+    if n:
+        yield pa.Table.from_batches(held)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:

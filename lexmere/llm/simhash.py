@@ -1,6 +1,6 @@
 """SimHash near-dedup by a segment-popcount embedding.
 
-A 64-bit fingerprint is mapped to the bit counts of its 16 four-bit segments. The Manhattan distance of two such
+A 64-bit fingerprint is mapped to the bit counts of its 32 two-bit segments. The Manhattan distance of two such
 vectors never exceeds the Hamming distance of the fingerprints, so that pairs within ``max_bits`` lie within
 ``max_bits`` of each other in the embedding. The vector is cut into ``max_bits // 2 + 1`` groups of segments: at least
 one group then differs by 1 at most. Each group is a grid whose cells are its bit counts; fingerprints meet in a
@@ -10,7 +10,8 @@ Equal fingerprints are one row throughout, so that a group of copies costs as mu
 
 The pipeline's stage asks for more: pairs whose sets of five-word shingles overlap by 0.8 or more. Such pairs differ in
 about ten bits, a radius that no grid over 64 bits carries. So candidates come from the grid and from shingles that two
-documents share among their first fifth in one global order, which every such pair does, and each is checked exactly.
+documents share among their first fifth in one global order, which every such pair does. Of these pairs, those of sizes
+that can't overlap so far or of fingerprints more than ``FAR_BITS`` apart go, and the others are checked exactly.
 """
 
 from __future__ import annotations
@@ -23,19 +24,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmere.llm.common import stage
+from lexmere.llm.common import split_by_keys, stage
 from lexmere.llm.components import connected_components
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
-SEGMENTS = 16
+SEGMENTS = 32
 WIDTH = 64 // SEGMENTS
 #: The pipeline's stage: words of a shingle, and the overlap (shared over all shingles) as numerator and denominator.
 STAGE_SHINGLE = 5
 OVERLAP = (4, 5)
-#: Documents whose shingles are counted to find common ones, and how many of these are told to tasks.
-ORDER_DOCS, ORDER_SHINGLES = 8_000, 65_536
+#: Bits that fingerprints of sets with that overlap may differ in: the mean is 9.7 and the deviation 2.9, so that about
+#: one pair in a million of just 0.8 lies beyond, and fewer of the nearer ones.
+FAR_BITS = 24
+#: Share of the documents (and least number of them) whose shingles are counted to find common ones, and how many of
+#: these are told to tasks. They decide what work is done, never which pairs are found.
+ORDER_SHARE, ORDER_DOCS, ORDER_SHINGLES = 64, 8_000, 1 << 18
+#: Parts that documents with a common shingle are dealt to.
+SALTS = 16
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -84,35 +91,34 @@ def segment_counts(fp: Column) -> list[Column]:
 
 
 def near_pairs(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs (a, b), a < b, of different fingerprints in fps (node, fp; fp unique) that differ in max_bits bits at most.
+    """Pairs (a, b), a < b, of the distinct fingerprints in fps (fp) that differ in max_bits bits at most.
 
-    A cell holds its group's bit counts at three bits each. Both fingerprints of a pair look the grid up: one side by
+    A cell holds its group's bit counts, a digit each. Both fingerprints of a pair look the grid up: one side by
     its own cell, the other by its cell and the neighbours at distance 1.
     """
     groups = max_bits // 2 + 1
-    per = SEGMENTS // groups
-    embedded = stage(fps.select("node", "fp", F.array(*segment_counts(F.col("fp"))).alias("v")), "embedding")
-
+    per, base = SEGMENTS // groups, WIDTH + 1
+    parts = [range(g * per, SEGMENTS if g == groups - 1 else (g + 1) * per) for g in range(groups)]
     def cell(g: int) -> Column:
         own = F.lit(g).cast("long")
-        for k in range(g * per, SEGMENTS if g == groups - 1 else (g + 1) * per):
-            own = own * 8 + F.col("v")[k]
+        for k in parts[g]:
+            own = own * base + F.col("v")[k]
         return own
 
     def around(g: int) -> Column:
         """The cell, and the cells where one segment has one bit more or less."""
-        at = range(g * per, SEGMENTS if g == groups - 1 else (g + 1) * per)
-        steps = [8 ** (at[-1] - k) for k in at]
-        more = [F.when(F.col("v")[k] < WIDTH, cell(g) + s) for k, s in zip(at, steps, strict=True)]
-        less = [F.when(F.col("v")[k] > 0, cell(g) - s) for k, s in zip(at, steps, strict=True)]
-        return F.array_compact(F.array(cell(g), *more, *less))
+        steps = F.array(*[F.lit(base ** (parts[g][-1] - k)).cast("long") for k in parts[g]])
+        counts = F.slice("v", parts[g][0] + 1, len(parts[g]))
+        moved = F.zip_with(counts, steps, lambda n, s: F.array(F.when(n < WIDTH, s), F.when(n > 0, -s)))
+        return F.concat(F.array(F.col("cells")[g]), F.transform(F.array_compact(F.flatten(moved)), lambda s: F.col("cells")[g] + s))
 
-    own = embedded.select("node", "fp", "v", F.explode(F.array(*[cell(g) for g in range(groups)])).alias("cell"))
-    near = embedded.select(F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.explode(F.concat(*[around(g) for g in range(groups)])).alias("cell"))
-    pairs = own.select(F.col("node").alias("a"), F.col("fp").alias("fp_a"), "cell").join(near, "cell").where("a < b")
-    bound = sum((F.abs(x - y) for x, y in zip(segment_counts(F.col("fp_a")), segment_counts(F.col("fp_b")), strict=True)), F.lit(0))
-    pairs = pairs.where(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= max_bits) if max_bits < 2 else pairs.where((bound <= max_bits) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= max_bits))
-    return pairs.select("a", "b").distinct()
+    embedded = fps.select("fp", F.array(*segment_counts(F.col("fp"))).alias("v"))
+    embedded = stage(embedded.select("fp", "v", F.array(*[cell(g) for g in range(groups)]).alias("cells")), "embedding")
+    own = embedded.select(F.col("fp").alias("a"), F.explode("cells").alias("cell"))
+    near = embedded.select(F.col("fp").alias("b"), F.explode(F.concat(*[around(g) for g in range(groups)])).alias("cell"))
+    bound = sum((F.abs(x - y) for x, y in zip(segment_counts(F.col("a")), segment_counts(F.col("b")), strict=True)), F.lit(0))
+    pairs = own.join(near, "cell").where((F.col("a") < F.col("b")) & (bound <= max_bits))
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b").distinct()
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,12 +137,11 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
 
 def classes(rows: DataFrame, max_bits: int) -> DataFrame:
     """(fp, component, component_id, links) of each fingerprint in rows (doc_id, fp); component is a fingerprint."""
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = stage(nodes.select("fp", F.col("fp").alias("node"), "least"), "nodes")
-    pairs = stage(near_pairs(nodes.select("node", "fp"), max_bits), "pairs")
-    comp = connected_components(pairs)
-    degree = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    linked = stage(nodes.join(comp, "node").join(degree, "node"), "linked")
+    nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    pairs = stage(near_pairs(nodes.select("fp"), max_bits), "pairs")
+    comp = connected_components(pairs).withColumnRenamed("node", "fp")
+    degree = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).groupBy("fp").agg(F.count(F.lit(1)).alias("links"))
+    linked = stage(nodes.join(comp, "fp").join(degree, "fp"), "linked")
     best = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = linked.join(best, "component").select("fp", "component", "component_id", "links")
     alone = nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("component"), F.col("least").alias("component_id"), F.lit(0).cast("long").alias("links"))
@@ -150,64 +155,91 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MA
     return keep_one(docs, rows.join(classes(rows, max_bits), "fp").select("doc_id.doc_id", "doc_id.key", "component"))
 
 
+def text_key() -> Column:
+    """What a document is told by in the stage: a hash of its text. Texts of one hash would count as one."""
+    return F.xxhash64("text")
+
+
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, key, fp, node, shingles) of every row: key is a hash of the text, node one of the set of shingles."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    """(node, shingles) of the distinct texts in docs: the sorted set of shingles."""
+    rows = docs.select(text_key().alias("node"), "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, nodes, sets = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), []
-            for k, t in enumerate(b.column(2)):
-                h = shingle_hashes(t.as_py(), shingle)
-                sets.append(np.unique(h))
-                fps[k], nodes[k] = majority(h), xxhash.xxh64_intdigest(sets[-1].tobytes(), SEED)
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-            values = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            columns = [b.column(0), b.column(1), pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "fp", "node", "shingles"])
+            for k in range(0, b.num_rows, 1000):
+                part = b.slice(k, 1000)
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(sets)], names=["node", "shingles"])
+
+    return rows.mapInArrow(each, "node long, shingles array<long>").dropDuplicates(["node"])
+
 
-    return rows.mapInArrow(each, f"doc_id {dict(rows.dtypes)['doc_id']}, key long, fp long, node long, shingles array<long>")
+def lists(sets: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
 
 
-def first_shingles(rows: DataFrame) -> DataFrame:
-    """(node, shingle) for the first n - ceil(0.8 n) + 1 of each set's n shingles, rare ones first.
+def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
+    """The shingles that occur in three or more documents of a sample, commonest last."""
+    share = min(1.0, max(1 / ORDER_SHARE, ORDER_DOCS / max(docs.count(), 1)))
+    some = docs.where(F.pmod(text_key(), F.lit(1 << 20)) < share * (1 << 20))
+    counts = shingle_sets(some, shingle).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    return np.array([r.s for r in counts.orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).collect()][::-1], np.int64)
 
-    Two sets that overlap by 0.8 share one of these whatever the order is, as long as it is one for all sets. A sample
-    tells which shingles are common and come last; it decides how many sets meet, not which pairs are found.
+
+def sketches(docs: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
+    """(node, fp, n, first, hot) of every row: the fingerprint of the set of shingles, its size, and the first
+    n - ceil(0.8 n) + 1 shingles, first those that aren't common, then those that are (hot), commonest last.
+
+    Two sets that overlap by 0.8 share one of these whatever the order is, as long as it is one for all sets.
     """
-    sample = rows.where(F.pmod(F.xxhash64("node"), F.lit(max(rows.count() // ORDER_DOCS, 1))) == 0)
-    counts = sample.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    common = np.array([r.s for r in counts.orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).collect()], np.int64)
+    rows = docs.select(text_key().alias("node"), "text")
     place = np.argsort(common)
-    known = common[place]
+    known = common[place].view(np.uint64)
+    if len(known):
+        place, known = place[np.argsort(known)], np.sort(known)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ends, flat = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
-            firsts = []
-            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                s, n = flat[i:j], j - i
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    hit = known[at] == s
-                    s = np.concatenate((s[~hit], s[hit][np.argsort(-place[at[hit]])]))
-                firsts.append(s[: n - -(-OVERLAP[0] * n // OVERLAP[1]) + 1])
-            many = [len(x) for x in firsts]
-            values = np.concatenate([np.zeros(0, np.int64), *firsts])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), many)), pa.array(values)], names=["node", "shingle"])
-
-    return rows.select("node", "shingles").mapInArrow(each, "node long, shingle long")
-
-
-def like_sizes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are of sizes (nodes: node, n) that an overlap of 0.8 allows."""
-    n = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"))
-    met = pairs.join(n("a"), "a").join(n("b"), "b")
-    return met.where(F.least("na", "nb") * OVERLAP[1] >= F.greatest("na", "nb") * OVERLAP[0]).select("a", "b")
-
-
-def overlapping(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sets (node, shingles) overlap by 0.8 or more, counted exactly."""
+            for k in range(0, b.num_rows, 1000):
+                part = b.slice(k, 1000)
+                fps, sizes, first, hot = [], [], [], []
+                for t in part.column(1):
+                    s = np.unique(shingle_hashes(t.as_py(), shingle))
+                    n = len(s)
+                    fps.append(majority(s))
+                    sizes.append(n)
+                    most = n - -(-OVERLAP[0] * n // OVERLAP[1]) + 1 if n else 0
+                    often = np.zeros(0, np.uint64)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        hit = known[at] == s
+                        often, s = s[hit][np.argsort(place[at[hit]])], s[~hit]
+                    first.append(s[:most])
+                    hot.append(often[: max(0, most - len(s))])
+                columns = [part.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists(first), lists(hot)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "fp", "n", "first", "hot"])
+
+    return rows.mapInArrow(each, "node long, fp long, n int, first array<long>, hot array<long>")
+
+
+def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and fingerprints (nodes: node, n, fp) an overlap of 0.8 allows."""
+    of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("fp").alias(f"f{x}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(_may_overlap()).select("a", "b")
+
+
+def _may_overlap() -> Column:
+    sizes = F.least("na", "nb") * OVERLAP[1] >= F.greatest("na", "nb") * OVERLAP[0]
+    return sizes & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR_BITS)
+
+
+def overlapping(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets overlap by 0.8 or more, counted exactly. Only the texts that are named are
+    read for it."""
+    named = pairs.select(F.col("a").alias("h")).union(pairs.select("b"))
+    _, some = split_by_keys(docs.select("text"), text_key(), named)
+    sets = stage(shingle_sets(some, shingle), "named-sets")
     of = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     shared, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
     held = shared * sum(OVERLAP) >= both * OVERLAP[0]
@@ -215,33 +247,49 @@ def overlapping(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def overlap_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, key, component) of every row; documents link at an overlap of 0.8 or more, none is missed.
+    """(node, component) of the texts that link at an overlap of 0.8 or more with another; node is text_key's.
 
     First each set meets those within max_bits and one other for each first shingle; then only sets of one first
-    shingle that are still in different components meet, so that a large group never makes all its pairs.
+    shingle that are still in different components meet, so that a large group of near copies never makes all its pairs.
     """
-    rows = stage(shingle_sets(docs, shingle), "sets")
-    nodes = stage(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.size("shingles")).alias("n")), "nodes")
+    rows = stage(sketches(docs, shingle, common_shingles(docs, shingle)), "sketches")
+    nodes = stage(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n")), "nodes")
     lead = stage(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
-    near = near_pairs(lead.select(F.col("lead").alias("node"), "fp"), max_bits)
+    at = lambda x: lead.select(F.col("fp").alias(x), F.col("lead").alias(f"n{x}"))
+    near = near_pairs(lead.select("fp"), max_bits).join(at("a"), "a").join(at("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     same = nodes.join(lead, "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    w = Window.partitionBy("shingle")
-    met = first_shingles(rows).select("node", "shingle", F.min("node").over(w).alias("lead"), F.max("node").over(w).alias("last"))
-    first = stage(met.where("lead <> last").drop("last"), "met")
-    star = first.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    pairs = stage(near.union(same).union(star).distinct().transform(like_sizes, nodes), "candidates")
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(first.select("node")).distinct()
-    sets = stage(rows.select("node", "shingles").join(named, "node", "left_semi").dropDuplicates(["node"]), "named")
-    links = stage(overlapping(pairs, sets), "overlaps")
-    part = stage(first.join(connected_components(links), "node", "left").select("shingle", "node", F.coalesce("component", "node").alias("c")), "parts")
+
+    # Common shingles are dealt to several parts. The set with the most of them leads: of a text and its altered copies,
+    # the text, which links to most of the others.
+    salt = F.pmod(F.col("node"), F.lit(SALTS)).cast("int") + 1
+    rank = F.struct(F.size("hot").alias("hot"), "node").alias("rank")
+    entries = rows.select(rank, F.lit(0).alias("salt"), F.explode("first").alias("shingle")).union(rows.select(rank, salt, F.explode("hot")))
+    w = Window.partitionBy("shingle", "salt")
+    met = entries.select("rank", "shingle", F.max("rank").over(w).alias("lead"), F.min("rank").over(w).alias("last"), "salt")
+    met = met.where("lead <> last or salt > 0").select(F.col("rank.node").alias("node"), "shingle", "lead")
+    first = stage(met.distinct(), "met")
+    top = first.groupBy("shingle").agg(F.max("lead").alias("top"))
+    stars = first.select(F.col("lead.node").alias("lead"), "node").union(first.select("shingle", "lead").distinct().join(top, "shingle").select("top.node", "lead.node"))
+    stars = stars.where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
+    pairs = stage(near.union(same).union(stars).distinct().transform(alike, nodes), "candidates")
+    links = stage(overlapping(pairs, docs, shingle), "overlaps")
+
+    part = first.select("shingle", "node").join(connected_components(links), "node", "left").select("shingle", "node", F.coalesce("component", "node").alias("c"))
+    part = stage(part, "parts")
     mixed = part.groupBy("shingle").agg(F.min("c").alias("c"), F.max("c").alias("d")).where("c <> d").select("shingle")
-    part = stage(part.join(mixed, "shingle", "left_semi").distinct(), "mixed")
-    a, b = (part.select("shingle", *[F.col(c).alias(f"{c}{x}") for c in ("node", "c")]) for x in "ab")
-    rest = a.join(b, "shingle").where((F.col("nodea") < F.col("nodeb")) & (F.col("ca") != F.col("cb")))
-    rest = rest.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
-    rest = stage(rest.transform(like_sizes, nodes), "rest")
-    comp = connected_components(stage(links.union(overlapping(rest, sets)), "all-overlaps"))
-    return rows.select("doc_id", "key", "node").join(comp, "node", "left").select("doc_id", "key", F.coalesce("component", "node").alias("component"))
+    part = stage(part.join(mixed, "shingle", "left_semi"), "mixed")
+    short = F.transform(F.concat("first", "hot"), lambda s: F.shiftright(s, 32).cast("int"))
+    named = rows.join(part.select("node").distinct(), "node", "left_semi").select("node", "n", "fp", short.alias("l")).dropDuplicates(["node"])
+    part = part.join(named, "node").withColumn("s", F.shiftright("shingle", 32).cast("int"))
+    a, b = (part.select("shingle", "s", F.col("node").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in ("n", "fp", "c", "l")]) for x in "ab")
+    met = F.array_intersect("la", "lb")
+    most = F.size(met) + F.greatest(F.col("na") - F.size("la"), F.col("nb") - F.size("lb"))
+    enough = (F.get(met, F.lit(0)) == F.col("s")) & (most * sum(OVERLAP) >= (F.col("na") + F.col("nb")) * OVERLAP[0])
+    rest = a.join(b.drop("s"), "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_overlap() & enough)
+    rest = stage(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        links = stage(links.union(overlapping(rest, docs, shingle)), "all-overlaps")
+    return connected_components(links)
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -249,26 +297,34 @@ def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
     Rows are told by doc_id and text (key is its hash), so that null or repeated doc_ids of different texts don't touch
     each other. The smallest doc_id stays, then the smallest key; null ones only where a component has no other. Of
-    repeated rows one stays.
+    repeated rows one stays. Rows in no group stay. Rows that surely go untouched, told by a bitmap of identifiers, stay
+    where they are; the texts of the others are shuffled.
     """
     groups = stage(groups, "groups")
     best = groups.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("void"), "doc_id", "key")).alias("best"), F.count(F.lit(1)).alias("rows"))
     met = groups.join(best.where("rows > 1"), "component")
     met = met.select("doc_id", "key", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))).alias("stays"))
-    met = stage(met.groupBy("doc_id", "key").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("rows")), "met-rows")
-    met = met.select(F.col("doc_id").alias("__id"), F.col("key").alias("__met"), "stays", "rows")
-    d = docs.withColumn("__key", F.xxhash64("text"))
-    at = d["doc_id"].eqNullSafe(met["__id"]) & (d["__key"] == met["__met"])
-    kept = d.join(met.where("not stays"), at, "left_anti")
-    again = met.where("stays and rows > 1")
-    if not again.isEmpty():
-        kept = kept.join(again, at, "left_anti").unionByName(kept.join(again, at, "left_semi").dropDuplicates(["doc_id", "__key"]))
-    return kept.drop("__key")
+    met = met.groupBy("doc_id", "key").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("rows")).where("not stays or rows > 1")
+    met = stage(met.select(F.col("doc_id").alias("__id"), F.col("key").alias("__met"), "stays"), "met-rows")
+    apart, some = split_by_keys(docs, F.xxhash64("doc_id"), met.select(F.xxhash64("__id").alias("h")))
+    some = some.withColumn("__key", text_key())
+    at = some["doc_id"].eqNullSafe(met["__id"]) & (some["__key"] == met["__met"])
+    kept = some.join(met, at, "left_anti")
+    if not met.where("stays").isEmpty():
+        kept = kept.unionByName(some.join(met.where("stays"), at, "left_semi").dropDuplicates(["doc_id", "__key"]))
+    return apart.unionByName(kept.drop("__key"))
 
 
 def drop_overlapping(docs: DataFrame, shingle: int = STAGE_SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document for each component of texts whose five-word shingles overlap by 0.8 or more; see keep_one."""
-    return keep_one(docs, overlap_groups(docs.select("doc_id", "text"), shingle, max_bits))
+    """One document for each component of texts whose five-word shingles overlap by 0.8 or more; see keep_one.
+
+    A text of fewer words than a shingle has one, its whole sequence; texts without words, null ones too, have none and
+    form one group, as do equal texts. An empty table gives an empty result; any column but ``__h``, ``__id``, ``__met``
+    and ``__key`` may occur.
+    """
+    groups = overlap_groups(docs.select("text"), shingle, max_bits).withColumnRenamed("node", "key")
+    rows = docs.select("doc_id", text_key().alias("key"))
+    return keep_one(docs, rows.join(groups, "key", "left").select("doc_id", "key", F.coalesce("component", "key").alias("component")))
 
 
 def op9_simhash(spark, sf_dir):

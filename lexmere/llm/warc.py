@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmere.llm.common import shared_dir, stage
+from lexmere.llm.common import shared_dir, split_by_keys, stage
 
 MIN_BYTES = 100
 WARC_DATE = "2025-01-01T00:00:00Z"
@@ -94,14 +94,17 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, date
     out = {"lineSep": END, "compression": "gzip"}
     revisits.select(text.alias("value")).write.options(**out).text(f"{path}/revisits")
 
-    gone = revisits.where("key != first_key").select("key").distinct()
-    bodies = with_headers(pages).join(gone, "key", "left_anti")
-    if not rows.where("copies > 1").isEmpty():  # repeated rows: their payload is written once, or for short ones once for each
-        again = rows.where("copies > 1").select("key", F.when(F.col("n_bytes") >= min_bytes, F.lit(1).cast("long")).otherwise(F.col("copies")).alias("copies"))
-        once = bodies.join(again, "key").dropDuplicates(["key"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
-        bodies = bodies.join(again, "key", "left_anti").withColumn("copy", F.lit(1).cast("long")).unionByName(once)
-    else:
-        bodies = bodies.withColumn("copy", F.lit(1).cast("long"))
+    # Payloads that are written as they are read stay where they are; only those of copies and repeated rows are shuffled.
+    again = F.when(F.col("n_bytes") >= min_bytes, F.lit(1).cast("long")).otherwise(F.col("copies"))
+    gone = revisits.where("key != first_key").select("key", "page_id", F.lit(0).cast("long").alias("times")).distinct()
+    met = gone.unionByName(rows.where("copies > 1").select("key", "page_id", again.alias("times")).join(gone.select("key"), "key", "left_anti"))
+    met = stage(met, "repeated")
+    apart, near = split_by_keys(pages.select("page_id", "url", "html"), F.xxhash64("page_id"), met.select(F.xxhash64("page_id").alias("h")))
+    met, near = met.drop("page_id"), with_headers(near)
+    bodies = with_headers(apart).unionByName(near.join(met, "key", "left_anti")).withColumn("copy", F.lit(1).cast("long"))
+    if not met.where("times > 0").isEmpty():
+        once = near.join(met.where("times > 0"), "key").dropDuplicates(["key"])
+        bodies = bodies.unionByName(once.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times"))
     text = _record(F.lit("response"), _urn(F.col("key"), F.col("copy")), F.lit(None).cast("string"), date, F.col("html"))
     bodies.select(text.alias("value")).write.options(**out).text(f"{path}/responses")
 

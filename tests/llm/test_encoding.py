@@ -14,7 +14,7 @@ from lexmere.llm.common import shared_dir
 
 from .conftest import ROWS
 
-PARTS = st.lists(st.one_of(st.sampled_from([" ", "  ", "\n", "\t", " \n", "<|endoftext|>", "<|", "'s", "The", "the", "café", "Été", "12", ".", "|", " ", "İ", "Σ", "é", "ẞ", "\U0001f600", "\x85"]), st.text(max_size=4)), max_size=12)
+PARTS = st.lists(st.one_of(st.sampled_from([" ", "  ", "\n", "\t", " \n", "<|endoftext|>", "<|", "'s", "The", "the", "café", "Été", "12", ".", "|", " ", "İ", "Σ", "é", "ẞ", "\U0001f600", "\x85", "\n\n", "a.\nB", "x ", "ÿ", "×", "—", "«", "\u3000", "ж", "中"]), st.text(max_size=4)), max_size=12)
 
 
 @pytest.mark.parametrize(("name", "make"), [("word_bpe_49k.json", encoding.word_encoder), ("byte_bpe_50k.json", encoding.byte_encoder)])
@@ -25,7 +25,21 @@ def test_same_ids_as_whole_texts(name, make, parts):
     if not hasattr(test_same_ids_as_whole_texts, name):
         setattr(test_same_ids_as_whole_texts, name, Tokenizer.from_file(public_tokenizers.path(name)))
     whole = getattr(test_same_ids_as_whole_texts, name).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(make().encode([text])[0], "<u2").tolist() == whole
+    ids, sizes = make().encode(["x y", text, None, "z. " + text], 2)
+    ends = np.cumsum(sizes)
+    assert ids[ends[0] : ends[1]].tolist() == [*whole, 2] and ids[ends[1] : ends[2]].tolist() == [2]
+    assert ids[ends[2] :].tolist() == [*getattr(test_same_ids_as_whole_texts, name).encode("z. " + text, add_special_tokens=False).ids, 2]
+
+
+def test_other_vocabularies_encode_whole_texts(tmp_path):
+    import json
+
+    settings = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    settings["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(settings))
+    encoder = encoding.Encoder(str(tmp_path / "other.json"), spaced=True)
+    ids, sizes = encoder.encode(["some words", None], 2)
+    assert not encoder.cuttable and ids.tolist() == [*encoder.tokenizer.encode("some words").ids, 2, 2] and sizes.tolist()[1] == 1
 
 
 def ids_of(name):

@@ -25,7 +25,7 @@ def test_against_brute_force(odd, keep, pick):
         for i in ids:
             want.append((i, best, len(ids), i == best and not seen, hashlib.sha256(text.encode()).hexdigest()))
             seen |= i == best
-    got = [tuple(r)[:5] for r in exact_dedup.exact_groups(odd, keep=keep, fan_in=3, levels=2).collect()]
+    got = [tuple(r)[:5] for r in exact_dedup.exact_groups(odd, keep=keep, bits=1, rounds=3).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
@@ -41,4 +41,4 @@ def test_rows_that_stay(odd, no_rows):
 def test_clash_is_found(spark):
     leaves = spark.createDataFrame([(0, b"d", 1, 1, 5, 5), (1, b"d", 2, 1, 6, 6)], "run int, digest binary, best long, n long, lo long, hi long")
     with pytest.raises(Exception, match="equal digests"):
-        exact_dedup.tree_merge(leaves, 2, 1).collect()
+        exact_dedup.tree_merge(leaves, 1, 1).collect()

@@ -57,7 +57,7 @@ def test_pairs_are_whole(spark):
     seeds = [rng.getrandbits(64) for _ in range(40)] + [0, (1 << 64) - 1]
     fps = list(dict.fromkeys(seeds + [s ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))) for s in seeds for _ in range(6)]))
     signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
-    rows = spark.createDataFrame(list(zip(signed, signed, strict=True)), "node long, fp long")
+    rows = spark.createDataFrame([(x,) for x in signed], "fp long")
     for most in (0, 1, 3, 4):
         got = {tuple(r) for r in simhash.near_pairs(rows, most).collect()}
         want = {(min(a, b), max(a, b)) for k, a in enumerate(signed) for b in signed[:k] if bin((a ^ b) & (1 << 64) - 1).count("1") <= most}
