@@ -2,8 +2,8 @@
 
 Texts become normalised TF-IDF vectors of hashed byte trigrams. Document frequencies cover every training row; the
 centroids of each language come from spherical k-means over a bounded sample of its training rows. A text takes the
-language of the centroid with the largest cosine and is rejected where it lies farther from it than all but a small share
-of each language's training rows lie from theirs.
+language of the centroid with the largest cosine and is rejected where it lies much farther from it than training rows
+lie from theirs.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ BUCKETS = 1 << 13
 CENTROIDS = 4
 #: Training rows of each language that the clustering sees (all rows count for document frequencies).
 SAMPLE = 1500
-#: The share of a language's training rows that may lie too far from its centroids; the largest distance that any language
-#: needs for that is where texts are rejected, so that a language of few training rows isn't held to their distances alone.
-TOO_FAR = 0.001
+#: The share of a language's training rows that may lie far from its centroids. Texts are rejected where their cosine is
+#: below half of what the others reach in the language where that is least; so a language of few training rows isn't held
+#: to their distances alone.
+FAR, HALF = 0.01, 0.5
 LETTER = regex.compile(r"\p{L}")
 #: Bytes as they count: letters and the bytes of longer characters as they are, all others a space.
 FOLD = np.array([b if b > 0x7F or chr(b).isalpha() else 0x20 for b in range(256)], np.uint8)
@@ -115,13 +116,13 @@ def fit(train: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> dict:
         if not len(x):
             return pd.DataFrame({"lang": [], "centroid": [], "least": []})
         c = cluster(x, k)
-        least = float(np.quantile((x @ c.T).max(axis=1), TOO_FAR))
+        least = float(HALF * np.quantile((x @ c.T).max(axis=1), FAR))
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [r.astype(np.float32).tobytes() for r in c], "least": least})
 
     rows = some.groupBy("lang").applyInPandas(one, "lang string, centroid binary, least double").collect()  # k rows a language
     rows = sorted(map(tuple, rows))
     matrix = np.stack([np.frombuffer(c, np.float32) for _, c, _ in rows]) if rows else np.zeros((0, BUCKETS), np.float32)
-    return {"idf": idf, "langs": [lang for lang, _, _ in rows], "centroids": matrix, "least": min((x for _, _, x in rows), default=0.0) - 1e-6}
+    return {"idf": idf, "langs": [lang for lang, _, _ in rows], "centroids": matrix, "least": min((x for _, _, x in rows), default=0.0)}
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:

@@ -239,7 +239,7 @@ def overlapping(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     read for it."""
     named = pairs.select(F.col("a").alias("h")).union(pairs.select("b"))
     _, some = split_by_keys(docs.select("text"), text_key(), named)
-    sets = stage(shingle_sets(some, shingle), "named-sets")
+    sets = shingle_sets(some, shingle)
     of = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
     shared, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
     held = shared * sum(OVERLAP) >= both * OVERLAP[0]
@@ -262,30 +262,31 @@ def overlap_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, max_bits: int
     # Common shingles are dealt to several parts. The set with the most of them leads: of a text and its altered copies,
     # the text, which links to most of the others.
     salt = F.pmod(F.col("node"), F.lit(SALTS)).cast("int") + 1
-    rank = F.struct(F.size("hot").alias("hot"), "node").alias("rank")
-    entries = rows.select(rank, F.lit(0).alias("salt"), F.explode("first").alias("shingle")).union(rows.select(rank, salt, F.explode("hot")))
+    entries = rows.select("node", F.lit(0).alias("hot"), F.lit(0).alias("salt"), F.lit(0).alias("before"), F.posexplode("first").alias("place", "shingle"))
+    entries = entries.union(rows.select("node", F.size("hot").alias("common"), salt.alias("salt"), F.size("first").alias("before"), F.posexplode("hot").alias("place", "shingle")))
+    entries = entries.select("node", "shingle", (F.col("before") + F.col("place")).alias("place"), "hot", "salt")
     w = Window.partitionBy("shingle", "salt")
-    met = entries.select("rank", "shingle", F.max("rank").over(w).alias("lead"), F.min("rank").over(w).alias("last"), "salt")
-    met = met.where("lead <> last or salt > 0").select(F.col("rank.node").alias("node"), "shingle", "lead")
-    first = stage(met.distinct(), "met")
-    top = first.groupBy("shingle").agg(F.max("lead").alias("top"))
+    rank = F.struct("hot", "node")
+    met = entries.select("node", "shingle", "place", F.max(rank).over(w).alias("lead"), F.min(rank).over(w).alias("last"), "salt")
+    first = stage(met.where("lead <> last or salt > 0").select("node", "shingle", "place", "lead").distinct(), "met")
+    top = first.groupBy("shingle").agg(F.max("lead").alias("top"), F.min("lead").alias("low")).where("top <> low")
     stars = first.select(F.col("lead.node").alias("lead"), "node").union(first.select("shingle", "lead").distinct().join(top, "shingle").select("top.node", "lead.node"))
     stars = stars.where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
     pairs = stage(near.union(same).union(stars).distinct().transform(alike, nodes), "candidates")
     links = stage(overlapping(pairs, docs, shingle), "overlaps")
 
-    part = first.select("shingle", "node").join(connected_components(links), "node", "left").select("shingle", "node", F.coalesce("component", "node").alias("c"))
-    part = stage(part, "parts")
-    mixed = part.groupBy("shingle").agg(F.min("c").alias("c"), F.max("c").alias("d")).where("c <> d").select("shingle")
-    part = stage(part.join(mixed, "shingle", "left_semi"), "mixed")
-    short = F.transform(F.concat("first", "hot"), lambda s: F.shiftright(s, 32).cast("int"))
-    named = rows.join(part.select("node").distinct(), "node", "left_semi").select("node", "n", "fp", short.alias("l")).dropDuplicates(["node"])
-    part = part.join(named, "node").withColumn("s", F.shiftright("shingle", 32).cast("int"))
-    a, b = (part.select("shingle", "s", F.col("node").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in ("n", "fp", "c", "l")]) for x in "ab")
-    met = F.array_intersect("la", "lb")
-    most = F.size(met) + F.greatest(F.col("na") - F.size("la"), F.col("nb") - F.size("lb"))
-    enough = (F.get(met, F.lit(0)) == F.col("s")) & (most * sum(OVERLAP) >= (F.col("na") + F.col("nb")) * OVERLAP[0])
-    rest = a.join(b.drop("s"), "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_overlap() & enough)
+    # Of such a pair's first shingles at least ``need`` are shared, or all later ones together would be too few; the first
+    # of these has need - 1 others after it in both sets.
+    comp = connected_components(links)
+    part = first.select("node", "shingle", "place").join(nodes, "node").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    part = part.select("node", "shingle", "place", "n", "fp", "c", F.count(F.lit(1)).over(Window.partitionBy("node")).cast("int").alias("m"))
+    group = Window.partitionBy("shingle")
+    part = part.withColumn("least", F.min("c").over(group)).withColumn("most", F.max("c").over(group)).where("least <> most").drop("least", "most")
+    a, b = (part.select("shingle", F.col("node").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in ("n", "fp", "c", "m", "place")]) for x in "ab")
+    later = lambda n: F.ceil(F.col(n) * F.lit(OVERLAP[0]) / F.lit(OVERLAP[1])) - 1
+    need = F.ceil((F.col("na") + F.col("nb")) * F.lit(OVERLAP[0]) / F.lit(sum(OVERLAP))) - F.greatest(later("na"), later("nb"))
+    early = (F.col("pa") <= F.col("na") - later("na") - need) & (F.col("pb") <= F.col("nb") - later("nb") - need)
+    rest = a.join(b, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("ma", "mb") >= need) & early & _may_overlap())
     rest = stage(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = stage(links.union(overlapping(rest, docs, shingle)), "all-overlaps")
