@@ -24,11 +24,11 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Pieces that a worker remembers; beyond, it starts afresh.
-MEMORY = 800_000
+MEMORY = 250_000
 #: Longer pieces are encoded each time that they occur in a slice.
 LONGEST = 48
 #: Bytes of text (about) that are encoded together.
-SLICE = 6 << 20
+SLICE = 3 << 20
 WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: How a space looks to a byte-level model; ASCII letters look like themselves.
 SPACE = "Ġ"

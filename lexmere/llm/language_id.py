@@ -134,13 +134,13 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     langs, centroids, idf, least = model["langs"], model["centroids"], model["idf"], model["least"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             at = b.schema.get_field_index(text_col)
             texts = b.column(at).to_pylist()
             lang, score, reject = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
             known = [k for k, t in enumerate(texts) if t and langs and LETTER.search(t)]
-            for i in range(0, len(known), 256):
-                part = known[i : i + 256]
+            for i in range(0, len(known), 128):
+                part = known[i : i + 128]
                 cos = vectors([texts[k] for k in part], idf) @ centroids.T
                 best = cos.argmax(axis=1)
                 for k, j, c in zip(part, best, cos.max(axis=1), strict=True):
