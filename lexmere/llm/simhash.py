@@ -38,9 +38,9 @@ OVERLAP = (4, 5)
 #: Bits that fingerprints of sets with that overlap may differ in: the mean is 9.7 and the deviation 2.9, so that about
 #: one pair in a million of just 0.8 lies beyond, and fewer of the nearer ones.
 FAR_BITS = 24
-#: Share of the documents (and least number of them) whose shingles are counted to find common ones, and how many of
+#: One in so many documents (but at least that number of them) has its shingles counted to find common ones; how many of
 #: these are told to tasks. They decide what work is done, never which pairs are found.
-ORDER_SHARE, ORDER_DOCS, ORDER_SHINGLES = 64, 8_000, 1 << 18
+ORDER_SHARE, ORDER_DOCS, ORDER_SHINGLES = 8, 8_000, 1 << 18
 #: Parts that documents with a common shingle are dealt to.
 SALTS = 16
 
@@ -180,11 +180,11 @@ def lists(sets: list[np.ndarray]) -> pa.ListArray:
 
 
 def common_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
-    """The shingles that occur in three or more documents of a sample, commonest last."""
+    """The shingles that occur in two or more documents of a sample, commonest last."""
     share = min(1.0, max(1 / ORDER_SHARE, ORDER_DOCS / max(docs.count(), 1)))
     some = docs.where(F.pmod(text_key(), F.lit(1 << 20)) < share * (1 << 20))
-    counts = shingle_sets(some, shingle).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
-    return np.array([r.s for r in counts.orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).collect()][::-1], np.int64)
+    counts = shingle_sets(some, shingle).select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return counts.orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).select("s").toArrow().column(0).to_numpy()[::-1].copy()
 
 
 def sketches(docs: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
