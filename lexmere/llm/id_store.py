@@ -109,6 +109,15 @@ def combine_crcs(crcs: np.ndarray, n_bytes: np.ndarray, sizes: np.ndarray) -> np
     return out
 
 
+MANIFEST = "part long, n_docs long, n_tokens long, root binary"
+
+
+def _manifest_row(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The totals of a part of the recipes and the Merkle root of its documents' roots."""
+    pdf = pdf.sort_values("start_in_part")
+    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n_docs": [len(pdf)], "n_tokens": [pdf["n_tokens"].sum()], "root": [merkle_root(list(pdf["root"]))]})
+
+
 def write_store(docs: DataFrame, path: str, encoder: Callable[[], Encoder] = word_encoder, end_id: int = END_ID) -> None:
     """Writes the ids of docs (doc_id, text), with end_id after each document, as a store below path.
 
@@ -182,11 +191,7 @@ def write_store(docs: DataFrame, path: str, encoder: Callable[[], Encoder] = wor
     recipes = f"row long, doc_id {kind}, n_tokens long, hashes array<binary>, part long, start_in_part long, root binary"
     ordered.mapInArrow(part_of, recipes).write.parquet(f"{path}/recipes")
 
-    def manifest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start_in_part")
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n_docs": [len(pdf)], "n_tokens": [pdf["n_tokens"].sum()], "root": [merkle_root(list(pdf["root"]))]})
-
-    parts = spark.read.parquet(f"{path}/recipes").select("part", "start_in_part", "n_tokens", "root").groupBy("part").applyInPandas(manifest, "part long, n_docs long, n_tokens long, root binary")
+    parts = spark.read.parquet(f"{path}/recipes").select("part", "start_in_part", "n_tokens", "root").groupBy("part").applyInPandas(_manifest_row, MANIFEST)
     parts = parts.select("*", (F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).alias("start"))  # a row for each part
     parts.write.parquet(f"{path}/manifest")
 
@@ -194,8 +199,9 @@ def write_store(docs: DataFrame, path: str, encoder: Callable[[], Encoder] = wor
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (over ids as little-endian unsigned 32-bit integers), verified, of each document.
 
-    Every stored chunk is read and held against its address; each document's chunks are put together by its recipe and
-    held against its Merkle root and length. What doesn't hold raises an error.
+    Every stored chunk is read and held against its address; each document's chunks are held against its Merkle root and
+    length, and its checksum is put together from theirs by its recipe (read_ids puts ids together); each part's recipes
+    are held against the manifest. What doesn't hold raises an error.
     """
     chunks = spark.read.parquet(f"{path}/chunks").where("ids is not null").select("hash", "ids")
 
@@ -215,7 +221,12 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     uses = recipes.select("row", F.posexplode("hashes").alias("pos", "hash"))
     found = uses.join(digests, "hash").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "crc", "n", "hash"))).alias("c"))
     found = found.select("row", F.col("c.crc").alias("crcs"), F.col("c.n").alias("ns"), F.col("c.hash").alias("found"))
-    manifest = spark.read.parquet(f"{path}/manifest").select("part", F.col("start").alias("before"))
+    manifest = spark.read.parquet(f"{path}/manifest")
+    parts = recipes.select("part", "start_in_part", "n_tokens", "root").groupBy("part").applyInPandas(_manifest_row, MANIFEST)
+    both = parts.alias("f").join(manifest.alias("m"), "part", "full")
+    if not both.where(" or ".join(f"not (f.{c} <=> m.{c})" for c in ("n_docs", "n_tokens", "root"))).isEmpty():
+        raise ValueError("the recipes of a part differ from the manifest")
+    manifest = manifest.select("part", F.col("start").alias("before"))
     each = recipes.drop("hashes").join(F.broadcast(manifest), "part").join(found, "row", "left")
     each = each.select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "root", "crcs", "ns", "found")
 

@@ -88,6 +88,63 @@ def test_damaged_store(spark):
         id_store.read_index(spark, path).collect()
 
 
+def test_lost_recipe(spark):
+    path = shared_dir(spark, "store-test")
+    docs = spark.createDataFrame([(i, f"words {i}") for i in range(40)], "doc_id long, text string")
+    id_store.write_store(docs, path)
+    rows = spark.read.parquet(f"{path}/recipes")
+    rows.where("doc_id <> 7").write.parquet(f"{path}/recipes2")
+    import shutil
+
+    local = path.removeprefix("file:").replace("//", "/")
+    shutil.rmtree(f"{local}/recipes")
+    shutil.move(f"{local}/recipes2", f"{local}/recipes")
+    with pytest.raises(ValueError, match="differ from the manifest"):
+        id_store.read_index(spark, path)
+
+
+def brute_best_two_fit(lengths, capacity):
+    """By the method's words: fill with the longest that fit; then give a bin's smallest item for the two that fill best."""
+    free = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    bins = []
+    while free:
+        held, gap = [], capacity
+        while True:
+            for i in list(free):
+                if lengths[i] <= gap:
+                    held.append(i)
+                    free.remove(i)
+                    gap -= lengths[i]
+            if not gap or len(held) < 2 or not free:
+                break
+            small = min(held, key=lambda i: lengths[i])
+            room = gap + lengths[small]
+            sums = {lengths[i] + lengths[j] for k, i in enumerate(free) for j in free[:k] if lengths[small] < lengths[i] + lengths[j] <= room}
+            if not sums:
+                break
+            pair = min(((i, j) for k, i in enumerate(free) for j in free[:k] if lengths[i] + lengths[j] == max(sums)), key=lambda p: min(lengths[p[0]], lengths[p[1]]))
+            held.remove(small)
+            held += pair
+            for i in pair:
+                free.remove(i)
+            free = sorted([*free, small], key=lambda i: (-lengths[i], i))
+            gap = room - max(sums)
+        bins.append(sorted(lengths[i] for i in held))
+    return sorted(bins)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_best_two_fit_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.sort(rng.integers(1, rng.integers(5, 60), 40))[::-1].astype(np.int64)
+    of, at = packing.best_two_fit(lengths, 64)
+    got = sorted(sorted(lengths[of == b].tolist()) for b in range(of.max() + 1))
+    assert got == brute_best_two_fit(lengths.tolist(), 64)
+    for b in range(of.max() + 1):  # gapless from 0
+        ends = sorted(zip(at[of == b].tolist(), lengths[of == b].tolist(), strict=True))
+        assert ends[0][0] == 0 and all(x + n == y for (x, n), (y, _) in zip(ends, ends[1:], strict=False))
+
+
 def test_chunks_follow_content():
     rng = np.random.default_rng(3)
     passage = rng.integers(0, 49000, 6000).astype("<u2")
