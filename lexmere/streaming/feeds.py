@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -64,20 +65,24 @@ def limit_calls(calls: DataFrame) -> DataFrame:
 
 
 def refresh(feed: DataFrame, path: str) -> DataFrame:
-    """The latest revision of each title from a change feed: each batch merges its own into the table before and writes
-    a new one beside it, named by the batch, so that a batch that runs again gives the same result."""
+    """The latest revision of each title from a change feed: each batch merges its own into the version that the batch
+    before has written and writes one of its own, named by its number. A batch that runs again gives the same version,
+    and a restart from the same path goes on from the last one."""
     spark = feed.sparkSession
-    done: list[str] = []
+    version = lambda number: f"{path}/versions/number={number}"
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.groupBy("title").agg(F.max("revision").alias("revision"))
-        if done:
-            new = spark.read.parquet(done[-1]).unionByName(new).groupBy("title").agg(F.max("revision").alias("revision"))
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
-        done.append(f"{path}/v{number}")
+        new = batch.select("title", "revision")
+        if number:
+            new = spark.read.parquet(version(number - 1)).unionByName(new)
+        new.groupBy("title").agg(F.max("revision").alias("revision")).write.mode("overwrite").parquet(version(number))
 
     feed.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(done[-1]) if done else spark.createDataFrame([], "title long, revision long")
+    try:
+        last = spark.read.parquet(f"{path}/versions").agg(F.max("number")).first()[0]
+    except AnalysisException:  # no batch yet
+        last = None
+    return spark.createDataFrame([], "title long, revision long") if last is None else spark.read.parquet(version(last))
 
 
 @query("""
@@ -93,7 +98,7 @@ def tumbling_counts(t: Tables) -> DataFrame:
         done.append(f"{path}/v{number}")
 
     out.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(done[-1])
+    return t.spark.read.parquet(done[-1]) if done else t.spark.createDataFrame([], "start timestamp_ntz, event_type string, n long, total double")
 
 
 @query("SELECT user_id AS title, max(event_id) AS revision FROM events GROUP BY 1")
