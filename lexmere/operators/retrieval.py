@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmere.functions.text import compact_form, content_words, longest_words, search_form
+from lexmere.functions.text import compact_form, content_words, facets_match, longest_words, search_form
 from lexmere.plans.registry import Tables, query
 
-STRONG, TAIL, TOTAL, BROAD = 12, 4, 16, 60
+STRONG, TAIL, TOTAL = 12, 4, 16
+NARROW, BROAD, TOO_BROAD = 25, 60, 120
+SLICES, BLOCK = 32, 4096
 
 
 def lexical_rank(needle: Column, words: Column, title: Column) -> Column:
@@ -66,31 +70,61 @@ def similar_titles(t: Tables) -> DataFrame:
     return best.select("id", "other", F.round("s", 4).alias("score"))
 
 
+def nearest(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """rows (vec_id, embedding), queries (query_id, e): each query's k rows of largest cosine (query_id, vec_id, s).
+
+    Queries form blocks and rows form slices; each block meets each slice in a task of its own. Null vectors, and those of
+    length zero, score null and come last.
+    """
+    blocks = -(-max(queries.count(), 1) // BLOCK)
+    cell = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = queries.select("query_id", "e", part("query_id", blocks).alias("block"), cell("slice", SLICES))
+    pairs = rows.select("vec_id", "embedding", part("vec_id", SLICES).alias("slice"), cell("block", blocks)).join(asked, ["block", "slice"])
+    scored = pairs.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("e")).alias("s"))
+    return scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id"))).where(F.col("r") <= k).drop("r")
+
+
+def vector_queries(t: Tables) -> DataFrame:
+    return t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
+
+
 @query("""
-WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
-SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT e::DOUBLE[] FROM q)), 4) AS score FROM embeddings
-ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT e::DOUBLE[] FROM q)) DESC, vec_id LIMIT 40""")
+SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS score
+FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) <= 40""")
 def nearest_vectors(t: Tables) -> DataFrame:
-    q = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("e"))  # one row
-    scored = t.embeddings.join(F.broadcast(q)).select("vec_id", cosine(F.col("embedding"), F.col("e")).alias("s"))
-    return scored.orderBy(F.desc("s"), "vec_id").limit(40).select("vec_id", F.round("s", 4).alias("score"))
+    return nearest(t.embeddings, vector_queries(t), 40).select("query_id", "vec_id", F.round("s", 4).alias("score"))
 
 
 @query("""
-WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0),
-vec AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT e FROM q)), 6) AS v FROM embeddings ORDER BY v DESC, id LIMIT 40),
-fts AS (SELECT doc_id AS id, round((contains(lower(text), 'the')::INT + contains(lower(text), 'with')::INT + contains(lower(text), 'stion')::INT) / 3, 6) AS f FROM documents
-        WHERE contains(lower(text), 'the') OR contains(lower(text), 'with') OR contains(lower(text), 'stion') ORDER BY f DESC, id LIMIT 40)
-SELECT coalesce(vec.id, fts.id) AS id, round(0.5 * coalesce(f, 0) + 0.5 * coalesce(v, 0), 4) AS score
-FROM vec FULL JOIN fts ON vec.id = fts.id ORDER BY 0.5 * coalesce(f, 0) + 0.5 * coalesce(v, 0) DESC, id LIMIT 10""")
+WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[^ \\t\\n\\v\\f\\r]+'))) AS word FROM documents),
+qw AS (SELECT doc_id AS query_id, word FROM w WHERE doc_id % 50 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)
+       QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(word) DESC, word) <= 3),
+n AS (SELECT query_id, count(*) AS n FROM qw GROUP BY 1),
+fts AS (SELECT query_id, w.doc_id AS id, round(count(*) / any_value(n), 6) AS f FROM qw JOIN w USING (word) JOIN n USING (query_id) GROUP BY 1, 2
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(count(*) / any_value(n), 6) DESC, w.doc_id) <= 40),
+vec AS (SELECT query_id, id, v FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS v,
+               row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS r
+        FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) WHERE r <= 40)
+SELECT query_id, id, round(0.5 * coalesce(f, 0) + 0.5 * coalesce(v, 0), 4) AS score FROM vec FULL JOIN fts USING (query_id, id)
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 0.5 * coalesce(f, 0) + 0.5 * coalesce(v, 0) DESC, id) <= 10""")
 def hybrid_search(t: Tables) -> DataFrame:
-    """Half word overlap, half vector similarity; each side is cut to its best 40 before they meet."""
-    q = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("e"))
-    vec = t.embeddings.join(F.broadcast(q)).select(F.col("vec_id").alias("id"), F.round(cosine(F.col("embedding"), F.col("e")), 6).alias("v")).orderBy(F.desc("v"), "id").limit(40)
-    hits = sum((F.lower("text").contains(w).cast("int") for w in ("the", "with", "stion")), F.lit(0))
-    fts = t.documents.select(F.col("doc_id").alias("id"), F.round(hits / 3, 6).alias("f")).where("f > 0").orderBy(F.desc("f"), "id").limit(40)
-    score = 0.5 * F.coalesce("f", F.lit(0.0)) + 0.5 * F.coalesce("v", F.lit(0.0))
-    return vec.join(fts, "id", "full").select("id", score.alias("s")).orderBy(F.desc("s"), "id").limit(10).select("id", F.round("s", 4).alias("score"))
+    """Half word overlap, half vector similarity; each side is cut to its best 40 a query before they meet.
+
+    A query is the vector of a row and the three longest words of the document with the same id.
+    """
+    queries = vector_queries(t)
+    vec = nearest(t.embeddings, queries, 40).select("query_id", F.col("vec_id").alias("id"), F.round("s", 6).alias("v"))
+    words = t.documents.select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("w"))
+    asked = words.join(queries.select(F.col("query_id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("query_id"), longest_words(F.col("w"), 3).alias("q"))
+    asked = asked.select("query_id", F.size("q").alias("n"), F.explode("q").alias("word"))
+    met = words.select(F.col("doc_id").alias("id"), F.explode("w").alias("word")).join(asked, "word")
+    fts = met.groupBy("query_id", "id").agg(F.round(F.count(F.lit(1)) / F.first("n"), 6).alias("f"))
+    fts = fts.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("f"), "id"))).where("r <= 40").drop("r")
+    both = vec.join(fts, ["query_id", "id"], "full").withColumn("s", 0.5 * F.coalesce("f", F.lit(0.0)) + 0.5 * F.coalesce("v", F.lit(0.0)))
+    best = both.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "id"))).where("r <= 10")
+    return best.select("query_id", "id", F.round("s", 4).alias("score"))
 
 
 @query("""
@@ -101,33 +135,81 @@ def unit_hits(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.size(units).cast("long").alias("matched"), F.array_join(units, ",").alias("units")).where("matched > 0")
 
 
-def fuse(hits: DataFrame, units: list[str], limit: int = STRONG) -> DataFrame:
-    """hits (id, unit, newest): the rows of several search units in one list (id, stage, matched).
+def fuse(rows: DataFrame, units: list[str], facets: list[list[str]] = [], limit: int = STRONG) -> DataFrame:  # noqa: B006
+    """rows (id, title, newest): the rows that several search units find, in one list (place, id, stage, matched).
+
+    A unit finds the titles in which each of its words begins a word, if every facet matches too. Units are asked in turn,
+    those of more words first. A unit gives its newest rows that no unit before gave: 12 if it finds up to 25 rows, 6 up
+    to 60, else none, and 12 in all. With fewer than two facets, units of one word give none, nor do those that find more
+    than 120 if there is no facet; these units only count as matches. Of rows that units held back, first those of two
+    units or more fill up the 12 (most units first, then the narrowest unit), then up to four of one unit of at most 60
+    rows follow, 16 in all.
 
-    Units come narrow first. A unit gives up to its budget (12 rows if it has 25 or fewer, 6 up to 60, else none) of
-    rows that no earlier unit gave; the rest is held. Held rows that two units or more found come next, most units
-    first; then a tail of up to four rows of narrow units.
+    The units are few; what comes to the driver is a count for each unit and the rows of the list. Null titles are never
+    found; of equal ids one counts.
     """
-    counts = {r["unit"]: r["n"] for r in hits.groupBy("unit").agg(F.countDistinct("id").alias("n")).collect()}  # a row for each unit
-    order = F.create_map(*[F.lit(x) for k, u in enumerate(units) for x in (u, k)])
-    size = F.create_map(*[F.lit(x) for u in units for x in (u, counts.get(u, 0))])
-    rows = hits.dropDuplicates(["id", "unit"]).withColumn("at", order[F.col("unit")]).withColumn("n", size[F.col("unit")])
-    rows = rows.groupBy("id").agg(F.count(F.lit(1)).alias("matched"), F.min(F.struct("at", "n")).alias("first"), F.min("n").alias("least"), F.max("newest").alias("newest"))
-    rows = rows.withColumn("budget", F.when(F.col("first.n") <= 25, 12).when(F.col("first.n") <= BROAD, 6).otherwise(0))
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("first.at").orderBy(F.desc("newest"), "id"))).where((F.col("r") <= TOTAL) | (F.col("matched") > 1))
-    strong = (F.col("r") <= F.col("budget"))
-    stage = F.when(strong, 0).when(F.col("matched") >= 2, 1).when(F.col("least") <= BROAD, 2)
-    a = F.when(stage == 0, F.col("first.at")).otherwise(-F.col("matched"))
-    b = F.when(stage == 0, F.col("r")).otherwise(F.col("least"))
-    ranked = rows.select("id", stage.alias("stage"), "matched", a.alias("a"), b.alias("b")).where("stage is not null").orderBy("stage", "a", "b", "id").limit(TOTAL)
-    return ranked.orderBy("stage", "a", "b", "id").limit(limit).select("id", "stage", "matched")
-
-
-@query()
+    units = sorted(dict.fromkeys(u.lower() for u in units), key=lambda u: -len(u.split()))
+    words = F.split(F.lower("title"), " ")
+    begins = lambda w: F.exists(words, lambda x: x.startswith(w))
+    found = F.array_compact(F.array(*[F.when(reduce(Column.__and__, [begins(w) for w in u.split()]), F.lit(k)) for k, u in enumerate(units)]))
+    hits = rows.where(facets_match(facets, F.col("title"))).select("id", "newest", found.alias("found")).where(F.size("found") > 0).dropDuplicates(["id"])
+    counts = {r["k"]: r["n"] for r in hits.select(F.explode("found").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    gives = [k for k, u in enumerate(units) if k in counts and (len(facets) >= 2 or (len(u.split()) > 1 and (facets or counts[k] <= TOO_BROAD)))]
+    out: list[tuple[int, int, int]] = []
+    left = lambda: hits.where(~F.col("id").isin([r[0] for r in out]))
+    for k in gives:
+        budget = min(12 if counts[k] <= NARROW else 6 if counts[k] <= BROAD else 0, STRONG - len(out))
+        if budget > 0:
+            out += [(r["id"], 0, r["m"]) for r in left().where(F.array_contains("found", k)).orderBy(F.desc("newest"), "id").limit(budget).select("id", F.size("found").alias("m")).collect()]
+    if gives:
+        narrowest = F.array_min(F.array(*[F.when(F.array_contains("found", k), F.struct(F.lit(counts[k]).alias("n"), F.lit(k).alias("k"))) for k in gives]))
+        held = lambda: left().withColumn("m", F.size("found")).withColumn("least", narrowest).where("least is not null")
+        cross = held().where("m >= 2").orderBy(F.desc("m"), "least", F.desc("newest"), "id").limit(STRONG - len(out)).collect()
+        out += [(r["id"], 1, r["m"]) for r in cross]
+        tail = held().where((F.col("m") == 1) & (F.col("least.n") <= BROAD)).orderBy("least", F.desc("newest"), "id").limit(min(TAIL, TOTAL - len(out))).collect()
+        out += [(r["id"], 2, r["m"]) for r in tail]
+    return rows.sparkSession.createDataFrame([(i + 1, *r) for i, r in enumerate(out[:limit])], "place int, id long, stage int, matched int")
+
+
+def fused_sql(units: list[str], facet: str, strict: bool) -> str:
+    """The steps of fuse over part as chained CTEs; units of more words first."""
+    hits = " UNION ALL ".join(
+        f"SELECT id, newest, {k} AS k FROM t WHERE " + " AND ".join(f"len(list_filter(string_split(title, ' '), lambda x: starts_with(x, '{w}'))) > 0" for w in u.split()) for k, u in enumerate(units)
+    )
+    gives = " OR ".join(["false"] + [f"(k = {k}" + ("" if strict or facet != "true" else " AND n <= 120") + ")" for k, u in enumerate(units) if strict or " " in u])
+    steps, before = [], "SELECT NULL::BIGINT AS id WHERE false"
+    for k in range(len(units)):
+        steps.append(f"""s{k} AS (SELECT id, {k} * 100 + row_number() OVER (ORDER BY newest DESC, id) AS o FROM h WHERE k = {k} AND k IN (SELECT k FROM g) AND id NOT IN ({before})
+          QUALIFY row_number() OVER (ORDER BY newest DESC, id) <= least((SELECT CASE WHEN n <= 25 THEN 12 WHEN n <= 60 THEN 6 ELSE 0 END FROM c WHERE k = {k}), 12 - (SELECT count(*) FROM ({before}))))""")
+        before += f" UNION ALL SELECT id FROM s{k}"
+    strong = " UNION ALL ".join(f"SELECT id, 0 AS stage, o FROM s{k}" for k in range(len(units)))
+    return f"""
+WITH t AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_type) AS title, p_partkey AS newest FROM part WHERE {facet}), h AS ({hits}),
+c AS (SELECT k, count(*) AS n FROM h GROUP BY 1), g AS (SELECT k FROM c WHERE {gives}), m AS (SELECT id, count(*) AS m FROM h GROUP BY 1),
+{", ".join(steps)},
+strong AS ({strong}),
+held AS (SELECT id, newest, m, n, k FROM h JOIN c USING (k) JOIN g USING (k) JOIN m USING (id) WHERE id NOT IN (SELECT id FROM strong)
+         QUALIFY row_number() OVER (PARTITION BY id ORDER BY n, k) = 1),
+crossed AS (SELECT id, 1 AS stage, row_number() OVER (ORDER BY m DESC, n, k, newest DESC, id) AS o FROM held WHERE m >= 2
+            QUALIFY row_number() OVER (ORDER BY m DESC, n, k, newest DESC, id) <= 12 - (SELECT count(*) FROM strong)),
+tail AS (SELECT id, 2 AS stage, row_number() OVER (ORDER BY n, k, newest DESC, id) AS o FROM held WHERE m = 1 AND n <= 60
+         QUALIFY row_number() OVER (ORDER BY n, k, newest DESC, id) <= least(4, 16 - (SELECT count(*) FROM strong) - (SELECT count(*) FROM crossed)))
+SELECT row_number() OVER (ORDER BY stage, o)::INT AS place, id, stage, m::INT AS matched
+FROM (SELECT * FROM strong UNION ALL SELECT * FROM crossed UNION ALL SELECT * FROM tail) JOIN m USING (id)"""
+
+
+def part_titles(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("id"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("title"), F.col("p_partkey").alias("newest"))
+
+
+@query(fused_sql(["small ring econ", "red bolt", "small ring", "ring"], "true", False))
 def fused_search(t: Tables) -> DataFrame:
-    units = ["small ring", "red", "ring"]
-    unit = F.explode(F.filter(F.array(*[F.lit(u) for u in units]), lambda u: F.contains(F.col("p_name"), u))).alias("unit")
-    return fuse(t.part.select(F.col("p_partkey").alias("id"), unit, F.col("p_retailprice").alias("newest")), units)
+    return fuse(part_titles(t), ["ring", "small ring econ", "red bolt", "small ring"], limit=TOTAL)
+
+
+@query(fused_sql(["small ring", "blue bolt", "ring", "red"], "(contains(lower(p_type), 'economy') OR contains(lower(p_type), 'standard')) AND (contains(p_name, 'ring') OR contains(p_name, 'bolt') OR contains(p_name, 'widget'))", True))
+def fused_search_within_facets(t: Tables) -> DataFrame:
+    return fuse(part_titles(t), ["ring", "small ring", "red", "blue bolt"], [["economy", "standard"], ["ring", "bolt", "widget"]], limit=TOTAL)
 
 
 @query("""

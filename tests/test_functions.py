@@ -61,9 +61,20 @@ def test_search(spark):
     assert [r.id for r in search_titles(titles, "חוק יסוד").collect()] == [1, 2]
     assert [r.id for r in search_titles(titles, "בינלאומי").collect()] == [3]
     assert [r.id for r in search_titles(titles, "הכנסת חוק").collect()] == [1] and search_titles(titles, "  ").count() == 0
-    hits = [(i, "narrow", i) for i in range(20)] + [(i, "other", i) for i in range(15, 45)]
-    got = fuse(spark.createDataFrame(hits, "id long, unit string, newest long"), ["narrow", "other"], 12).collect()
-    assert [r.id for r in got] == list(range(19, 7, -1)) and got[0].matched == 2
+
+
+def test_fusion(spark):
+    def listed(titles, units, facets=[]):  # noqa: B006
+        rows = spark.createDataFrame([(i, x, i) for i, x in enumerate(titles)], "id long, title string, newest long")
+        return [(r.id, r.stage, r.matched) for r in fuse(rows, units, facets, 16).orderBy("place").collect()]
+
+    # 40 rows: six of the budget, then a tail of four; the unit of one word only counts as a match
+    assert listed(["old mill"] * 40, ["old mill"]) == [(i, 0, 1) for i in range(39, 33, -1)] + [(i, 2, 1) for i in range(33, 29, -1)]
+    assert listed(["old mill"] * 3, ["mill"]) == [] and listed(["old mill", None] * 2, ["mill"], [["old"], ["mill"]]) == [(2, 0, 1), (0, 0, 1)]
+    # a unit goes on where the first one's budget ends, and rows of two units come before the tail
+    got = listed(["old mill"] * 30 + ["old mill road"] * 10, ["mill road", "old mill"])
+    assert [r[0] for r in got] == [*range(39, 29, -1), 29, 28, 27, 26, 25, 24] and [r[1] for r in got] == [0] * 12 + [2] * 4
+    assert listed(["a b"] * 121, ["a b"]) == [] and listed(["a b c"] * 61, ["a b", "b c"]) == [(i, 1, 2) for i in range(60, 48, -1)]
 
 
 def test_edits(spark):
