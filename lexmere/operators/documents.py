@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmere.functions.text import sentences, short_hash, unified_punctuation, word_count
@@ -116,6 +116,109 @@ def unconsumed_content(t: Tables) -> DataFrame:
     return t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.contains("text", F.lit("|"))).alias("tables"), F.count_if(F.contains("text", F.lit("!!"))).alias("shouts"))
 
 
+# What ends a sentence, the markers of lines that list publications, and words that tell amending bills.
+TERMINAL = '.;:!?”"׃'
+REGISTRY_MARKERS = ("נוסח מאוחד", "נוסחים קודמים")
+AMENDING_NOUNS = ("תיקון", "תיקוני", "ביטול")
+LAW_NOUNS = ("חוק", "פקודת", "פקודה", "חוק-יסוד", "חוק־יסוד")
+CLOSING_WORDS = ("תחילתו", "תחילתה", "תחילת", "תחולה", "הוראת מעבר", "ביצוע ותקנות")
+
+
+def unconsumed_lines(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text): lines outside of tables that are neither template calls nor categories (doc_id, line_no, line,
+    kind). A line is a duplicate if the next line holds it, a continuation if the line before doesn't end a sentence, else
+    standalone; blank lines don't count. Null and empty texts give no rows."""
+    lines = docs.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.trim(x))).alias("line_no", "line")).where("line <> ''")
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    table, closes = F.col("line").rlike(r"(?i)^(\{\||<table\b)"), F.col("line").rlike(r"(?i)(\|\}$|</table\s*>)")
+    state = F.last(F.when(closes, False).when(table, True), ignorenulls=True).over(w)
+    rows = lines.withColumn("open", state).withColumn("inside", F.coalesce(F.lag("open").over(w), F.lit(False)) | table)
+    rows = rows.withColumn("before", F.lag("line").over(w)).withColumn("after", F.lead("line").over(w))
+    ended = F.contains(F.lit(TERMINAL), F.right("before", F.lit(1)))
+    kind = F.when(F.contains("after", F.col("line")), "duplicate").when(F.col("before").isNotNull() & ~ended, "continuation").otherwise("standalone")
+    consumed = F.col("inside") | F.col("line").startswith("{{") | F.col("line").rlike(r"^\[\[(Category|קטגוריה):")
+    return rows.where(~consumed).select("doc_id", "line_no", "line", kind.alias("kind"))
+
+
+def citation_entries(docs: DataFrame, start: str = "{{preamble}}", end: str = "{{end}}", box: str = "box") -> DataFrame:
+    """docs (id, body): the publications that a law's preamble lists (id, place, year, ordinal, page, name, amendment).
+
+    A box holds "year, page" or a page alone, which goes with the year before it, then a name. Lines without one of the
+    markers, boxes without a name, and what stands outside of the preamble don't count.
+    """
+    body = F.when(F.contains("body", F.lit(start)), F.substring_index(F.substr("body", F.instr("body", start) + len(start)), end, 1))
+    listed = F.filter(F.split(body, "\n"), lambda x: F.contains(x, F.lit(REGISTRY_MARKERS[0])) | F.contains(x, F.lit(REGISTRY_MARKERS[1])))
+    boxes = F.flatten(F.transform(listed, lambda x: F.regexp_extract_all(x, F.lit(rf"\{{\{{{box}\|(.*?)\}}\}}"), F.lit(1))))
+    rows = docs.select("id", F.posexplode(F.transform(boxes, lambda b: F.split(b, r"\|"))).alias("place", "f")).where(F.size("f") > 1)
+    cite, name = F.trim(F.get("f", F.lit(0))), F.trim(F.get("f", F.lit(1)))
+    head, tail = F.trim(F.substring_index(cite, ",", 1)), F.trim(F.substr(cite, F.instr(cite, ",") + 1))
+    dated = F.contains(cite, F.lit(",")) & (head != "") & (tail != "")
+    rows = rows.select("id", "place", F.when(dated, head).alias("own"), F.when(dated, tail).otherwise(cite).alias("page"), name.alias("name"))
+    w = Window.partitionBy("id").orderBy("place")
+    rows = rows.withColumn("year", F.coalesce(F.last("own", ignorenulls=True).over(w), F.lit("")))
+    ordinal = F.row_number().over(Window.partitionBy("id", "year").orderBy("place"))
+    amendment = F.nullif(F.regexp_extract("name", r"תיקון מס['׳]\s*(\d+)", 1), F.lit(""))
+    return rows.select("id", "place", "year", ordinal.alias("ordinal"), "page", "name", amendment.alias("amendment"))
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(text, r"[\s,.;:]+", " ")), " ")
+
+
+def bill_kinds(bills: DataFrame, openings: DataFrame) -> DataFrame:
+    """bills (bill_id, title), openings (bill_id, opening): amending, new or unknown (bill_id, kind).
+
+    A title amends by a bracket that opens with a noun of amendment, or by "for the amendment of". A body amends if at
+    least half of its sections, closing ones aside, open by pointing to another law. The body prevails where it amends; a
+    title that amends over a body that doesn't is unknown; without sections the title decides.
+    """
+    brackets = F.split("title", r"\(")
+    noun = F.exists(F.slice(brackets, 2, F.size(brackets)), lambda x: F.contains(x, F.lit(")")) & F.get(_words(F.translate(x, ")", " ")), F.lit(0)).isin(*AMENDING_NOUNS))
+    by_title = F.coalesce(noun | F.array_contains(_words(F.col("title")), "לתיקון"), F.lit(False))
+    w = openings.where(F.trim("opening") != "").select("bill_id", _words(F.col("opening")).alias("w"))
+    first, second, third = (F.get("w", F.lit(i)) for i in range(3))
+    self = F.substr(first, F.lit(2)).isin("חוק", "פקודה") & second.isin("זה", "זו")
+    points = (F.left(first, F.lit(1)).isin("ב", "ל") & F.substr(first, F.lit(2)).isin(*LAW_NOUNS) & ~self) | ((first == "בסעיף") & third.isin("לחוק", "לפקודת"))
+    closing = first.isin(*CLOSING_WORDS) | F.concat_ws(" ", first, second).isin(*CLOSING_WORDS)
+    body = w.where(~closing).groupBy("bill_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(points, F.lit(False))).alias("a"))
+    by_body = (F.col("a") > 0) & (F.col("a") * 2 >= F.col("n"))
+    rows = bills.select("bill_id", by_title.alias("t")).join(body, "bill_id", "left")
+    kind = F.when(F.col("n").isNull(), F.when(F.col("t"), "amending").otherwise("new")).when(by_body, "amending").when(F.col("t"), "unknown").otherwise("new")
+    return rows.select("bill_id", kind.alias("kind"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, (i - 1)::INT AS line_no, trim(body) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(body) <> ''),
+n AS (SELECT *, lag(line) OVER w AS p, lead(line) OVER w AS q FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+SELECT doc_id, line_no, CASE WHEN contains(q, line) THEN 'duplicate' WHEN p IS NOT NULL AND NOT contains('.;:!?”"׃', right(p, 1)) THEN 'continuation' ELSE 'standalone' END AS kind
+FROM n WHERE NOT starts_with(line, '{{')""")
+def line_kinds(t: Tables) -> DataFrame:
+    return unconsumed_lines(t.documents).select("doc_id", "line_no", "kind")
+
+
+@query("""
+SELECT o_orderkey AS id, 0 AS place, 'Y' || (o_orderkey % 3) AS year, 1 AS ordinal, (o_orderkey % 7)::VARCHAR AS page, 'א (תיקון מס'' ' || (o_orderkey % 5) || ')' AS name, (o_orderkey % 5)::VARCHAR AS amendment FROM orders
+UNION ALL SELECT o_orderkey, 1, 'Y' || (o_orderkey % 3), 2, '34', 'Other', NULL FROM orders
+UNION ALL SELECT o_orderkey, 3, 'W', 1, '5', 'Third', NULL FROM orders
+UNION ALL SELECT o_orderkey, 4, 'W', 2, '6', 'Fourth', NULL FROM orders""")
+def citation_registry(t: Tables) -> DataFrame:
+    k = lambda n: (F.col("o_orderkey") % n).cast("string")
+    first = F.concat(F.lit("{{box|Y"), k(3), F.lit(", "), k(7), F.lit("|א (תיקון מס' "), k(5), F.lit(")}}{{box|34|Other}} {{box|alone}}\n"))
+    body = F.concat(F.lit("{{box|U, 1|no}}{{preamble}}\nנוסחים קודמים: "), first, F.lit("{{box|Z, 1|no}}\nנוסח מאוחד: {{box|W, 5|Third}}{{box|6|Fourth|x}}\n{{end}}\nנוסח מאוחד: {{box|V, 9|no}}"))
+    return citation_entries(t.orders.select(F.col("o_orderkey").alias("id"), body.alias("body")))
+
+
+@query("""
+WITH o AS (SELECT l_partkey, count(*) FILTER (l_linenumber % 4 <> 3) AS n, count(*) FILTER (l_linenumber % 4 < 2) AS a FROM lineitem GROUP BY 1)
+SELECT p_partkey AS bill_id, CASE WHEN coalesce(n, 0) = 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE 'amending' END WHEN a > 0 AND a * 2 >= n THEN 'amending' WHEN p_partkey % 3 = 0 THEN 'new' ELSE 'unknown' END AS kind
+FROM part LEFT JOIN o ON l_partkey = p_partkey""")
+def bill_kind(t: Tables) -> DataFrame:
+    pick = lambda n, texts: F.element_at(F.array(*[F.lit(x) for x in texts]), (n + 1).cast("int"))
+    title = pick(F.col("p_partkey") % 3, ["חוק הבנקאות (רישוי)", "חוק הבנקאות ( תיקון מס' 3)", "הצעת חוק לתיקון פקודת העיריות"])
+    opening = pick(F.col("l_linenumber") % 4, ["בחוק העונשין, במקום", "בסעיף 5 לחוק הירושה,", "בחוק זה, אדם", "תחילתו של חוק זה"])
+    return bill_kinds(t.part.select(F.col("p_partkey").alias("bill_id"), title.alias("title")), t.lineitem.select(F.col("l_partkey").alias("bill_id"), opening.alias("opening")))
+
+
 @query()
 def markup_tree(t: Tables) -> DataFrame:
     """Documents as markup: a chapter with the source as title, a section for each sentence of a document's first line."""
