@@ -41,3 +41,25 @@ def guarded_plan(t: Tables) -> DataFrame:
     rows = t.part.where(~F.col("p_name").contains("red"))
     ranked = rows.withColumn("depth", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))).where("depth <= 60")
     return ranked.orderBy("depth", "p_brand").limit(60).select("p_brand", "p_partkey", "depth")
+
+
+def plan(rows: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
+    """n rows: the first row of each group, then second rows and so on, groups by their first row; the rows taken are
+    placed in document order, with the number that their group has and gives. ``order`` must tell all rows apart."""
+    w = Window.partitionBy(group)
+    ranked = rows.withColumn("depth", F.row_number().over(w.orderBy(*order))).where(F.col("depth") <= n).withColumn("first", F.min(F.struct(*order)).over(w))
+    taken = ranked.orderBy("depth", "first").limit(n).drop("first")
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("available"))
+    placed = taken.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # n rows
+    return placed.withColumn("chosen", F.count(F.lit(1)).over(w)).join(sizes, group)
+
+
+@query("""
+WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS depth, p_retailprice FROM part WHERE p_size > 20),
+k AS (SELECT *, first_value(p_retailprice) OVER w AS f, first_value(p_partkey) OVER w AS g FROM r WINDOW w AS (PARTITION BY p_brand ORDER BY depth)),
+x AS (SELECT * FROM k ORDER BY depth, f, g LIMIT 60)
+SELECT p_brand, p_partkey, depth::INT AS depth, row_number() OVER (ORDER BY p_retailprice, p_partkey)::INT AS place, count(*) OVER (PARTITION BY p_brand) AS chosen,
+       (SELECT count(*) FROM r WHERE r.p_brand = x.p_brand) AS available FROM x""")
+def ordered_plan(t: Tables) -> DataFrame:
+    rows = t.part.where("p_size > 20").select("p_brand", "p_partkey", "p_retailprice")
+    return plan(rows, "p_brand", ["p_retailprice", "p_partkey"], 60).select("p_brand", "p_partkey", "depth", "place", "chosen", "available")

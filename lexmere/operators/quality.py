@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmere.functions.numbering import section_key
+from lexmere.functions.text import title_year
 from lexmere.plans.registry import Tables, query
 
 STATUSES = ("passed", "failed", "warning", "not checked")
@@ -60,3 +62,45 @@ def dq_findings(t: Tables) -> DataFrame:
             ("style whitelist", "warning", None),
         ]
     )
+
+
+# Headings of sections that come at the end of a bill.
+TAIL_HEADINGS = ("תחילה", "תחולה", "הוראת מעבר", "הוראות מעבר", "תקנות ראשונות", "ביצוע ותקנות")
+
+
+def bill_findings(bills: DataFrame, lines: DataFrame) -> DataFrame:
+    """bills (bill_id, title, year of submission), lines (bill_id, place, number, heading): a row for each bill and check
+    (bill_id, check, status, n_bad).
+
+    "title year": the year in the title is that of submission; a warning, and not checked where either is missing.
+    "sections in order": no section's number comes before that of the section above it. "tail last": no other section
+    follows a section of the tail. Lines without a number or heading count for neither; bills without lines have these
+    two not checked. Malformed numbers count as out of order.
+    """
+    w = Window.partitionBy("bill_id").orderBy("place")
+    key = section_key(F.col("number"))
+    rows = lines.withColumn("key", key).withColumn("tail", F.col("heading").isin(*TAIL_HEADINGS))
+    numbered = rows.where("number is not null").withColumn("above", F.lag("key").over(w))
+    order = numbered.groupBy("bill_id").agg(F.count_if(F.col("key").isNull() | F.coalesce(F.col("above") > F.col("key"), F.lit(False))).alias("order"))
+    ends = rows.where("heading is not null").groupBy("bill_id").agg(F.min(F.when(F.col("tail"), F.col("place"))).alias("from"), F.max(F.when(~F.col("tail"), F.col("place"))).alias("to"))
+    ends = ends.select("bill_id", F.coalesce(F.col("to") > F.col("from"), F.lit(False)).cast("long").alias("tail"))
+    year = title_year(F.col("title")).try_cast("int")
+    per = bills.select("bill_id", (year != F.col("year")).cast("long").alias("year")).join(order, "bill_id", "left").join(ends, "bill_id", "left")
+    checks = [("title year", "year", "warning"), ("sections in order", "order", "failed"), ("tail last", "tail", "failed")]
+    row = lambda name, c, bad: F.struct(F.lit(name).alias("check"), F.when(F.col(c).isNull(), "not checked").when(F.col(c) > 0, bad).otherwise("passed").alias("status"), F.col(c).alias("n_bad"))
+    return per.select("bill_id", F.explode(F.array(*[row(*c) for c in checks])).alias("c")).select("bill_id", "c.*")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS place, l_linenumber, l_returnflag = 'R' AS tail FROM lineitem),
+p AS (SELECT *, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY place) AS above FROM l),
+b AS (SELECT l_orderkey, count(*) FILTER (above > l_linenumber) AS n, CASE WHEN max(place) FILTER (NOT tail) > min(place) FILTER (tail) THEN 1 ELSE 0 END AS t FROM p GROUP BY 1),
+o AS (SELECT o_orderkey AS bill_id, CASE WHEN o_orderkey % 7 <> 0 THEN (1995 + o_orderkey % 4 <> year(o_orderdate))::BIGINT END AS y, n, t FROM orders LEFT JOIN b ON l_orderkey = o_orderkey)
+SELECT bill_id, 'title year' AS "check", CASE WHEN y IS NULL THEN 'not checked' WHEN y > 0 THEN 'warning' ELSE 'passed' END AS status, y AS n_bad FROM o
+UNION ALL SELECT bill_id, 'sections in order', CASE WHEN n IS NULL THEN 'not checked' WHEN n > 0 THEN 'failed' ELSE 'passed' END, n FROM o
+UNION ALL SELECT bill_id, 'tail last', CASE WHEN t IS NULL THEN 'not checked' WHEN t > 0 THEN 'failed' ELSE 'passed' END, t FROM o""")
+def bill_checks(t: Tables) -> DataFrame:
+    year = F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit('חוק א, התש"ם–'), (F.lit(1995) + F.col("o_orderkey") % 4).cast("string"))).otherwise("חוק א")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber"))
+    lines = t.lineitem.select(F.col("l_orderkey").alias("bill_id"), place.alias("place"), F.col("l_linenumber").cast("string").alias("number"), F.when(F.col("l_returnflag") == "R", "תחילה").otherwise("הגדרות").alias("heading"))
+    return bill_findings(t.orders.select(F.col("o_orderkey").alias("bill_id"), year.alias("title"), F.year("o_orderdate").alias("year")), lines)

@@ -62,7 +62,7 @@ def similar_titles(t: Tables) -> DataFrame:
     """For each 50th title, the ten with the largest word overlap; rows meet only where they share a word."""
     words = t.part.select("p_partkey", content_words(F.col("p_name"), []).alias("w"))
     seeds = words.where(F.col("p_partkey") % 50 == 0).select(F.col("p_partkey").alias("id"), F.col("w").alias("v"))
-    terms = seeds.select("id", "v", F.explode(longest_words(F.col("v"))).alias("term"))
+    terms = seeds.select("id", "v", F.explode("v").alias("term"))
     inverted = words.select(F.col("p_partkey").alias("other"), "w", F.explode("w").alias("term"))
     met = terms.join(inverted, "term").where("id <> other").drop("term").dropDuplicates(["id", "other"])
     scored = met.withColumn("s", F.size(F.array_intersect("v", "w")) / F.size(F.array_union("v", "w")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmere.plans.registry import Tables, query
@@ -105,3 +105,28 @@ def editable_nodes(t: Tables) -> DataFrame:
     twice = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg((F.count(F.lit(1)) > 1).alias("dup"))
     out = t.lineitem.join(twice, ["l_orderkey", "l_linenumber"])
     return out.select("l_orderkey", "l_linenumber", "l_partkey", ((F.col("l_linestatus") == "O") & ~F.col("dup")).alias("editable"))
+
+
+def ancestor_of_kind(nodes: DataFrame, kind: str, max_depth: int = 16) -> DataFrame:
+    """(id, ancestor): the nearest node of that kind at or above each node; nodes without one are left out."""
+    wanted = nodes.where(F.col("kind") == kind).select(F.col("id").alias("ancestor"))
+    return closure(nodes, max_depth).join(wanted, "ancestor").groupBy("id").agg(F.min_by("ancestor", F.struct("distance", "ancestor")).alias("ancestor"))
+
+
+def reading_list(nodes: DataFrame, max_depth: int = 16) -> DataFrame:
+    """(root, reading, id, depth): the nodes of each tree in the order in which one reads them, siblings by place and id."""
+    up = closure(nodes, max_depth).join(nodes.select(F.col("id").alias("ancestor"), F.col("place").alias("at")), "ancestor")
+    steps = F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "at", "ancestor")))
+    paths = up.groupBy("id").agg(steps.alias("p")).select("id", F.get("p", F.lit(0))["ancestor"].alias("root"), F.transform("p", lambda x: F.struct(x["at"], x["ancestor"])).alias("path"))
+    return paths.select("root", F.row_number().over(Window.partitionBy("root").orderBy("path")).alias("reading"), "id", (F.size("path") - 1).alias("depth"))
+
+
+@query(TREE + """, down AS (SELECT id, id AS root, [place] AS path FROM nodes WHERE parent IS NULL UNION ALL SELECT n.id, d.root, list_append(d.path, n.place) FROM down d JOIN nodes n ON n.parent = d.id)
+SELECT root, row_number() OVER (PARTITION BY root ORDER BY path)::INT AS reading, id, (len(path) - 1)::INT AS depth FROM down""")
+def tree_reading_list(t: Tables) -> DataFrame:
+    return reading_list(geography(t))
+
+
+@query(TREE + "SELECT id, ancestor FROM up WHERE starts_with(ancestor, 'n')")
+def tree_nation_of(t: Tables) -> DataFrame:
+    return ancestor_of_kind(geography(t), "nation")
