@@ -24,4 +24,5 @@ ORACLE_SQL = {
     "op4_url_filter": url_filter.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op11_filter_audit": filter_audit.OP11_SQL,
+    "op13_resampling": resampling.OP13_SQL,
 }

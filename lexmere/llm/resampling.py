@@ -107,3 +107,32 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
 
 def op13_resampling(spark, sf_dir):
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: A feature's crc32 is folded over the halves of its bytes, by a table of sixteen entries.
+OP13_SQL = r"""
+WITH nib AS (SELECT list_transform(range(16), lambda i: list_reduce([i, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+f AS (
+  SELECT r, unnest(w) AS g FROM d UNION ALL SELECT r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d
+  UNION ALL SELECT r, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM d),
+u AS (
+  SELECT unnest(w) AS g FROM b UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM b
+  UNION ALL SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM b),
+k AS (SELECT g, count(*) AS s FROM f GROUP BY 1),
+q AS (SELECT g, count(*) AS t FROM u GROUP BY 1),
+h AS (
+  SELECT g, s, t, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(2 * strlen(g)), lambda i: ('0x' || x[i + CASE WHEN i % 2 = 0 THEN 2 ELSE 0 END])::BIGINT)),
+           lambda c, y: xor(c >> 4, nib[(xor(c, y) & 15) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT g, coalesce(s, 0) AS s, coalesce(q.t, 0) AS t, hex(encode(g)) AS x, nib.t AS nib FROM k FULL JOIN q USING (g) CROSS JOIN nib)),
+m AS (SELECT bucket, floor(1000 * ln((sum(t) + 1)::DOUBLE * (any_value(s_all) + 10000)::DOUBLE / ((sum(s) + 1)::DOUBLE * (any_value(t_all) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM h, (SELECT sum(s) AS s_all, sum(t) AS t_all FROM h) GROUP BY 1),
+w AS (SELECT r, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN h USING (g) JOIN m USING (bucket) GROUP BY 1),
+z AS (
+  SELECT d.r, doc_id, len(w) AS n, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN w ON w.r = d.r),
+o AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n >= 20) OVER () AS able FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n >= 20 AND place <= 5 * able // 100 THEN place END AS rank FROM o
+"""

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,14 @@ def test_query(spark):
     read = lambda name, c: [tuple(r) for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(c, "text").collect()]
     want = brute(read("documents", "doc_id"), [x for _, x in read("benchmark", "item_id")])
     assert sorted(map(tuple, resampling.op13_resampling(spark, sf_dir).collect()), key=key) == sorted(want, key=key)
+
+
+def test_query_against_sql(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    want = db.sql(resampling.OP13_SQL)
+    got = resampling.op13_resampling(spark, sf_dir)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want.fetchall(), key=key)
