@@ -11,7 +11,6 @@ time; a piece that it doesn't hold is cut into units and merged by the vocabular
 from __future__ import annotations
 
 import functools
-import hashlib
 import heapq
 import json
 import re
@@ -25,16 +24,18 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmere.llm.common import shared_dir, table
+from lexmere.llm.common import shared_dir, stage, table
 from lexmere.llm.encoding import piece_starts, slices
 
 #: Words of the automaton; the bound of what the driver is told of the corpus.
-WORDS = 1 << 16
+WORDS = 1 << 19
 #: Bytes of the longest word, and pieces outside it that a worker remembers before it starts afresh.
 LONGEST, MEMORY = 48, 100_000
 #: Fixed value: how a byte-level vocabulary cuts text into units.
 UNIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 HEADER = 4
+#: Units of more bytes are merged over a heap; what stands for a pair that is never joined.
+SHORT, NEVER = 64, (1 << 60, -1)
 
 
 def byte_letters() -> dict[str, int]:
@@ -74,7 +75,22 @@ class Vocabulary:
 
     def merged(self, unit: bytes) -> list[int]:
         """The ids of one unit: the pair of the lowest rank is joined, the leftmost of equal ones, until none is left."""
-        ids = [self.byte_id[b] for b in unit]
+        ids, pairs = [self.byte_id[b] for b in unit], self.pairs
+        if len(ids) > SHORT:
+            return self._merged_long(ids)
+        found = [pairs.get(pair, NEVER) for pair in zip(ids, ids[1:])]
+        while found and (best := min(found)) is not NEVER:
+            k = found.index(best)
+            ids[k : k + 2] = [best[1]]
+            del found[k]
+            if k:
+                found[k - 1] = pairs.get((ids[k - 1], ids[k]), NEVER)
+            if k < len(found):
+                found[k] = pairs.get((ids[k], ids[k + 1]), NEVER)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """The same over a heap of pairs, in n log n steps."""
         n, pairs = len(ids), self.pairs
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         todo = [(found[0], k, pair, found[1]) for k, pair in enumerate(zip(ids, ids[1:])) if (found := pairs.get(pair))]
@@ -247,8 +263,9 @@ class Coder:
         return ids
 
 
-def frequent_pieces(docs: DataFrame, text_col: str = "text", most: int = WORDS) -> list[str]:
-    """The most frequent pieces of at most LONGEST bytes over all texts; of equally frequent ones the smaller."""
+def frequent_pieces(docs: DataFrame, text_col: str = "text", most: int = WORDS) -> DataFrame:
+    """(piece) of the most frequent pieces of at most LONGEST bytes over all texts: at most so many, each found twice or
+    more. Pieces are taken by classes of frequency (eight for each doubling), the last class that doesn't fit whole not at all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -260,17 +277,30 @@ def frequent_pieces(docs: DataFrame, text_col: str = "text", most: int = WORDS)
                 yield pa.RecordBatch.from_arrays([pieces.take(pa.array(short)), pa.array(sums[short].astype(np.int64))], names=["piece", "n"])
 
     counts = docs.select(text_col).mapInArrow(count, "piece string, n long").where("piece <> ''").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r.piece for r in counts.orderBy(F.desc("n"), "piece").limit(most).select("piece").collect()]
+    counts = stage(counts.where("n > 1").select("piece", F.floor(F.log2("n") * 8).alias("class")), "pieces")
+    least, left = None, most
+    for c, n in sorted(map(tuple, counts.groupBy("class").count().collect()), reverse=True):  # 512 classes at most
+        if n > left:
+            break
+        least, left = c, left - n
+    return counts.where(F.col("class") >= least if least is not None else F.lit(False)).select("piece")
 
 
 def write_lexicon(spark: SparkSession, docs: DataFrame, text_col: str = "text", vocab_path: str | None = None, most: int = WORDS) -> str:
     """Compiles the most frequent pieces of all texts, writes the file to the shared folder and has Spark hand it to every
-    machine. Returns the name by which tasks find it. The file takes a few MB, however many texts there are."""
-    vocab = vocabulary(vocab_path)
-    raw = compiled({w.encode(): vocab.encoded(w) for w in frequent_pieces(docs, text_col, most)})
-    name = f"lexicon-{hashlib.sha256(raw).hexdigest()[:24]}.bin"
+    machine. Returns the name by which tasks find it. The file takes some 20 MB at most, however many texts there are."""
+
+    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(vocab_path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([vocab.encoded(x) for x in b.column(0).to_pylist()], pa.list_(pa.int32()))], names=["piece", "ids"])
+
+    words = frequent_pieces(docs, text_col, most).mapInArrow(ids_of, "piece string, ids array<int>").toArrow()  # at most ``most``
+    raw = compiled({w.encode(): ids for w, ids in zip(words.column(0).to_pylist(), words.column(1).to_pylist(), strict=True)})
+    folder = shared_dir(spark, "lexicon")
+    name = f"{folder.rsplit('/', 1)[1]}.bin"
     context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark, 'lexicon')}/{name}")
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
     out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
     out.write(bytearray(raw))
     out.close()
@@ -278,7 +308,7 @@ def write_lexicon(spark: SparkSession, docs: DataFrame, text_col: str = "text",
     return name
 
 
-@functools.cache
+@functools.lru_cache(maxsize=1)
 def coder(name: str, vocab_path: str | None = None) -> Coder:
     """A worker's coder: the file as this machine has it, mapped; machines that join later fetch it themselves."""
     return Coder(Transducer(np.memmap(SparkFiles.get(name), np.uint8, "r")), vocabulary(vocab_path))
@@ -312,7 +342,7 @@ def decode(rows: DataFrame, vocab_path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
         for b in batches:
-            texts = [vocab.decoded(x.values.to_pylist() if x.is_valid else []) for x in b.column(1)]
+            texts = [vocab.decoded(x.values.to_numpy().tolist() if x.is_valid else []) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     rows = rows.select("doc_id", "ids")

@@ -78,6 +78,9 @@ def test_any_ids_are_decoded_as_the_library_does(library, ids):
 
 
 def test_long_units(library):
+    vocab = lexicon.vocabulary()
+    for unit in [b" antidisestablishmentarianism", "Füchse".encode(), b"aaaaaaaaaaaa", bytes(range(64))]:
+        assert vocab.merged(unit) == vocab._merged_long([vocab.byte_id[b] for b in unit])
     text = "ab" * 20_000 + " " + "é!" * 5000 + " " * 3000
     assert lexicon.vocabulary().encoded(text) == library.encode(text, add_special_tokens=False).ids
 
@@ -96,7 +99,8 @@ def test_empty_table(spark, no_rows):
 
 def test_pieces_are_counted_over_all_texts(spark):
     docs = spark.createDataFrame([(k, "one two two") for k in range(5)] + [(9, None)], "doc_id long, text string").repartition(3)
-    assert lexicon.frequent_pieces(docs, most=1) == [" two"]
+    assert [r.piece for r in lexicon.frequent_pieces(docs, most=1).collect()] == [" two"]
+    assert sorted(r.piece for r in lexicon.frequent_pieces(docs).collect()) == [" two", "one"]
 
 
 def test_query(spark, library):
