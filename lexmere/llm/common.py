@@ -46,11 +46,15 @@ def split_by_keys(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFr
     """Splits rows into (surely not, perhaps) among keys (column h, long; of a hash): by a bitmap of fixed size.
 
     Neither part is shuffled, so that only the second, a small one unless the keys fill the bitmap, has to meet the keys
-    themselves. Null keys count as perhaps.
+    themselves. Null keys count as perhaps. Rows may have any columns.
     """
-    bits = keys.select(F.pmod(F.col("h"), F.lit(WORDS)).alias("__word"), F.expr("shiftleft(1L, cast(pmod(shiftright(h, 40), 64) as int))").alias("__bits"))
-    bits = F.broadcast(stage(bits.groupBy("__word").agg(F.bit_or("__bits").alias("__bits")), "bitmap"))
+    at = "__"
+    while any(c.lower().startswith(at) for c in rows.columns):  # names that no column of rows has
+        at += "_"
+    bit = lambda h: F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")
+    bits = keys.select(F.pmod(F.col("h"), F.lit(WORDS)).alias(f"{at}word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit("h")).alias(f"{at}bits"))
+    bits = F.broadcast(stage(bits.groupBy(f"{at}word").agg(F.bit_or(f"{at}bits").alias(f"{at}bits")), "bitmap"))
     names = [F.col(f"`{c}`") for c in rows.columns]
-    met = rows.withColumn("__h", key).join(bits, F.pmod(F.col("__h"), F.lit(WORDS)) == F.col("__word"), "left")
-    perhaps = F.col("__h").isNull() | (F.expr("getbit(coalesce(__bits, 0L), cast(pmod(shiftright(__h, 40), 64) as int))") == 1)
+    met = rows.withColumn(f"{at}h", key).join(bits, F.pmod(F.col(f"{at}h"), F.lit(WORDS)) == F.col(f"{at}word"), "left")
+    perhaps = F.col(f"{at}h").isNull() | (F.getbit(F.coalesce(f"{at}bits", F.lit(0).cast("long")), bit(f"{at}h")) == 1)
     return met.where(~perhaps).select(*names), met.where(perhaps).select(*names)

@@ -89,7 +89,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs that stay, with all their columns: of each group of equal texts one row, as exact_groups says.
 
     Null texts count as empty and so form one group; a null identifier stays only where its group has no other. Of
-    repeated rows one stays. An empty table gives an empty result; any column but ``__h`` and ``__digest`` may occur.
+    repeated rows one stays. An empty table gives an empty result; any column but ``__digest`` may occur.
     Rows that no copy can be among, told by a bitmap of identifiers, stay where they are; the texts of the others are
     shuffled.
     """

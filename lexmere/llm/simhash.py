@@ -11,7 +11,7 @@ Equal fingerprints are one row throughout, so that a group of copies costs as mu
 The pipeline's stage asks for more: pairs whose sets of five-word shingles overlap by 0.8 or more. Such pairs differ in
 about ten bits, a radius that no grid over 64 bits carries. So candidates come from the grid and from shingles that two
 documents share among their first fifth in one global order, which every such pair does. Of these pairs, those of sizes
-that can't overlap so far or of fingerprints more than ``FAR_BITS`` apart go, and the others are checked exactly.
+that can't overlap so far go, and the others are checked exactly; no bound on fingerprints decides here.
 """
 
 from __future__ import annotations
@@ -35,9 +35,6 @@ WIDTH = 64 // SEGMENTS
 #: The pipeline's stage: words of a shingle, and the overlap (shared over all shingles) as numerator and denominator.
 STAGE_SHINGLE = 5
 OVERLAP = (4, 5)
-#: Bits that fingerprints of sets with that overlap may differ in: the mean is 9.7 and the deviation 2.9, so that about
-#: one pair in a million of just 0.8 lies beyond, and fewer of the nearer ones.
-FAR_BITS = 24
 #: One in so many documents (but at least that number of them) has its shingles counted to find common ones; how many of
 #: these are told to tasks. They decide what work is done, never which pairs are found.
 ORDER_SHARE, ORDER_DOCS, ORDER_SHINGLES = 8, 8_000, 1 << 18
@@ -224,14 +221,13 @@ def sketches(docs: DataFrame, shingle: int, common: np.ndarray) -> DataFrame:
 
 
 def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and fingerprints (nodes: node, n, fp) an overlap of 0.8 allows."""
-    of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("fp").alias(f"f{x}"))
+    """The pairs (a, b) whose sizes (nodes: node, n) an overlap of 0.8 allows."""
+    of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").where(_may_overlap()).select("a", "b")
 
 
 def _may_overlap() -> Column:
-    sizes = F.least("na", "nb") * OVERLAP[1] >= F.greatest("na", "nb") * OVERLAP[0]
-    return sizes & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR_BITS)
+    return F.least("na", "nb") * OVERLAP[1] >= F.greatest("na", "nb") * OVERLAP[0]
 
 
 def overlapping(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -279,10 +275,10 @@ def overlap_groups(docs: DataFrame, shingle: int = STAGE_SHINGLE, max_bits: int
     # of these has need - 1 others after it in both sets.
     comp = connected_components(links)
     part = first.select("node", "shingle", "place").join(nodes, "node").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    part = part.select("node", "shingle", "place", "n", "fp", "c", F.count(F.lit(1)).over(Window.partitionBy("node")).cast("int").alias("m"))
+    part = part.select("node", "shingle", "place", "n", "c", F.count(F.lit(1)).over(Window.partitionBy("node")).cast("int").alias("m"))
     group = Window.partitionBy("shingle")
     part = part.withColumn("least", F.min("c").over(group)).withColumn("most", F.max("c").over(group)).where("least <> most").drop("least", "most")
-    a, b = (part.select("shingle", F.col("node").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in ("n", "fp", "c", "m", "place")]) for x in "ab")
+    a, b = (part.select("shingle", F.col("node").alias(x), *[F.col(c).alias(f"{c[0]}{x}") for c in ("n", "c", "m", "place")]) for x in "ab")
     later = lambda n: F.ceil(F.col(n) * F.lit(OVERLAP[0]) / F.lit(OVERLAP[1])) - 1
     need = F.ceil((F.col("na") + F.col("nb")) * F.lit(OVERLAP[0]) / F.lit(sum(OVERLAP))) - F.greatest(later("na"), later("nb"))
     early = (F.col("pa") <= F.col("na") - later("na") - need) & (F.col("pb") <= F.col("nb") - later("nb") - need)
@@ -320,8 +316,7 @@ def drop_overlapping(docs: DataFrame, shingle: int = STAGE_SHINGLE, max_bits: in
     """One document for each component of texts whose five-word shingles overlap by 0.8 or more; see keep_one.
 
     A text of fewer words than a shingle has one, its whole sequence; texts without words, null ones too, have none and
-    form one group, as do equal texts. An empty table gives an empty result; any column but ``__h``, ``__id``, ``__met``
-    and ``__key`` may occur.
+    form one group, as do equal texts. An empty table gives an empty result; any column but ``__key`` may occur.
     """
     groups = overlap_groups(docs.select("text"), shingle, max_bits).withColumnRenamed("node", "key")
     rows = docs.select("doc_id", text_key().alias("key"))

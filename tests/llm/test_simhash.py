@@ -137,3 +137,21 @@ def test_null_and_shared_ids(spark):
     want = sorted([(1, a), (None, b), (None, c), (2, d), (2, e)], key=str)
     assert sorted((tuple(r) for r in simhash.drop_near_copies(docs).collect()), key=str) == want
     assert sorted((tuple(r) for r in simhash.drop_overlapping(docs).collect()), key=str) == want
+
+
+def test_short_texts_lose_no_pair(spark):
+    """Pairs of nine and eight words share four of five shingles: each leaves exactly one document."""
+    rng = random.Random(3)
+    pairs = [[f"w{rng.randrange(10**7)}" for _ in range(9)] for _ in range(20_000)]
+    rows = [(2 * k + x, " ".join(w[: 9 - x])) for k, w in enumerate(pairs) for x in (0, 1)]
+    kept = simhash.drop_overlapping(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert kept.agg({"doc_id": "sum"}).first()[0] == sum(2 * k for k in range(20_000)) and kept.count() == 20_000
+
+
+def test_clashing_columns(spark):
+    from lexmere.llm import exact_dedup
+
+    rows = [(1, "one two three four five six", 1, 2, 3, 4), (2, "one two three four five six", 1, 2, 3, 4), (3, "other", 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __word int, __bits int, __h int, ___h int")
+    for kept in (simhash.drop_overlapping(docs), exact_dedup.drop_copies(docs, keep="min")):
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
