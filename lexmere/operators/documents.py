@@ -13,18 +13,26 @@ LONGEST = 2000
 
 
 def amendment_tokens(rows: DataFrame) -> DataFrame:
-    """rows (id, note): a row for each token of the note's amendment part (parts are cut by |, tokens by commas).
+    """rows (id, note): a row for each token of the note's amendment parts, and for each other part (parts are cut by |,
+    tokens by commas): place among all, part (amended, other, unknown) and raw.
 
-    A token is [year] for old entries, or year with an ordinal (X-3) or without; anything else is kept as unparsed.
+    A token is [year] for old entries, or year with an ordinal (X-3) or without; anything else is kept as unparsed, as
+    are parts of no known kind.
     """
-    parts = F.transform(F.split("note", r"\|"), lambda p: F.trim(p))
-    body = F.element_at(F.filter(parts, lambda p: p.startswith("amended:")), 1)
-    tokens = F.filter(F.transform(F.split(F.substr(body, F.lit(9)), ","), lambda x: F.trim(x)), lambda x: x != "")
-    rows = rows.select("id", F.posexplode(tokens).alias("place", "raw"))
+    kept = lambda x, kind: F.filter(F.transform(x, lambda v: F.struct(F.lit(kind).alias("part"), F.trim(v).alias("raw"))), lambda v: v["raw"] != "")
+    each = F.flatten(
+        F.transform(
+            F.transform(F.split("note", r"\|"), lambda p: F.trim(p)),
+            lambda p: F.when(p.startswith("amended:"), kept(F.split(F.substr(p, F.lit(9)), ","), "amended")).when(p.startswith("other="), kept(F.array(F.substr(p, F.lit(7))), "other")).otherwise(kept(F.array(p), "unknown")),
+        )
+    )
+    rows = rows.select("id", F.posexplode(each).alias("place", "x")).select("id", "place", "x.part", "x.raw")
+    token = lambda c: F.when(F.col("part") == "amended", c)
     plain = F.regexp_extract("raw", r"^(?:\[([\w]+)\]|([\w]+)(?:-(\d+))?)$", 0)
     year = F.concat(F.regexp_extract("raw", r"^\[([\w]+)\]$", 1), F.regexp_extract("raw", r"^([\w]+)(?:-\d+)?$", 1))
     ordinal = F.nullif(F.regexp_extract("raw", r"^[\w]+-(\d+)$", 1), F.lit("")).cast("int")
-    return rows.select("id", "place", "raw", F.nullif(year, F.lit("")).alias("year"), ordinal.alias("ordinal"), F.col("raw").rlike(r"^\[\w+\]$").alias("is_legacy"), (plain == "").alias("is_unparsed"))
+    unparsed = F.when(F.col("part") == "amended", plain == "").otherwise(F.col("part") == "unknown")
+    return rows.select("id", "place", "part", "raw", token(F.nullif(year, F.lit(""))).alias("year"), token(ordinal).alias("ordinal"), ((F.col("part") == "amended") & F.col("raw").rlike(r"^\[\w+\]$")).alias("is_legacy"), unparsed.alias("is_unparsed"))
 
 
 def chunks(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
@@ -38,28 +46,19 @@ def chunks(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
 
 def order_notes(orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
-    note = F.concat(F.lit("amended: [1939], X"), (k % 3).cast("string"), F.lit(", Y-"), (k % 5).cast("string"), F.lit(", ?!|other=1"))
+    note = F.concat(F.lit("amended: [1939], X"), (k % 3).cast("string"), F.lit("|see "), (k % 7).cast("string"), F.lit("| amended: Y-"), (k % 5).cast("string"), F.lit(", ?!|other="), k.cast("string"))
     return amendment_tokens(orders.select(k.alias("id"), note.alias("note")))
 
 
 @query("""
-WITH n AS (SELECT o_orderkey AS id, 'amended: [1939], X' || (o_orderkey % 3) || ', Y-' || (o_orderkey % 5) || ', ?!' || '|other=1' AS note FROM orders WHERE o_orderkey % 10 = 0)
-SELECT id, 0 AS place, '[1939]' AS raw, '1939' AS year, NULL::INT AS ordinal, true AS is_legacy, false AS is_unparsed FROM n
-UNION ALL SELECT id, 1, 'X' || (id % 3), 'X' || (id % 3), NULL, false, false FROM n
-UNION ALL SELECT id, 2, 'Y-' || (id % 5), 'Y', (id % 5)::INT, false, false FROM n
-UNION ALL SELECT id, 3, '?!', NULL, NULL, false, true FROM n""")
+WITH n AS (SELECT o_orderkey AS id FROM orders)
+SELECT id, 0 AS place, 'amended' AS part, '[1939]' AS raw, '1939' AS year, NULL::INT AS ordinal, true AS is_legacy, false AS is_unparsed FROM n
+UNION ALL SELECT id, 1, 'amended', 'X' || (id % 3), 'X' || (id % 3), NULL, false, false FROM n
+UNION ALL SELECT id, 2, 'unknown', 'see ' || (id % 7), NULL, NULL, false, true FROM n
+UNION ALL SELECT id, 3, 'amended', 'Y-' || (id % 5), 'Y', (id % 5)::INT, false, false FROM n
+UNION ALL SELECT id, 4, 'amended', '?!', NULL, NULL, false, true FROM n
+UNION ALL SELECT id, 5, 'other', id::VARCHAR, NULL, NULL, false, false FROM n""")
 def amendment_notes(t: Tables) -> DataFrame:
-    """The part of amendment_notes_all that its SQL asks for."""
-    return order_notes(t.orders.where(F.col("o_orderkey") % 10 == 0))
-
-
-@query("""
-WITH n AS (SELECT o_orderkey AS id, 'amended: [1939], X' || (o_orderkey % 3) || ', Y-' || (o_orderkey % 5) || ', ?!' || '|other=1' AS note FROM orders)
-SELECT id, 0 AS place, '[1939]' AS raw, '1939' AS year, NULL::INT AS ordinal, true AS is_legacy, false AS is_unparsed FROM n
-UNION ALL SELECT id, 1, 'X' || (id % 3), 'X' || (id % 3), NULL, false, false FROM n
-UNION ALL SELECT id, 2, 'Y-' || (id % 5), 'Y', (id % 5)::INT, false, false FROM n
-UNION ALL SELECT id, 3, '?!', NULL, NULL, false, true FROM n""")
-def amendment_notes_all(t: Tables) -> DataFrame:
     return order_notes(t.orders)
 
 

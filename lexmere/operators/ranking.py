@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmere.functions.numbering import SUFFIXES, next_appended, next_inserted, section_key
+from lexmere.functions.shared import stage
 from lexmere.plans.registry import Tables, query
 
 
@@ -111,10 +110,7 @@ def trailing_counts(t: Tables) -> DataFrame:
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """All rows with their place from 1 in the order, which must tell rows apart: places within ranges of the sorted
     rows, and for each range the rows before it, so that no task takes all rows."""
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmere-"))
-    at = rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()).checkpoint()  # ranges are drawn once
+    at = stage(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")  # ranges are drawn once
     counts = at.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("range", F.coalesce(before, F.lit(0)).alias("start"))  # a row for each range
@@ -127,7 +123,7 @@ SELECT p_partkey, label, row_number() OVER (ORDER BY base, letter, last NULLS FI
   SELECT p_partkey, p_size AS base, p_partkey % 31 AS letter, CASE WHEN p_partkey % 31 > 0 AND p_partkey % 4 = 0 THEN p_partkey % 5 + 1 END AS last,
          p_size::VARCHAR || CASE WHEN p_partkey % 31 = 0 THEN '' ELSE list_extract(%s, (p_partkey %% 31)::INT) END
            || CASE WHEN p_partkey %% 31 > 0 AND p_partkey %% 4 = 0 THEN (p_partkey %% 5 + 1)::VARCHAR ELSE '' END AS label FROM part)""".replace("p_partkey % ", "p_partkey %% ") % str(SUFFIXES))
-def legal_order_all(t: Tables) -> DataFrame:
+def legal_order(t: Tables) -> DataFrame:
     """The place of every label in legal order."""
     letter = F.when(F.col("p_partkey") % 31 == 0, "").otherwise(F.get(F.array(*[F.lit(s) for s in SUFFIXES]), (F.col("p_partkey") % 31).cast("int") - 1))
     last = F.when((F.col("p_partkey") % 31 > 0) & (F.col("p_partkey") % 4 == 0), (F.col("p_partkey") % 5 + 1).cast("string")).otherwise("")
@@ -135,33 +131,14 @@ def legal_order_all(t: Tables) -> DataFrame:
     return numbered(labels.withColumn("key", section_key(F.col("label"))), ["key", "p_partkey"]).select("p_partkey", "label", "place")
 
 
-@query("""
-SELECT p_partkey, label, row_number() OVER (ORDER BY base, letter, last NULLS FIRST, p_partkey) AS place FROM (
-  SELECT p_partkey, p_size AS base, p_partkey % 31 AS letter, CASE WHEN p_partkey % 31 > 0 AND p_partkey % 4 = 0 THEN p_partkey % 5 + 1 END AS last,
-         p_size::VARCHAR || CASE WHEN p_partkey % 31 = 0 THEN '' ELSE list_extract(%s, (p_partkey %% 31)::INT) END
-           || CASE WHEN p_partkey %% 31 > 0 AND p_partkey %% 4 = 0 THEN (p_partkey %% 5 + 1)::VARCHAR ELSE '' END AS label FROM part)
-ORDER BY place LIMIT 200""".replace("p_partkey % ", "p_partkey %% ") % str(SUFFIXES))
-def legal_order(t: Tables) -> DataFrame:
-    """The first 200 of legal_order_all, as its SQL asks."""
-    return legal_order_all(t).where("place <= 200")
-
-
 def labels_after(parts: DataFrame) -> DataFrame:
     label = F.col("p_size").cast("string")
     none = F.array().cast("array<string>")
     return parts.select("p_partkey", next_inserted(label, none).alias("inserted"), next_appended(label).alias("appended"), next_inserted(F.concat(label, F.lit("ב")), none).alias("after_letters"))
 
 
-@query("""
-SELECT p_partkey, p_size::VARCHAR || 'א' AS inserted, (p_size + 1)::VARCHAR AS appended,
-       p_size::VARCHAR || 'ב' || '1' AS after_letters FROM part WHERE p_size < 10""")
-def next_labels(t: Tables) -> DataFrame:
-    """The part of next_labels_all that its SQL asks for."""
-    return labels_after(t.part.where("p_size < 10"))
-
-
 @query("""
 SELECT p_partkey, p_size::VARCHAR || 'א' AS inserted, (p_size + 1)::VARCHAR AS appended,
        p_size::VARCHAR || 'ב' || '1' AS after_letters FROM part""")
-def next_labels_all(t: Tables) -> DataFrame:
+def next_labels(t: Tables) -> DataFrame:
     return labels_after(t.part)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,16 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lexmere.functions.shared import shared_dir
 from lexmere.plans.registry import Tables, query
 
 SHORT_SECONDS, SHORT_CALLS, LONG_SECONDS, LONG_CALLS = 600, 3, 86_400, 10
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lexmere-")
-    return f"{base.rstrip('/')}/lexmere-{name}-{uuid.uuid4().hex}"
-
-
 def stream(spark: SparkSession, table: DataFrame, path: str) -> DataFrame:
     """A stream over the Parquet files of a table."""
     folder, _, name = path.rpartition("/")
@@ -91,7 +85,7 @@ def tumbling_counts(t: Tables) -> DataFrame:
     events = stream(t.spark, t.events, f"{t.sf_dir}/events.parquet")
     w = F.window("ts", "1 hour")  # complete: all windows, late events too
     out = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    path, done = work_dir(t.spark, "windows"), []
+    path, done = shared_dir(t.spark, "windows"), []
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total")).write.mode("overwrite").parquet(f"{path}/v{number}")
@@ -104,10 +98,10 @@ def tumbling_counts(t: Tables) -> DataFrame:
 @query("SELECT user_id AS title, max(event_id) AS revision FROM events GROUP BY 1")
 def change_feed_refresh(t: Tables) -> DataFrame:
     feed = stream(t.spark, t.events, f"{t.sf_dir}/events.parquet").select(F.col("user_id").alias("title"), F.col("event_id").alias("revision"))
-    return refresh(feed, work_dir(t.spark, "feed"))
+    return refresh(feed, shared_dir(t.spark, "feed"))
 
 
 @query()
 def stateful_rate_limit(t: Tables) -> DataFrame:
     calls = stream(t.spark, t.events, f"{t.sf_dir}/events.parquet").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
-    return run_to_end(limit_calls(calls), work_dir(t.spark, "limits"))
+    return run_to_end(limit_calls(calls), shared_dir(t.spark, "limits"))

@@ -9,7 +9,7 @@ SF_DIR = "/root/testdata/sf0.01"
 
 
 def test_every_label_has_a_place(spark):
-    rows = QUERIES["legal_order_all"](spark, SF_DIR).collect()
+    rows = QUERIES["legal_order"](spark, SF_DIR).collect()
     assert len(rows) == spark.read.parquet(f"{SF_DIR}/part.parquet").count() > 200
     assert sorted(r.place for r in rows) == list(range(1, len(rows) + 1))
     few = spark.createDataFrame([(5, 1), (3, 2), (3, 1)], "a int, b int")
@@ -18,5 +18,5 @@ def test_every_label_has_a_place(spark):
 
 def test_every_order_and_label(spark):
     count = lambda name: spark.read.parquet(f"{SF_DIR}/{name}.parquet").count()
-    assert QUERIES["amendment_notes_all"](spark, SF_DIR).count() == 4 * count("orders")
-    assert QUERIES["next_labels_all"](spark, SF_DIR).count() == count("part")
+    assert QUERIES["amendment_notes"](spark, SF_DIR).count() == 6 * count("orders")
+    assert QUERIES["next_labels"](spark, SF_DIR).count() == count("part")
