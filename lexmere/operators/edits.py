@@ -29,44 +29,53 @@ def _grown(tokens: list[str], whole: str, i: int, j: int, left: bool, right: boo
         i, j = i2, j2
 
 
+def edited(before: str, kind: str, phrase: str | None, text: str | None) -> str:
+    """The text after an edit: append puts text behind the last word, in front of marks that end the text; delete takes a
+    blank next to the phrase with it."""
+    if kind == "append":
+        end = len(before.rstrip(SEPARATORS))
+        return before[:end] + (text or "") + before[end:]
+    i = before.index(phrase)
+    j = i + len(phrase)
+    if kind == "delete":
+        return before[:i] + before[j + 1 :] if before[j : j + 1].isspace() else before[: max(0, i - before[i - 1 : i].isspace())] + before[j:]
+    return before[:i] + {"insert_before": text + phrase, "insert_after": phrase + text, "replace": text}[kind] + before[j:]
+
+
 def edit_kind(before: str, after: str) -> tuple[str, str | None, str | None]:
-    """(kind, phrase, text) of the one place in which two texts differ, told by whole words.
+    """(kind, phrase, text) of the one place in which two texts differ, told by whole words; edited leads to the text after.
 
     insert_before and insert_after: text goes to that side of the phrase; append: text goes behind the last word;
     delete: the phrase goes; replace: text takes the phrase's place. The phrase stands once in the text before. Texts that
-    don't differ, and edits that no such phrase describes, are unsupported.
+    don't differ, and edits that no such phrase describes, are unsupported. An edit within a word replaces the word.
     """
     b, a = _TOKENS.findall(before), _TOKENS.findall(after)
     p = next((i for i, (x, y) in enumerate(zip(b, a)) if x != y), min(len(a), len(b)))
     q = next((i for i, (x, y) in enumerate(zip(b[p:][::-1], a[p:][::-1])) if x != y), min(len(a), len(b)) - p)
     end, added = len(b) - q, "".join(a[p : len(a) - q])
+    word = lambda x: x not in SEPARATORS
+
+    def tries():
+        if p == end and not any(map(word, b[:p])):
+            at = next((k for k in range(p, len(b)) if word(b[k])), None)
+            if at is not None and (run := _grown(b, before, at, at + 1, False, True)):
+                yield "insert_before", "".join(b[slice(*run)]), added
+        elif p == end:
+            if not any(map(word, b[p:])):
+                yield "append", None, added
+            if run := _grown(b, before, p - 1, p, True, False):
+                yield "insert_after", "".join(b[slice(*run)]), added
+        elif not added:
+            phrase = "".join(b[p:end]).strip(SEPARATORS)
+            if not phrase or before.find(phrase) != before.rfind(phrase):
+                return  # what goes must be named by itself
+            yield "delete", phrase, None
+        if run := _grown(b, before, p, end, True, True):
+            i, j = run
+            yield "replace", "".join(b[i:j]), "".join(b[i:p]) + added + "".join(b[end:j])
+
     none = ("unsupported", None, None)
-    if before == after:
-        return none
-    if p == end:
-        if not any(x not in SEPARATORS for x in b[:p]):
-            at = next((k for k in range(p, len(b)) if b[k] not in SEPARATORS), None)
-            run = None if at is None else _grown(b, before, at, at + 1, False, True)
-            return none if run is None else ("insert_before", "".join(b[run[0] : run[1]]), added)
-        if not any(x not in SEPARATORS for x in b[p:]):
-            return "append", None, added
-        run = _grown(b, before, p - 1, p, True, False)
-        return none if run is None else ("insert_after", "".join(b[run[0] : run[1]]), added)
-    if not added:
-        i, j = p, end
-        while i < j and b[i] in SEPARATORS:
-            i += 1
-        while j > i and b[j - 1] in SEPARATORS:
-            j -= 1
-        phrase = "".join(b[i:j])
-        once = phrase and before.find(phrase) == before.rfind(phrase)
-        same = "".join(before.replace(phrase, "", 1).split()) == "".join(after.split()) if phrase else False
-        return ("delete", phrase, None) if once and same else none
-    run = _grown(b, before, p, end, True, True)
-    if run is None:
-        return none
-    i, j = run
-    return "replace", "".join(b[i:j]), "".join(b[i:p]) + added + "".join(b[end:j])
+    return none if before == after else next((x for x in tries() if edited(before, *x) == after), none)
 
 
 def edit_kinds(rows: DataFrame) -> DataFrame:

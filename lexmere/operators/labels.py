@@ -68,13 +68,26 @@ def without_reasons(text: Column, reasons: list[str], allowed: Column) -> Column
     return F.array_join(F.filter(sentences(text), lambda s: ~bare(s)), " ")
 
 
-def plan_facets(raw: Column, most: int = 30) -> Column:
-    """Facets of a search plan in JSON, fences around it stripped: lists of terms, blank and one-letter terms dropped, at
-    most ``most`` terms a facet, empty facets dropped; text that isn't such JSON gives no facets."""
+def plan_facets(raw: Column, most: int = 30, facets: int = 3) -> Column:
+    """Facets of a search plan in JSON, fences around it stripped: up to three lists of terms.
+
+    A flat list of strings is one facet; a string among lists is a facet of its own, anything else there none. Terms are
+    trimmed, those of one letter, repeats and what isn't a string go, and ``most`` stay; empty facets go. Text that isn't
+    such JSON gives no facets.
+    """
+    strings = lambda x: F.transform(F.filter(F.from_json(x, "array<string>"), lambda v: v.isNotNull()), lambda v: v)
     body = F.regexp_replace(F.trim(raw), r"^```[a-z]*\s*|\s*```$", "")
-    facets = F.coalesce(F.from_json(body, "facets array<array<string>>")["facets"], F.array().cast("array<array<string>>"))
-    clean = F.transform(facets, lambda f: F.slice(F.filter(F.transform(f, lambda x: F.trim(x)), lambda x: F.length(x) > 1), 1, most))
-    return F.filter(clean, lambda f: F.size(f) > 0)
+    # JSON values as they are written: strings keep their quotation marks, so that 1 and "1" differ.
+    each = F.filter(F.from_json(F.get_json_object(body, "$.facets"), "array<variant>"), lambda v: v.isNotNull())
+    written = F.transform(each, lambda v: F.to_json(v))
+    is_text, is_list = lambda v: v.startswith('"'), lambda v: v.startswith("[")
+    terms = lambda v: F.transform(F.filter(F.transform(F.from_json(v, "array<variant>"), lambda x: F.to_json(x)), is_text), lambda x: F.get(strings(F.concat(F.lit("["), x, F.lit("]"))), F.lit(0)))
+    flat = F.forall(written, is_text)
+    joined = F.concat(F.lit("["), F.array_join(written, ","), F.lit("]"))
+    lists = F.when(flat, F.array(joined)).otherwise(F.transform(F.filter(written, lambda v: is_text(v) | is_list(v)), lambda v: F.when(is_list(v), v).otherwise(F.concat(F.lit("["), v, F.lit("]")))))
+    clean = F.transform(lists, lambda v: F.slice(F.array_distinct(F.filter(F.transform(terms(v), lambda x: F.trim(x)), lambda x: F.length(x) > 1)), 1, most))
+    found = F.slice(F.filter(clean, lambda f: F.size(f) > 0), 1, facets)
+    return F.when(F.size(each) > 0, found).otherwise(F.array().cast("array<array<string>>"))
 
 
 def grouped_citations(rows: DataFrame) -> DataFrame:

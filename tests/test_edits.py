@@ -3,16 +3,7 @@ from __future__ import annotations
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexmere.operators.edits import SEPARATORS, edit_kind, edit_kinds, insert_ignore, replace_versions, upsert
-
-
-def applied(before, kind, phrase, text):
-    if kind == "append":
-        tail = len(before) - len(before.rstrip(SEPARATORS))
-        return before[: len(before) - tail], text, before[len(before) - tail :]
-    i = before.index(phrase)
-    j = i + len(phrase)
-    return {"insert_before": (before[:i], text, before[i:]), "insert_after": (before[:j], text, before[j:]), "delete": (before[:i], "", before[j:]), "replace": (before[:i], text, before[j:])}[kind]
+from lexmere.operators.edits import edit_kind, edit_kinds, edited, insert_ignore, replace_versions, upsert
 
 
 def test_kinds(spark):
@@ -24,15 +15,25 @@ def test_kinds(spark):
     assert (got[4].phrase, got[4].text) == ("c", "d") and got[3].phrase == "b"
 
 
-@settings(max_examples=400, deadline=None)
-@given(st.lists(st.sampled_from(["a", "b", "cd", " ", ".", ", "]), max_size=12), st.lists(st.sampled_from(["a", "b", "cd", " ", "."]), max_size=12))
-def test_edits_lead_to_the_text_after(before, after):
-    before, after = "".join(before), "".join(after)
+PIECES = st.lists(st.sampled_from(["a", "b", "cd", "e.", " ", " ", ".", ", ", "; ", "\n"]), max_size=14)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(PIECES, st.integers(0, 14), st.integers(0, 3), st.lists(st.sampled_from(["a", "x", " ", ".", " y "]), max_size=4))
+def test_edits_lead_to_the_text_after(pieces, at, gone, came):
+    """A text and one edit of it: whatever is told leads exactly to the text after."""
+    before, after = "".join(pieces), "".join(pieces[:at] + came + pieces[at + gone :])
     kind, phrase, text = edit_kind(before, after)
-    if kind == "unsupported":
-        return
-    assert phrase is None or before.count(phrase) == 1
-    assert "".join("".join(applied(before, kind, phrase, text)).split()) == "".join(after.split())
+    if kind != "unsupported":
+        assert phrase is None or before.count(phrase) == 1
+        assert edited(before, kind, phrase, text) == after
+
+
+def test_marks_keep_their_place():
+    assert edit_kind("Sec. one.", "Sec. one More.") == ("append", None, " More")
+    assert edited("Sec. one.", *edit_kind("Sec. one.", "Sec. one. More")) == "Sec. one. More"
+    assert edit_kind("a.", "a.b")[0] != "unsupported" and edited("a.", *edit_kind("a.", "a.b")) == "a.b"
+    assert edited(". a b", *edit_kind(". a b", "x . a b")) == "x . a b"
 
 
 def test_stores(spark, tmp_path):
