@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from lexmere.operators import amending, documents, edits, filters, generation, labels, matching, numbers, quality, ranking, reading, retrieval, statistics, transforms, trees, versions  # noqa: F401
+from lexmere.operators import amending, anchors, documents, edits, filters, generation, labels, matching, numbers, quality, ranking, reading, retrieval, statistics, transforms, trees, versions  # noqa: F401
 from lexmere.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 from lexmere.streaming import feeds  # noqa: F401
