@@ -109,14 +109,9 @@ def text_measures(t: Tables) -> DataFrame:
     return rows.select("doc_id", short_hash(F.col("text")).alias("id8"), word_count(F.col("text")).cast("long").alias("words"))
 
 
-@query("""
-SELECT lang, count(*) AS docs, count(*) FILTER (contains(text, '|')) AS tables, count(*) FILTER (contains(text, '!!')) AS shouts FROM documents GROUP BY 1""")
-def unconsumed_content(t: Tables) -> DataFrame:
-    return t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.contains("text", F.lit("|"))).alias("tables"), F.count_if(F.contains("text", F.lit("!!"))).alias("shouts"))
-
-
 # What ends a sentence, the markers of lines that list publications, and words that tell amending bills.
 TERMINAL = '.;:!?”"׃'
+AMENDMENT_NUMBER = "תיקון מס'"
 REGISTRY_MARKERS = ("נוסח מאוחד", "נוסחים קודמים")
 AMENDING_NOUNS = ("תיקון", "תיקוני", "ביטול")
 LAW_NOUNS = ("חוק", "פקודת", "פקודה", "חוק-יסוד", "חוק־יסוד")
@@ -147,8 +142,10 @@ def citation_entries(docs: DataFrame, start: str = "{{preamble}}", end: str = "{
     """
     body = F.when(F.contains("body", F.lit(start)), F.substring_index(F.substr("body", F.instr("body", start) + len(start)), end, 1))
     listed = F.filter(F.split(body, "\n"), lambda x: F.contains(x, F.lit(REGISTRY_MARKERS[0])) | F.contains(x, F.lit(REGISTRY_MARKERS[1])))
-    boxes = F.flatten(F.transform(listed, lambda x: F.regexp_extract_all(x, F.lit(rf"\{{\{{{box}\|(.*?)\}}\}}"), F.lit(1))))
-    rows = docs.select("id", F.posexplode(F.transform(boxes, lambda b: F.split(b, r"\|"))).alias("place", "f")).where(F.size("f") > 1)
+    opening = f"{{{{{box}|"
+    pieces = F.flatten(F.transform(listed, lambda x: F.slice(F.split(x, r"\}\}"), 1, F.size(F.split(x, r"\}\}")) - 1)))  # what stands before each end of a call
+    fields = F.transform(F.filter(pieces, lambda x: F.contains(x, F.lit(opening))), lambda x: F.split(F.substring_index(x, opening, -1), r"\|"))
+    rows = docs.select("id", F.posexplode(fields).alias("place", "f")).where(F.size("f") > 1)
     cite, name = F.trim(F.get("f", F.lit(0))), F.trim(F.get("f", F.lit(1)))
     head, tail = F.trim(F.substring_index(cite, ",", 1)), F.trim(F.substr(cite, F.instr(cite, ",") + 1))
     dated = F.contains(cite, F.lit(",")) & (head != "") & (tail != "")
@@ -156,8 +153,15 @@ def citation_entries(docs: DataFrame, start: str = "{{preamble}}", end: str = "{
     w = Window.partitionBy("id").orderBy("place")
     rows = rows.withColumn("year", F.coalesce(F.last("own", ignorenulls=True).over(w), F.lit("")))
     ordinal = F.row_number().over(Window.partitionBy("id", "year").orderBy("place"))
-    amendment = F.nullif(F.regexp_extract("name", r"תיקון מס['׳]\s*(\d+)", 1), F.lit(""))
-    return rows.select("id", "place", "year", ordinal.alias("ordinal"), "page", "name", amendment.alias("amendment"))
+    return rows.select("id", "place", "year", ordinal.alias("ordinal"), "page", "name", _number_behind(F.col("name"), AMENDMENT_NUMBER).alias("amendment"))
+
+
+def _number_behind(text: Column, mark: str) -> Column:
+    """The digits that follow a mark, null without them; both forms of the apostrophe are one."""
+    plain = F.translate(text, "׳", "'")
+    behind = F.trim(F.substr(plain, F.instr(plain, mark) + len(mark)))
+    digits = F.length(behind) - F.length(F.ltrim(behind, F.lit("0123456789")))
+    return F.when(F.contains(plain, F.lit(mark)) & (digits > 0), F.left(behind, digits))
 
 
 def _words(text: Column) -> Column:
@@ -220,7 +224,7 @@ def bill_kind(t: Tables) -> DataFrame:
 
 @query()
 def markup_tree(t: Tables) -> DataFrame:
-    """Documents as markup: a chapter with the source as title, a section for each sentence of a document's first line."""
+    """Documents as markup: a chapter with the source as title, a section for each sentence of a document's text."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[{}|]", " ")
     body = F.transform(sentences(unified_punctuation(text)), lambda s, i: F.concat(F.lit("{{section|"), (i + 1).cast("string"), F.lit("|}}\n{{text1|"), s, F.lit("}}\n")))
     markup = F.concat(F.lit("{{chapter|1|"), "source", F.lit("}}\n"), F.array_join(body, ""))

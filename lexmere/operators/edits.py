@@ -109,15 +109,6 @@ def _same(rows: DataFrame, keys: list[str]):
     return cond
 
 
-def replace_versions(rows: DataFrame, path: str, reason: str) -> DataFrame:
-    """Writes rows (law_id, ...) below path/laws, each law's rows in the place of its former ones, and logs law, reason and
-    number of rows below path/log; other laws stay. Done again with the same rows the store is the same, with more log."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("law_id").parquet(f"{path}/laws")
-    log = rows.groupBy("law_id").agg(F.count(F.lit(1)).alias("n_rows")).select("law_id", F.lit(reason).alias("reason"), "n_rows")
-    log.write.mode("append").parquet(f"{path}/log")
-    return rows.sparkSession.read.parquet(f"{path}/laws")
-
-
 @query()
 def text_edit_kinds(t: Tables) -> DataFrame:
     """Whole documents against themselves with a word put in front, behind, taken away or changed."""

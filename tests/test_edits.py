@@ -3,7 +3,7 @@ from __future__ import annotations
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexmere.operators.edits import edit_kind, edit_kinds, edited, insert_ignore, replace_versions, upsert
+from lexmere.operators.edits import edit_kind, edit_kinds, edited, insert_ignore, upsert
 
 
 def test_kinds(spark):
@@ -41,8 +41,3 @@ def test_stores(spark, tmp_path):
     new = spark.createDataFrame([(2, "B"), (3, "C"), (None, "N")], "id long, v string")
     assert sorted(r.v for r in upsert(base, new, ["id"]).collect()) == ["B", "C", "N", "a"]
     assert sorted(r.v for r in insert_ignore(base, new, ["id"]).collect()) == ["C", "a", "b", "n"]
-    laws = lambda rows: spark.createDataFrame(rows, "law_id long, v string")
-    replace_versions(laws([(1, "x"), (1, "y"), (2, "z")]), str(tmp_path), "first")
-    got = replace_versions(laws([(1, "w")]), str(tmp_path), "second")
-    assert sorted((r.law_id, r.v) for r in got.collect()) == [(1, "w"), (2, "z")]
-    assert sorted((r.law_id, r.reason, r.n_rows) for r in spark.read.parquet(f"{tmp_path}/log").collect()) == [(1, "first", 2), (1, "second", 1), (2, "first", 1)]
