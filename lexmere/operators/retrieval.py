@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmere.functions.text import compact_form, content_words, facets_match, longest_words, search_form
+from lexmere.functions.shared import stage
+from lexmere.functions.text import compact_form, content_words, facets_match, longest_words, search_form, term_matches
 from lexmere.plans.registry import Tables, query
 
 STRONG, TAIL, TOTAL = 12, 4, 16
@@ -138,7 +137,8 @@ def unit_hits(t: Tables) -> DataFrame:
 def fuse(rows: DataFrame, units: list[str], facets: list[list[str]] = [], limit: int = STRONG) -> DataFrame:  # noqa: B006
     """rows (id, title, newest): the rows that several search units find, in one list (place, id, stage, matched).
 
-    A unit finds the titles in which each of its words begins a word, if every facet matches too. Units are asked in turn,
+    A unit finds the titles that it matches as a term does (prefix letters, short words whole, hyphens as blanks), if every
+    facet matches too. Units are asked in turn,
     those of more words first. A unit gives its newest rows that no unit before gave: 12 if it finds up to 25 rows, 6 up
     to 60, else none, and 12 in all. With fewer than two facets, units of one word give none, nor do those that find more
     than 120 if there is no facet; these units only count as matches. Of rows that units held back, first those of two
@@ -149,10 +149,9 @@ def fuse(rows: DataFrame, units: list[str], facets: list[list[str]] = [], limit:
     found; of equal ids one counts.
     """
     units = sorted(dict.fromkeys(u.lower() for u in units), key=lambda u: -len(u.split()))
-    words = F.split(F.lower("title"), " ")
-    begins = lambda w: F.exists(words, lambda x: x.startswith(w))
-    found = F.array_compact(F.array(*[F.when(reduce(Column.__and__, [begins(w) for w in u.split()]), F.lit(k)) for k, u in enumerate(units)]))
+    found = F.array_compact(F.array(*[F.when(term_matches(u, F.lower("title")), F.lit(k)) for k, u in enumerate(units)]))
     hits = rows.where(facets_match(facets, F.col("title"))).select("id", "newest", found.alias("found")).where(F.size("found") > 0).dropDuplicates(["id"])
+    hits = stage(hits, "hits")  # each unit asks them again
     counts = {r["k"]: r["n"] for r in hits.select(F.explode("found").alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
     gives = [k for k, u in enumerate(units) if k in counts and (len(facets) >= 2 or (len(u.split()) > 1 and (facets or counts[k] <= TOO_BROAD)))]
     out: list[tuple[int, int, int]] = []
@@ -174,7 +173,7 @@ def fuse(rows: DataFrame, units: list[str], facets: list[list[str]] = [], limit:
 def fused_sql(units: list[str], facet: str, strict: bool) -> str:
     """The steps of fuse over part as chained CTEs; units of more words first."""
     hits = " UNION ALL ".join(
-        f"SELECT id, newest, {k} AS k FROM t WHERE " + " AND ".join(f"len(list_filter(string_split(title, ' '), lambda x: starts_with(x, '{w}'))) > 0" for w in u.split()) for k, u in enumerate(units)
+        f"SELECT id, newest, {k} AS k FROM t WHERE " + " AND ".join(f"len(list_filter(string_split(title, ' '), lambda x: {f"starts_with(x, '{w}')" if len(w) > 3 else f"x = '{w}'"})) > 0" for w in u.split()) for k, u in enumerate(units)
     )
     gives = " OR ".join(["false"] + [f"(k = {k}" + ("" if strict or facet != "true" else " AND n <= 120") + ")" for k, u in enumerate(units) if strict or " " in u])
     steps, before = [], "SELECT NULL::BIGINT AS id WHERE false"
