@@ -49,6 +49,16 @@ def tree_merge(entries: DataFrame, bits: int = BITS, rounds: int = ROUNDS) -> Da
     return entries.select("digest", "best", "n")
 
 
+def leaf_runs(rows: DataFrame, sign: int = 1) -> DataFrame:
+    """The leaf runs' entries (run, digest, best, n, lo, hi): each run is whole in one partition, and so in one file once it
+    is written, in order of digest. Runs are dealt by identifier, so that none is larger than others whatever a digest's
+    share of the rows."""
+    entries = rows.repartition("run").groupBy("run", "digest").agg(
+        F.max(F.col("doc_id") * sign).alias("best"), F.sum("copies").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    )
+    return entries.sortWithinPartitions("run", "digest")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", bits: int = BITS, rounds: int = ROUNDS) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_bytes.
 
@@ -65,10 +75,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.count(F.lit(1)).alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.max("n_bytes").alias("n_bytes"))
     )
     rows = stage(rows, "digests")
-    leaves = rows.groupBy("run", "digest").agg(
-        F.max(F.col("doc_id") * sign).alias("best"), F.sum("copies").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
-    )
-    leaves = stage(leaves, "runs")
+    leaves = stage(leaf_runs(rows, sign), "runs")
     root = tree_merge(leaves, bits, rounds)
     down = leaves.select("run", "digest").join(root, "digest")
     out = rows.join(down, ["run", "digest"])

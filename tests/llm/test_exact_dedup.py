@@ -42,3 +42,17 @@ def test_clash_is_found(spark):
     leaves = spark.createDataFrame([(0, b"d", 1, 1, 5, 5), (1, b"d", 2, 1, 6, 6)], "run int, digest binary, best long, n long, lo long, hi long")
     with pytest.raises(Exception, match="equal digests"):
         exact_dedup.tree_merge(leaves, 1, 1).collect()
+
+
+def test_leaf_runs_are_sorted_and_whole(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5_000).select((F.col("id") % 7).cast("int").alias("run"), F.unhex(F.sha2((F.col("id") % 900).cast("string"), 256)).alias("digest"), F.col("id").alias("doc_id"), F.lit(1).alias("copies"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    exact_dedup.leaf_runs(rows.repartition(5)).write.parquet(f"{tmp_path}/runs")
+    files = {}
+    for r in spark.read.parquet(f"{tmp_path}/runs").select(F.input_file_name().alias("f"), F.col("_metadata.row_index").alias("i"), "run", F.hex("digest").alias("d"), "n").collect():
+        files.setdefault(r.f, []).append((r.i, r.run, r.d, r.n))
+    entries = [[x[1:3] for x in sorted(f)] for f in files.values()]
+    assert all(f == sorted(f) and len(f) == len(set(f)) for f in entries)
+    assert sorted(run for f in entries for run in {r for r, _ in f}) == list(range(7))
+    assert sum(x[3] for f in files.values() for x in f) == 5_000
