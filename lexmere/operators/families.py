@@ -195,10 +195,10 @@ def _line(text: Column, record: Column | None = None) -> Column:
 def _point(rows: DataFrame, family: str, op: str, anchor: Column, lines: Column, pos: Column, budget: Column | None = None) -> DataFrame:
     """Points of one family. Alternatives without a text, or with one that stands before them, go."""
     place = F.struct(F.col("section").cast("long"), F.lit(0), F.col("unit").cast("long"), F.lit(FAMILIES.index(family)), pos.cast("long")).alias("place")
-    real = F.filter(lines.cast(LINE), lambda x: x["text"].isNotNull())
-    once = F.filter(real, lambda x, i: F.array_position(F.transform(real, lambda y: y["text"]), x["text"]) == i + 1)
     money = (F.lit(False) if budget is None else budget).alias("budget")
-    return rows.select("bill", "section", "unit", F.lit(family).alias("family"), F.lit(op).alias("op"), anchor.alias("anchor"), "address", place, money, once.alias("lines"))
+    made = rows.select("bill", "section", "unit", F.lit(family).alias("family"), F.lit(op).alias("op"), anchor.alias("anchor"), "address", place, money, lines.cast(LINE).alias("lines"))
+    made = made.withColumn("lines", F.filter("lines", lambda x: x["text"].isNotNull())).withColumn("__texts", F.transform("lines", lambda x: x["text"]))
+    return made.withColumn("lines", F.filter("lines", lambda x, i: F.array_position("__texts", x["text"]) == i + 1)).drop("__texts")
 
 
 def value_points(units: DataFrame, level: str) -> DataFrame:
