@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,8 +50,9 @@ FORMS |= {f"{form} {inf}": (modal, inf, NUMBERS[i]) for modal, forms in MODALS.i
 PAIRS = {forms[0]: forms[1] for forms in VERBS.values()} | OTHER_PAIRS
 
 
-def _table(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+def table(values: dict[str, str]) -> Column:
+    """A constant map, as one literal."""
+    return F.from_json(F.lit(json.dumps(values, ensure_ascii=False)), "map<string,string>")
 
 
 def said(modal: str, infinitive: str, number: str) -> str | None:
@@ -61,26 +64,26 @@ def said(modal: str, infinitive: str, number: str) -> str | None:
 
 def verb_form(phrase: Column) -> Column:
     """struct<modal, infinitive, number> of a form, null for others."""
-    part = lambda k: F.element_at(_table({form: parts[k] for form, parts in FORMS.items()}), phrase)
+    part = lambda k: F.element_at(table({form: parts[k] for form, parts in FORMS.items()}), phrase)
     return F.when(part(1).isNotNull(), F.struct(part(0).alias("modal"), part(1).alias("infinitive"), part(2).alias("number")))
 
 
 def conjugate(modal: Column, infinitive: Column, number: Column) -> Column:
     """The form with these parts, null if there is none."""
-    table = {f"{m}|{inf}|{n}": said(m, inf, n) for m in ("", *MODALS) for inf in VERBS for n in NUMBERS}
-    return F.element_at(_table(table), F.concat_ws("|", modal, infinitive, number))
+    forms = {f"{m}|{inf}|{n}": said(m, inf, n) for m in ("", *MODALS) for inf in VERBS for n in NUMBERS}
+    return F.element_at(table(forms), F.concat_ws("|", modal, infinitive, number))
 
 
 def gender(phrase: Column) -> Column:
     """m or f by the noun that opens an actor's name, with or without an article; null for other nouns."""
-    table = _table({w: "m" for w in MASCULINE} | {w: "f" for w in FEMININE})
+    genders = table({w: "m" for w in MASCULINE} | {w: "f" for w in FEMININE})
     head = F.regexp_extract(phrase, r"^\s*(\S+)", 1)
-    bare = F.when(head.startswith("ה"), F.element_at(table, F.substr(head, F.lit(2))))
-    return F.coalesce(bare, F.element_at(table, head))
+    bare = F.when(head.startswith("ה"), F.element_at(genders, F.substr(head, F.lit(2))))
+    return F.coalesce(bare, F.element_at(genders, head))
 
 
 def inflect(word: Column, to: Column) -> Column:
     """A verb's or an adjective's form in the other gender or, if it has that gender, itself; null for other words."""
-    own = _table({m: "m" for m in PAIRS} | {f: "f" for f in PAIRS.values()})
-    other = _table(PAIRS | {f: m for m, f in PAIRS.items()})
+    own = table({m: "m" for m in PAIRS} | {f: "f" for f in PAIRS.values()})
+    other = table(PAIRS | {f: m for m, f in PAIRS.items()})
     return F.when(F.element_at(own, word) == to, word).otherwise(F.element_at(other, word))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmere.functions.agreement import FORMS, NEGATIONS, NUMBERS, gender, inflect, said
+from lexmere.functions.agreement import FORMS, NEGATIONS, NUMBERS, gender, inflect, said, table
 from lexmere.functions.numbers import quantities, quantity
 from lexmere.functions.shared import stage
 from lexmere.functions.spans import anchors, citations
@@ -316,7 +316,6 @@ def with_verbs(units: DataFrame) -> DataFrame:
 def duty_points(units: DataFrame, records: DataFrame) -> DataFrame:
     """Duty for permission and back, by records "form=>form", in every number that both have."""
     parts = lambda k: {form: p[k] for form, p in FORMS.items()}
-    table = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
     pairs = records.select(F.posexplode("duty").alias("p", "r"))
     source, target = F.split_part("r.value", F.lit("=>"), F.lit(1)), F.split_part("r.value", F.lit("=>"), F.lit(2))
     numbers = F.posexplode(F.array(*[F.lit(n) for n in NUMBERS])).alias("k", "number")
@@ -333,9 +332,9 @@ def duty_points(units: DataFrame, records: DataFrame) -> DataFrame:
 
 def modifier_points(units: DataFrame, records: DataFrame) -> DataFrame:
     """Words put behind a verb."""
-    order = {f: i for i, f in enumerate(FORMS)}
+    order = {f: str(i) for i, f in enumerate(FORMS)}
     rows = with_verbs(units).crossJoin(F.broadcast(records.select("verb_modifier")))
-    place = F.element_at(F.create_map(*[F.lit(x) for pair in order.items() for x in pair]), F.col("verb"))
+    place = F.element_at(table(order), F.col("verb")).cast("long")
     lines = F.transform("verb_modifier", lambda r: _line(_replace(F.col("verb"), F.concat(F.col("verb"), F.lit(" "), r["text"])), r["id"]))
     return _point(rows, "verb_modifier", "modify", F.col("verb"), lines, place)
 
