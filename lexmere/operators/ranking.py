@@ -103,7 +103,8 @@ def sibling_neighbours(t: Tables) -> DataFrame:
 SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 599 PRECEDING AND CURRENT ROW) AS in_10_minutes,
        count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS in_a_day FROM events""")
 def trailing_counts(t: Tables) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.unix_seconds(F.date_trunc("second", F.col("ts")).cast("timestamp")))
+    second = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")  # the nearest, of two the even one
+    w = Window.partitionBy("user_id").orderBy(second)
     return t.events.select("event_id", "user_id", F.count(F.lit(1)).over(w.rangeBetween(-599, 0)).alias("in_10_minutes"), F.count(F.lit(1)).over(w.rangeBetween(-86399, 0)).alias("in_a_day"))
 
 
