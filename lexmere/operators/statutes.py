@@ -12,11 +12,14 @@ _OPEN = '{{ח:מבוא}}\nהקדמה\n{{ח:סוגר}}\n<div class="law-toc">\n{{
 #: By the piece's number and the document's: what stands before and behind it.
 _FORMS = (("{{ח:סעיף|", ""), ("{{ח:ת}} ", ""), ("{{ח:סעיף*||עוגן=סעיף 3.ב}}\nהמשך ", ""), ("{{ח:תת|(א)}} ", ""), ("{{ח:סעיף*}}\n{{ח:תת|(1)}} ", ""), ("{{ח:סעיף*}}\n{{ח:ת}} ", ""), ("<table>\n<tr>", "</tr>\n</table>"), ("{{לוח חדש|\n", "}}"))
 
+#: Space characters of any kind, which a piece doesn't begin or end with.
+_SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
 
 def markup(t: Tables) -> DataFrame:
     """Documents as statutes: a box and a table of contents, then a form for each piece of the text."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[{}|<>\[\]\s]+", " ")
-    pieces = F.filter(F.transform(F.split(text, r"\. "), F.trim), lambda p: F.length(p) > 1)
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[{}|<>\[\] \t\n\f\r]+", " ")
+    pieces = F.filter(F.transform(F.split(text, r"\. "), lambda p: F.trim(p, F.lit(_SPACES))), lambda p: F.length(p) > 1)
     at = lambda i: F.pmod(i + F.col("doc_id"), F.lit(len(_FORMS))).cast("int")
     before, behind = (F.lit([f[k] for f in _FORMS]) for k in (0, 1))
     form = lambda p, i: F.concat(F.get(before, at(i)), F.when(at(i) == 0, F.concat(i.cast("string"), F.lit("|"), p, F.lit("}}"))).otherwise(F.concat(p, F.get(behind, at(i)))))
