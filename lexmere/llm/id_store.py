@@ -33,6 +33,8 @@ from lexmere.llm.encoding import Encoder, slices, word_encoder
 END_ID = 2
 #: Ids that the rolling hash covers, and bounds and mean of a chunk's ids.
 SPAN, LEAST, MEAN, MOST = 16, 64, 256, 1024
+#: Bytes of text encoded at once: of more text fewer pieces are looked up.
+SLICE = 12 << 20
 POLYNOMIAL = 0xEDB88320
 
 
@@ -133,7 +135,7 @@ def write_store(docs: DataFrame, path: str, encoder: Callable[[], Encoder] = wor
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = encoder(), set()
         for b in batches:
-            for at, n in slices(b.column(2)):
+            for at, n in slices(b.column(2), SLICE):
                 source, out = [], []
                 ids, sizes = enc.encode(b.column(2).slice(at, n), end_id)
                 raw, first = ids.astype("<u2").tobytes(), 0
