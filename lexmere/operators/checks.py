@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmere.functions.numbering import section_key
+from lexmere.functions.shared import stage
 from lexmere.functions.text import squeeze
 from lexmere.operators.citing import cited_sections_of
 from lexmere.plans.registry import Tables, query
@@ -123,7 +124,7 @@ def draft_findings(bills: DataFrame, lines: DataFrame, refs: DataFrame, sections
     used = base.select("bill_id", F.explode("footnotes").alias("key")).distinct()
     unknown = used.join(refs.select("bill_id", "key").distinct(), ["bill_id", "key"], "left_anti").groupBy("bill_id").agg(F.count(F.lit(1)).alias("b2"))
     # 1: sections that the amended law doesn't have
-    cited = cited_sections_of(base, ["place"]).select("bill_id", "section")
+    cited = stage(cited_sections_of(base, ["place"]).select("bill_id", "section"), "cited")
     known = sections.select("bill_id", "section").distinct()
     missing = cited.join(known, ["bill_id", "section"], "left_anti").groupBy("bill_id").agg(F.count(F.lit(1)).alias("b1"))
     there = cited.select("bill_id").distinct().join(known.select("bill_id").distinct(), "bill_id", "left_semi").withColumn("cites", F.lit(True))
@@ -133,6 +134,7 @@ def draft_findings(bills: DataFrame, lines: DataFrame, refs: DataFrame, sections
     every = bills.where("bill_id is not null").select("bill_id", "kind", title.alias("title"), "submitted").dropDuplicates(["bill_id"])
     for part in (per, order, unknown, missing, there):
         every = every.join(part, "bill_id", "left")
+    every = stage(every, "judged")  # eleven findings a row read it: no plan holds what they go by
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     judged = lambda c, bad=FAILED: F.when(n(F.col(c)) > 0, bad).otherwise(PASSED)
     principal, defined = n(F.col("principal")), n(F.col("defined"))
