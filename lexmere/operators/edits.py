@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lexmere.functions.shared import slices
 from lexmere.plans.registry import Tables, query
 
 #: What separates words in drafting; each stands as a token of its own.
 SEPARATORS = " \t\n\r.,;:"
 _TOKENS = re.compile(f"[^{SEPARATORS}]+|[{SEPARATORS}]")
-EDIT = "kind string, phrase string, text string"
+EDIT = ("kind", "phrase", "text")
 
 
 def _grown(tokens: list[str], whole: str, i: int, j: int, left: bool, right: bool) -> tuple[int, int] | None:
@@ -81,11 +84,13 @@ def edit_kind(before: str, after: str) -> tuple[str, str | None, str | None]:
 def edit_kinds(rows: DataFrame) -> DataFrame:
     """rows (id, before, after): kind, phrase and text of each edit; null counts as an empty text."""
 
-    @F.pandas_udf(EDIT)
-    def told(before: pd.Series, after: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([edit_kind(x, y) for x, y in zip(before, after)], columns=["kind", "phrase", "text"])
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            out = [edit_kind(x or "", y or "") for x, y in zip(part["before"].to_pylist(), part["after"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([part["id"], *[pa.array([r[k] for r in out], pa.string()) for k in range(len(EDIT))]], names=["id", *EDIT])
 
-    return rows.select("id", told(F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))).alias("e")).select("id", "e.*")
+    schema = T.StructType([rows.schema["id"], *[T.StructField(c, T.StringType()) for c in EDIT]])
+    return rows.select("id", "before", "after").mapInArrow(told, schema)
 
 
 def upsert(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
