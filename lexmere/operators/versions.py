@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmere.functions.shared import slices
 from lexmere.functions.text import joined_hash
 from lexmere.plans.registry import Tables, query
 
-EDITS = T.ArrayType(T.StructType().add("op", "string").add("old", "string").add("new", "string").add("at", "integer"))
+EDIT = (("op", pa.string()), ("old", pa.string()), ("new", pa.string()), ("at", pa.int32()))
 
 
 def version_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -33,9 +34,19 @@ def word_edits(before: str, after: str) -> list[dict]:
     return out
 
 
-@F.pandas_udf(EDITS)
-def text_edits(before: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series([word_edits(x or "", y or "") for x, y in zip(before, after, strict=True)])
+def text_edits(rows: DataFrame) -> DataFrame:
+    """rows (before, after, and any others): the others with a row for each edit (op, old, new, at); null is an empty text.
+    Edits are told a few rows at a time."""
+    kept = [c for c in rows.columns if c not in ("before", "after")]
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = [(k, e) for k, (x, y) in enumerate(zip(part["before"].to_pylist(), part["after"].to_pylist())) for e in word_edits(x or "", y or "")]
+            at = pa.array([k for k, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[part[c].take(at) for c in kept], *[pa.array([e[c] for _, e in found], kind) for c, kind in EDIT]], names=[*kept, *[c for c, _ in EDIT]])
+
+    schema = T.StructType([*[rows.schema[c] for c in kept], *[T.StructField(c, T.IntegerType() if c == "at" else T.StringType()) for c, _ in EDIT]])
+    return rows.select(*kept, "before", "after").mapInArrow(told, schema)
 
 
 def apply_edits(nodes: DataFrame, edits: DataFrame, rows_each: int = 50_000) -> DataFrame:
@@ -119,8 +130,8 @@ def rendered_instructions(t: Tables) -> DataFrame:
 def text_edit_operations(t: Tables) -> DataFrame:
     """Word edits between consecutive turns of a conversation."""
     after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    pairs = t.conversations.select("conv_id", "turn", "text", after.alias("after")).where("after is not null")
-    return pairs.select("conv_id", "turn", F.explode(text_edits("text", "after")).alias("e")).select("conv_id", "turn", "e.*")
+    pairs = t.conversations.select("conv_id", "turn", F.col("text").alias("before"), after.alias("after")).where("after is not null")
+    return text_edits(pairs)
 
 
 @query()
