@@ -5,19 +5,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lexmere.functions.shared import slices
 from lexmere.functions.spans import anchors, citations, references
 from lexmere.plans.registry import Tables, query
 
-ANCHOR = "array<struct<start:int,end:int,text:string,kind:string,in_reference:boolean,in_citation:boolean>>"
+ANCHOR = (("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("kind", pa.string()), ("in_reference", pa.bool_()), ("in_citation", pa.bool_()))
 SPAN = "array<struct<start:int,end:int,kind:string>>"
 
 
-def _read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(lambda x: [a._asdict() for a in anchors(x)])
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, 1000):
+        at, found = [], []
+        for k, text in enumerate(part["text"].to_pylist()):
+            mine = anchors(text)
+            at += [k] * len(mine)
+            found += mine
+        columns = list(zip(*found)) or [()] * len(ANCHOR)
+        yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(at, pa.int64())), *[pa.array(x, kind) for x, (_, kind) in zip(columns, ANCHOR)]], names=["id", *[c for c, _ in ANCHOR]])
 
 
 def _read_spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -35,8 +44,9 @@ def text_anchors_of(rows: DataFrame) -> DataFrame:
     """rows (id, text, and any others, which don't count): a row for each anchor (id, start, end, text, kind,
     in_reference, in_citation). Null and empty texts have none; equal rows give equal anchors; texts are read whole, in
     time that grows with their length."""
-    found = with_digits(rows).select("id", F.explode(F.pandas_udf(_read, ANCHOR)("text")).alias("a"))
-    return found.select("id", "a.*")
+    kinds = {pa.int32(): T.IntegerType(), pa.string(): T.StringType(), pa.bool_(): T.BooleanType()}
+    schema = T.StructType([rows.schema["id"], *[T.StructField(c, kinds[kind]) for c, kind in ANCHOR]])
+    return with_digits(rows).select("id", "text").mapInArrow(_read, schema)
 
 
 def spans_of(rows: DataFrame) -> DataFrame:
