@@ -6,11 +6,12 @@ a step that fails takes back its own edit and nothing else; later edits see the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmere.functions.shared import stage
 from lexmere.operators.amending import VERSIONS, order_versions
 from lexmere.plans.registry import Tables, query
 
@@ -162,35 +163,40 @@ def edited_laws(nodes: DataFrame, edits: DataFrame, rows_each: int = 50_000) ->
     delete_words, words_after, words_before, append_words, title_words, repeal_section, remove_unit. Phrases must stand
     once; units that are repealed, or under one that is, can't be changed; labels must be free among those in force. Edits go by
     number, their steps by step; places are counted anew from 0. Edits of laws that aren't there are refused. Laws are dealt
-    to tasks by hash, many to each; a law with its edits is one tree in one task.
+    to tasks by hash, many to each; a law with its edits is one tree in one task. Each of the two results does only its own
+    part: neither is written, and statuses make no rows of units.
     """
     kinds = dict(nodes.dtypes)
-    names = ["law", *EDIT[:1], "ok", "reason", "id", *NODE]
 
-    def run(rows: pa.Table, todo: pa.Table) -> pa.Table:
+    def trees(rows: pa.Table, todo: pa.Table) -> Iterator[tuple[object, Tree, list[tuple[int, bool, str | None]]]]:
         laws: dict = {}
         for r in rows.sort_by([("place", "ascending"), ("id", "ascending")]).to_pylist():
             laws.setdefault(r["law"], ([], []))[0].append(r)
         for e in todo.to_pylist():
             laws.setdefault(e["law"], ([], []))[1].append(e)
-        out = []
-        for law, (units, wanted) in laws.items():
+        while laws:
+            law, (units, wanted) = laws.popitem()
             tree = Tree(units)
-            out += [(law, *status, *[None] * (1 + len(NODE))) for status in tree.edited(wanted)]
-            for parent, ids in tree.below.items():
-                out += [(law, None, None, None, i, parent, k, *[tree.unit[i][c] for c in NODE[2:]]) for k, i in enumerate(ids)]
-        law = rows.schema.field("law").type
-        types = [law, pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int32(), *[pa.string()] * 5]
+            yield law, tree, tree.edited(wanted)
+
+    def units(rows: pa.Table, todo: pa.Table) -> pa.Table:
+        out = [(law, i, parent, k, *[tree.unit[i][c] for c in NODE[2:]]) for law, tree, _ in trees(rows, todo) for parent, ids in tree.below.items() for k, i in enumerate(ids)]
+        return made(out, [rows.schema.field("law").type, pa.string(), pa.string(), pa.int32(), *[pa.string()] * 5], ["law", "id", *NODE])
+
+    def statuses(rows: pa.Table, todo: pa.Table) -> pa.Table:
+        out = [(law, *status) for law, _, told in trees(rows, todo) for status in told]
+        return made(out, [rows.schema.field("law").type, pa.int32(), pa.bool_(), pa.string()], ["law", "edit", "ok", "reason"])
+
+    def made(out: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.Table:
         return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate(zip(names, types, strict=True))})
 
     def dealt(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
         return df.select("law", *columns).withColumn("bucket", F.pmod(F.xxhash64("law"), F.lit(buckets)))
 
     buckets = max(8, -(-nodes.count() // rows_each))
-    schema = f"law {kinds['law']}, edit int, ok boolean, reason string, id string, parent string, place int, kind string, number string, title string, text string, status string"
-    both = dealt(nodes, ("id", *NODE)).groupBy("bucket").cogroup(dealt(edits, EDIT).groupBy("bucket")).applyInArrow(run, schema)
-    both = stage(both, "edited")
-    return both.where("id is not null").select("law", "id", *NODE), both.where("id is null").select("law", "edit", "ok", "reason")
+    both = dealt(nodes, ("id", *NODE)).groupBy("bucket").cogroup(dealt(edits, EDIT).groupBy("bucket"))
+    after = both.applyInArrow(units, f"law {kinds['law']}, id string, parent string, place int, kind string, number string, title string, text string, status string")
+    return after, both.applyInArrow(statuses, f"law {kinds['law']}, edit int, ok boolean, reason string")
 
 
 def order_edits(t: Tables) -> tuple[DataFrame, DataFrame]:
