@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ LAW_NOUNS = ("חוק", "פקודת", "פקודה")
 INSTRUCTIONS = ("אחרי", "לפני", "במקום", "בסעיף", "סעיף", "בתוספת", "בהגדרה", "בהגדרות", "בכותרת", "בפסקה", "בפרט", "בסופו", "בסופה", "בטל", "בטלה", "יבוא", "בחלק", "בפרק", "בסימן", "ברישה")
 CALLED, MAIN = "(להלן", ("העיקרי", "העיקרית")
 AIMS, SECTIONS = ("אחרי", "לפני", "במקום"), ("סעיף", "סעיפים")
+# What both words of sections begin with, and how many words of a clause tell what it aims at.
+SECTION_STEM, OPENING = "סעי", 5
 TO_LAWS = ("לחוק", "לפקודת", "לפקודה")
 REPEALED, ADDED = ("בטלים", "בטלה", "בטל"), "הוספ"
 #: marks of this module within texts: between the numbers of a list, before a word of repeal, between clauses.
@@ -24,6 +28,11 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What then makes of a value that is computed once for a row, however often then uses it, also within lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _at(words: Column, i: int) -> Column:
     return F.coalesce(F.get(words, F.lit(i)), F.lit(""))
 
@@ -35,22 +44,24 @@ def _letters(word: Column) -> Column:
 def amended_law(text: Column) -> Column:
     """The name of the law that an instruction opens with, as written; empty for texts that open otherwise."""
     body = F.substr(F.ltrim(text), F.lit(2))
-    first = F.translate(_at(_words(F.ltrim(text)), 0), "־", "-")
+    first = F.translate(F.regexp_extract(text, r"(\S+)", 1), "־", "-")
     opens = F.regexp_extract(first, "^[א-ת]+(-יסוד)?", 0).isin(*[f"ב{n}" for n in LAW_NOUNS], "בחוק-יסוד")
     plain = F.get(F.split(F.substring_index(body, CALLED, 1), r"\s[–־-](\s|$)"), F.lit(0))
-    parts = F.split(plain, ",")
-    instructs = F.transform(parts, lambda p, i: (i > 0) & _letters(F.ltrim(p)).isin(*INSTRUCTIONS))
-    stop = F.array_position(instructs, True).cast("int")
-    name = F.array_join(F.when(stop > 0, F.slice(parts, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(parts), ",")
+    stop = lambda parts: F.array_position(F.transform(parts, lambda p, i: (i > 0) & _letters(F.ltrim(p)).isin(*INSTRUCTIONS)), True).cast("int")
+    name = _once(F.split(plain, ","), lambda parts: _once(stop(parts), lambda k: F.array_join(F.when(k > 0, F.slice(parts, 1, F.greatest(k - 1, F.lit(0)))).otherwise(parts), ",")))
     return F.when(opens, F.trim(F.rtrim(F.trim(name), F.lit(",")))).otherwise("")
 
 
 def points_to_main(text: Column) -> Column:
     """Whether a text speaks of the law that was named first."""
-    w = F.transform(_words(text), _letters)
-    opens = F.regexp_replace(_at(w, 0), "^[בל]", "").isin("חוק", "פקודה") & _at(w, 1).isin(*MAIN)
-    behind = F.exists(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: (F.get(w, i).endswith("לחוק") | F.get(w, i).endswith("לפקודה")) & F.get(w, i + 1).isin(*MAIN))
-    return opens | F.coalesce(behind, F.lit(False)) | (_at(w, 0) == "בפקודה")
+
+    def points(w: Column) -> Column:
+        opens = F.regexp_replace(_at(w, 0), "^[בל]", "").isin("חוק", "פקודה") & _at(w, 1).isin(*MAIN)
+        behind = F.exists(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: (F.get(w, i).endswith("לחוק") | F.get(w, i).endswith("לפקודה")) & F.get(w, i + 1).isin(*MAIN))
+        return opens | F.coalesce(behind, F.lit(False)) | (_at(w, 0) == "בפקודה")
+
+    may = F.contains(text, F.lit(MAIN[0])) | F.contains(text, F.lit("בפקודה"))
+    return F.when(may, _once(F.transform(_words(text), _letters), points)).otherwise(F.lit(False))
 
 
 def _lists(text: Column) -> Column:
@@ -62,15 +73,14 @@ def _lists(text: Column) -> Column:
 def _numbers(listed: Column) -> Column:
     """The numbers of a list up to the first that is none."""
     read = F.transform(F.split(listed, LISTED), lambda x: F.rtrim(F.regexp_extract(x, "^[0-9][0-9א-ת׳'\"]*", 0), F.lit("\"'׳")))
-    gap = F.array_position(read, "").cast("int")
-    return F.when(gap > 0, F.slice(read, 1, F.greatest(gap - 1, F.lit(0)))).otherwise(read)
+    gap = lambda xs: F.array_position(xs, "").cast("int")
+    return _once(read, lambda xs: F.when(gap(xs) > 0, F.slice(xs, 1, F.greatest(gap(xs) - 1, F.lit(0)))).otherwise(xs))
 
 
 def _aimed(w: Column, listed: int) -> Column:
     """The numbers in a clause's words from a place on, unless a single one belongs to another law."""
-    numbers = _numbers(_at(w, listed))
     other = _at(w, listed + 1).isin(*TO_LAWS) & ~_letters(_at(w, listed + 2)).isin(*MAIN)
-    return F.when((F.size(numbers) == 1) & other, F.array().cast("array<string>")).otherwise(numbers)
+    return _once(_numbers(_at(w, listed)), lambda numbers: F.when((F.size(numbers) == 1) & other, F.array().cast("array<string>")).otherwise(numbers))
 
 
 def cited_numbers(text: Column, heading: Column) -> Column:
@@ -81,11 +91,13 @@ def cited_numbers(text: Column, heading: Column) -> Column:
     clauses = F.split(F.regexp_replace(F.translate(gone, ",;:.)]", CUT * 6), r"\s[–־-]", CUT), CUT)
     aims = lambda w: F.when(_at(w, 0).isin(*[f"ב{s}" for s in SECTIONS]), _aimed(w, 1)).when(_at(w, 0).isin(*AIMS) & _at(w, 1).isin(*SECTIONS), _aimed(w, 2)).otherwise(none)
     repeals = lambda w: F.when(_at(w, 0).isin(*SECTIONS) & _at(w, 2).startswith(GONE) & ~F.contains(_at(w, 1), F.lit(LISTED)), _numbers(_at(w, 1))).otherwise(none)
-    words = F.transform(clauses, _words)
-    h = _words(_lists(F.coalesce(heading, F.lit(""))))
-    follow = F.transform(h, lambda x, i: F.when(x.endswith(SECTIONS[0]) | x.endswith(SECTIONS[1]), _numbers(F.coalesce(F.get(h, i + 1), F.lit("")))).otherwise(none))
-    adds = F.exists(h, lambda x: x.startswith(ADDED))
-    every = F.concat(F.when(adds, none).otherwise(F.flatten(follow)), F.flatten(F.transform(words, aims)), F.flatten(F.transform(words, repeals)))
+    follow = lambda h: F.transform(h, lambda x, i: F.when(x.endswith(SECTIONS[0]) | x.endswith(SECTIONS[1]), _numbers(F.coalesce(F.get(h, i + 1), F.lit("")))).otherwise(none))
+    headed = lambda h: F.when(F.exists(h, lambda x: x.startswith(ADDED)), none).otherwise(F.flatten(follow(h)))
+    told = lambda words: F.concat(F.flatten(F.transform(words, aims)), F.flatten(F.transform(words, repeals)))
+    speaks = lambda x: F.contains(x, F.lit(SECTION_STEM))
+    openings = F.transform(F.filter(clauses, speaks), lambda c: F.filter(F.split(c, r"\s+", OPENING + 2), lambda w: w != ""))
+    in_heading = F.when(speaks(heading), _once(_words(_lists(heading)), headed)).otherwise(none)
+    every = F.concat(in_heading, F.when(speaks(text), _once(openings, told)).otherwise(none))
     return F.filter(every, lambda x: x != "")
 
 
