@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmere.functions.text import sentences, short_hash, unified_punctuation, word_count
 from lexmere.plans.registry import Tables, query
@@ -134,26 +136,44 @@ def unconsumed_lines(docs: DataFrame) -> DataFrame:
     return rows.where(~consumed).select("doc_id", "line_no", "line", kind.alias("kind"))
 
 
+@F.pandas_udf(T.StructType().add("year", T.ArrayType(T.StringType())).add("ordinal", T.ArrayType(T.IntegerType())))
+def with_ordinals(years: pd.Series) -> pd.DataFrame:
+    """Of each list of years, empty for the year before and null for what is no entry: the years, and the how-manieth entry
+    of its year each is."""
+    out = []
+    for own in years:
+        now, seen, found, places = "", {}, [], []
+        for y in own if own is not None else ():
+            now = y or now
+            if y is not None:
+                seen[now] = seen.get(now, 0) + 1
+            found.append(now)
+            places.append(seen.get(now, 0))
+        out.append((found, places))
+    return pd.DataFrame(out, columns=["year", "ordinal"])
+
+
 def citation_entries(docs: DataFrame, start: str = "{{preamble}}", end: str = "{{end}}", box: str = "box") -> DataFrame:
     """docs (id, body): the publications that a law's preamble lists (id, place, year, ordinal, page, name, amendment).
 
     A box holds "year, page" or a page alone, which goes with the year before it, then a name. Lines without one of the
-    markers, boxes without a name, and what stands outside of the preamble don't count.
+    markers, boxes without a name, and what stands outside of the preamble don't count. Each row of docs is read by itself,
+    where it lies.
     """
     body = F.when(F.contains("body", F.lit(start)), F.substring_index(F.substr("body", F.instr("body", start) + len(start)), end, 1))
     listed = F.filter(F.split(body, "\n"), lambda x: F.contains(x, F.lit(REGISTRY_MARKERS[0])) | F.contains(x, F.lit(REGISTRY_MARKERS[1])))
     opening = f"{{{{{box}|"
     pieces = F.flatten(F.transform(listed, lambda x: F.slice(F.split(x, r"\}\}"), 1, F.size(F.split(x, r"\}\}")) - 1)))  # what stands before each end of a call
     fields = F.transform(F.filter(pieces, lambda x: F.contains(x, F.lit(opening))), lambda x: F.split(F.substring_index(x, opening, -1), r"\|"))
-    rows = docs.select("id", F.posexplode(fields).alias("place", "f")).where(F.size("f") > 1)
-    cite, name = F.trim(F.get("f", F.lit(0))), F.trim(F.get("f", F.lit(1)))
-    head, tail = F.trim(F.substring_index(cite, ",", 1)), F.trim(F.substr(cite, F.instr(cite, ",") + 1))
-    dated = F.contains(cite, F.lit(",")) & (head != "") & (tail != "")
-    rows = rows.select("id", "place", F.when(dated, head).alias("own"), F.when(dated, tail).otherwise(cite).alias("page"), name.alias("name"))
-    w = Window.partitionBy("id").orderBy("place")
-    rows = rows.withColumn("year", F.coalesce(F.last("own", ignorenulls=True).over(w), F.lit("")))
-    ordinal = F.row_number().over(Window.partitionBy("id", "year").orderBy("place"))
-    return rows.select("id", "place", "year", ordinal.alias("ordinal"), "page", "name", _number_behind(F.col("name"), AMENDMENT_NUMBER).alias("amendment"))
+    cite = lambda f: F.trim(F.get(f, F.lit(0)))
+    head, tail = (lambda c: F.trim(F.substring_index(c, ",", 1))), (lambda c: F.trim(F.substr(c, F.instr(c, ",") + 1)))
+    dated = lambda c: F.contains(c, F.lit(",")) & (head(c) != "") & (tail(c) != "")
+    own = F.transform("fields", lambda f: F.when(F.size(f) > 1, F.when(dated(cite(f)), head(cite(f))).otherwise("")))
+    rows = docs.select("id", fields.alias("fields")).withColumn("y", with_ordinals(own))
+    rows = rows.select("id", F.posexplode(F.arrays_zip("fields", "y.year", "y.ordinal")).alias("place", "f")).where(F.size("f.fields") > 1)
+    name, c = F.trim(F.get("f.fields", F.lit(1))), cite(F.col("f.fields"))
+    rows = rows.select("id", "place", "f", F.when(dated(c), tail(c)).otherwise(c).alias("page"), name.alias("name"))
+    return rows.select("id", "place", "f.year", "f.ordinal", "page", "name", _number_behind(F.col("name"), AMENDMENT_NUMBER).alias("amendment"))
 
 
 def _number_behind(text: Column, mark: str) -> Column:
