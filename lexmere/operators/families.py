@@ -8,6 +8,7 @@ an array, so that nothing is multiplied out before a plan says how many of them
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -171,10 +172,14 @@ def whole_phrase(phrase: Column) -> Column:
 
 def can_anchor(phrase: Column) -> Column:
     """A phrase that can be pointed to: in a text read for certain, there once, outside cited laws, without quotation marks."""
-    once = F.regexp_count("text", whole_phrase(phrase)) == 1
-    at = F.regexp_instr(F.col("text"), whole_phrase(phrase))
-    outside = F.substr("masked", at, F.length(phrase)) == phrase
-    return F.coalesce(F.col("certain") & (F.trim(phrase) != "") & ~F.contains(phrase, F.lit('"')) & once & outside, F.lit(False))
+    text, at = F.col("text"), F.instr("text", phrase)
+    beside = lambda x: F.coalesce(x.rlike(f"^{LETTER}"), F.lit(False))
+    alone = ~F.when(at > 1, beside(F.substr(text, at - 1, F.lit(1)))).otherwise(F.lit(False)) & ~beside(F.substr(text, at + F.length(phrase), F.lit(1)))
+    outside = lambda place: F.substr("masked", place, F.length(phrase)) == phrase
+    found = (F.regexp_count("text", whole_phrase(phrase)) == 1) & outside(F.regexp_instr(text, whole_phrase(phrase)))
+    # A pattern made for a row is needed only where the phrase's letters stand at several places.
+    once = F.when(at == 0, F.lit(False)).when(F.position(phrase, text, at + 1) == 0, alone & outside(at)).otherwise(found)
+    return F.coalesce(F.col("certain") & (F.trim(phrase) != "") & ~F.contains(phrase, F.lit('"')) & once, F.lit(False))
 
 
 # --- lines ---------------------------------------------------------------------------------------------------------------
@@ -299,10 +304,19 @@ def approval_points(units: DataFrame, records: DataFrame) -> DataFrame:
     return _point(rows, "approval", "after", actor, F.transform("approval", line), F.col("p"))
 
 
+def any_of(words: list[str]) -> str:
+    """The pattern of some words, longest first, that reads what several begin with once."""
+    below: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            below.setdefault(w[0], []).append(w[1:])
+    rest = "|".join(re.escape(c) + any_of(ends) for c, ends in below.items())
+    return f"(?:{rest})" + ("?" if "" in words else "") if below else ""
+
+
 def with_verbs(units: DataFrame) -> DataFrame:
     """A row for each verb of the table that can be pointed to and isn't negated nor part of "take into account"."""
-    forms = sorted(FORMS, key=len, reverse=True)
-    pattern = rf"(?<!{LETTER})(?:{'|'.join(forms)})(?!{LETTER})"
+    pattern = rf"(?<!{LETTER}){any_of(list(FORMS))}(?!{LETTER})"
     verbs = F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
     rows = units.select("*", F.explode(verbs).alias("verb")).where(can_anchor(F.col("verb")))
     at = F.regexp_instr(F.col("text"), whole_phrase(F.col("verb")))
