@@ -17,9 +17,9 @@ SHORT_SECONDS, SHORT_CALLS, LONG_SECONDS, LONG_CALLS = 600, 3, 86_400, 10
 
 
 def stream(spark: SparkSession, table: DataFrame, path: str) -> DataFrame:
-    """A stream over the Parquet files of a table."""
+    """A stream over a table, be it one Parquet file or a folder of them: a pattern may name either."""
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(table.schema).option("pathGlobFilter", name).parquet(folder)
+    return spark.readStream.schema(table.schema).parquet(f"{folder}/{{{name}}}")
 
 
 def run_to_end(out: DataFrame, path: str, mode: str = "append") -> DataFrame:

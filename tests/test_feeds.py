@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import datetime
+
+from lexmere.plans.catalog import QUERIES
 from lexmere.streaming import feeds
 
 
@@ -14,3 +17,14 @@ def test_refresh_goes_on_after_a_restart(spark, tmp_path):
     spark.createDataFrame([(3, 7), (2, 9), (1, 2)], schema).write.mode("append").parquet(source)
     assert run() == {(1, 5), (2, 9), (3, 7)}
     assert run() == {(1, 5), (2, 9), (3, 7)}
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    events = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+    rows = [(k, datetime.datetime(2024, 1, 1, k % 24), k % 3, "view", 1.0) for k in range(40)]
+    spark.createDataFrame(rows, events).repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")  # not read
+    got = {name: QUERIES[name](spark, str(tmp_path)) for name in ("tumbling_counts", "change_feed_refresh", "stateful_rate_limit", "cache_outcomes")}
+    assert got["tumbling_counts"].agg({"n": "sum"}).first()[0] == 40
+    assert {tuple(r) for r in got["change_feed_refresh"].collect()} == {(0, 39), (1, 37), (2, 38)}
+    assert got["stateful_rate_limit"].count() == got["cache_outcomes"].count() == 40
