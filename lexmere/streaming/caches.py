@@ -11,39 +11,48 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexmere.functions.shared import shared_dir
 from lexmere.plans.registry import Tables, query
-from lexmere.streaming.feeds import run_to_end, stream
+from lexmere.streaming.feeds import in_parts, run_to_end, stream, with_nulls, without_nulls
 
 #: How long an answer lives, in seconds: a week, a day, six hours, a quarter of an hour.
 LIVES = (604_800, 86_400, 21_600, 900)
 
 
-def cached_reads(reads: DataFrame, late: str = "1 hour") -> DataFrame:
+def cached_reads(reads: DataFrame, late: str = "1 hour", longest: int = max(LIVES)) -> DataFrame:
     """reads (read_id, entry, at timestamp, life seconds): whether each was answered from the cache, and the age of the
     answer (read_id, entry, hit, age).
 
     A read finds what the last miss has stored unless that is older than the read's life; a miss stores its answer anew.
-    Reads of one time go by read_id. State is one time for each entry; a timer drops it once no read can find it, which
-    changes no outcome. Reads of null entries or times don't count, nor do those later than ``late`` in a later batch.
+    Reads of one time go by read_id, nulls last. State is one time for each entry of a part; entries that no read can find
+    are dropped when their part is read again, a timer drops the whole part. That changes no outcome of reads that live for
+    ``longest`` seconds, or for as long as an earlier one of their part. Reads of null entries or times don't count, nor do
+    those later than ``late`` in a later batch.
     """
 
     def answer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        stored, longest = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["second", "read_id"])
-        out = []
-        for read_id, second, life in rows[["read_id", "second", "life"]].itertuples(index=False):
+        entries, times, most = state.get if state.exists else ((), (), longest)
+        held = dict(zip(entries, times))
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["entry", "second", "no_read_id", "read_id"])
+        hits, found = [], []
+        for entry, second, life in rows[["entry", "second", "life"]].itertuples(index=False, name=None):
+            stored = held.get(entry)
             hit = stored is not None and second - stored <= life
-            stored, longest = stored if hit else second, max(longest, life)
-            out.append((read_id, key[0], hit, second - stored))
-        state.update((int(stored), int(longest)))
-        state.setTimeoutTimestamp(max((int(stored) + int(longest) + 1) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["read_id", "entry", "hit", "age"])
+            if not hit:
+                held[entry] = stored = second
+            hits.append(hit)
+            found.append(stored)
+        most, now = max(most, int(rows["life"].max())), state.getCurrentWatermarkMs()
+        last = (max(held.values()) + most + 1) * 1000
+        held = {entry: stored for entry, stored in held.items() if (stored + most + 1) * 1000 > now}
+        state.update((list(held), list(held.values()), most))
+        state.setTimeoutTimestamp(max(last, now + 1))
+        yield pd.DataFrame({"read_id": with_nulls(rows, "read_id"), "entry": rows["entry"], "hit": hits, "age": rows["second"] - found})
 
     timed = reads.where("entry is not null and at is not null").withWatermark("at", late)
-    timed = timed.select("read_id", "entry", "at", F.unix_seconds("at").alias("second"), F.coalesce("life", F.lit(0)).cast("long").alias("life"))
-    return timed.groupBy("entry").applyInPandasWithState(answer, "read_id long, entry long, hit boolean, age long", "stored long, longest long", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = timed.select(*without_nulls("read_id"), "entry", "at", F.unix_seconds("at").alias("second"), F.coalesce("life", F.lit(0)).cast("long").alias("life"))
+    return in_parts(timed, "entry").applyInPandasWithState(answer, "read_id long, entry long, hit boolean, age long", "entries array<long>, stored array<long>, longest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 @query("""
@@ -56,4 +65,4 @@ def cache_outcomes(t: Tables) -> DataFrame:
     """Events as reads of their user's answer, which lives for six hours."""
     at = F.date_trunc("second", F.col("ts").cast("timestamp"))
     reads = stream(t.spark, t.events, f"{t.sf_dir}/events.parquet").select(F.col("event_id").alias("read_id"), F.col("user_id").alias("entry"), at.alias("at"), F.lit(LIVES[2]).alias("life"))
-    return run_to_end(cached_reads(reads), shared_dir(t.spark, "cache"))
+    return run_to_end(cached_reads(reads, longest=LIVES[2]), shared_dir(t.spark, "cache"))

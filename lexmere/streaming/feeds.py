@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,6 +14,9 @@ from lexmere.functions.shared import shared_dir
 from lexmere.plans.registry import Tables, query
 
 SHORT_SECONDS, SHORT_CALLS, LONG_SECONDS, LONG_CALLS = 600, 3, 86_400, 10
+#: Keys with state go by parts, so many hashes of them: a group of pandas takes milliseconds, however few rows it has, so
+#: that a group for each key would take longer than its rows. Checkpoints hold for this number.
+PARTS = 1024
 
 
 def stream(spark: SparkSession, table: DataFrame, path: str) -> DataFrame:
@@ -36,25 +39,48 @@ def windowed_counts(events: DataFrame, late: str = "1 hour", size: str = "1 hour
     return out.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def in_parts(rows: DataFrame, key: str) -> GroupedData:
+    """rows grouped by parts, PARTS hashes of a key, for a function with state. Nulls are a key like any other."""
+    return rows.withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")).groupBy("part")
+
+
+def without_nulls(*names: str) -> list[Column]:
+    """Columns of numbers as 0 where they are null, and whether they are (no_<name>): pandas would make numbers inexact."""
+    return [x for name in names for x in (F.coalesce(name, F.lit(0)).cast("long").alias(name), F.col(name).isNull().alias(f"no_{name}"))]
+
+
+def with_nulls(rows: pd.DataFrame, name: str) -> pd.Series:
+    """A column that without_nulls made, with its nulls."""
+    return rows[name].astype("Int64").mask(rows[f"no_{name}"]) if rows[f"no_{name}"].any() else rows[name]
+
+
 def limit_calls(calls: DataFrame) -> DataFrame:
     """calls (event_id, user_id, at seconds): accepted or not. A user gets 3 calls in 10 minutes and 10 in a day;
-    rejected calls don't count, which is why the decision needs state."""
+    rejected calls don't count, which is why the decision needs state. A call without a time is accepted and doesn't count.
+
+    State is the accepted calls of each user of a part, those of the day before the last call."""
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        taken = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        out = []
-        for event_id, at in rows[["event_id", "at"]].itertuples(index=False):
-            taken = [x for x in taken if x > at - LONG_SECONDS]
+        held = dict(zip(*state.get)) if state.exists else {}
+        rows = pd.concat(list(batches), ignore_index=True)
+        rows = rows.sort_values(["no_user_id", "user_id", "no_at", "at", "no_event_id", "event_id"])
+        accepted = []
+        for user, nobody, at, timeless in rows[["user_id", "no_user_id", "at", "no_at"]].itertuples(index=False, name=None):
+            if timeless:
+                accepted.append(True)
+                continue
+            user = None if nobody else user
+            taken = [x for x in held.get(user, ()) if x > at - LONG_SECONDS]
             ok = len(taken) < LONG_CALLS and sum(x > at - SHORT_SECONDS for x in taken) < SHORT_CALLS
             if ok:
                 taken.append(at)
-            out.append((event_id, key[0], ok))
-        state.update((taken,))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "accepted"])
+            held[user] = taken
+            accepted.append(ok)
+        state.update((list(held), list(held.values())))
+        yield pd.DataFrame({"event_id": with_nulls(rows, "event_id"), "user_id": with_nulls(rows, "user_id"), "accepted": accepted})
 
-    return calls.groupBy("user_id").applyInPandasWithState(
-        decide, "event_id long, user_id long, accepted boolean", "taken array<long>", "append", GroupStateTimeout.NoTimeout
+    return in_parts(calls.select(*without_nulls("event_id", "user_id", "at")), "user_id").applyInPandasWithState(
+        decide, "event_id long, user_id long, accepted boolean", "users array<long>, taken array<array<long>>", "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmere.operators.stores import Batches, Store, within_budget
 from lexmere.streaming.caches import cached_reads
-from lexmere.streaming.feeds import run_to_end
+from lexmere.streaming.feeds import PARTS, limit_calls, run_to_end
 
 LAWS = "law_id string, v string"
 
@@ -100,3 +101,39 @@ def test_cache_over_several_batches_equals_a_replay(spark, tmp_path):
             stored[entry] = second
         want[read_id] = (entry, hit, second - stored[entry])
     assert {r.read_id: (r.entry, r.hit, r.age) for r in got.collect()} == want
+
+
+def test_cache_keeps_what_a_longer_life_can_find(spark, tmp_path):
+    """The first time is out of reach of its own life, and of the watermark, when a read with a week to live comes."""
+    for k, read in enumerate([(1, 1, 0, 60), (2, 2, 10_000, 60), (3, 3, 15_000, 60), (4, 1, 20_000, 604_800)]):
+        spark.createDataFrame([read], "read_id long, entry long, second long, life long").write.parquet(f"{tmp_path}/in/k={k}")
+    source = spark.readStream.schema("read_id long, entry long, second long, life long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    source = source.withColumn("at", F.timestamp_seconds(F.col("second") + 1_700_000_000))
+    got = run_to_end(cached_reads(source, "1 second"), f"{tmp_path}/run")
+    assert {tuple(r) for r in got.collect()} == {(1, 1, False, 0), (2, 2, False, 0), (3, 3, False, 0), (4, 1, True, 20_000)}
+
+
+def test_state_goes_by_parts_and_null_names_change_no_number(spark, tmp_path):
+    big = 2**60
+    rows = [(None if k % 7 == 0 else big + k, None if k % 11 == 0 else big + k % 3000, None if k % 13 == 0 else 1_700_000_000 + k // 5) for k in range(9000)]
+    for k in range(3):
+        spark.createDataFrame(rows[k * 3000 : k * 3000 + 3000], "event_id long, user_id long, at long").coalesce(1).write.parquet(f"{tmp_path}/in/k={k}")
+    source = spark.readStream.schema("event_id long, user_id long, at long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    reads = source.select(F.col("event_id").alias("read_id"), F.col("user_id").alias("entry"), F.timestamp_seconds("at").alias("at"), F.lit(500).alias("life"))
+    order = lambda r: (r[2] is None, r[2] or 0, r[0] is None, r[0] or 0)
+    hits, accepted, stored, taken = [], [], {}, {}
+    for event_id, user, at in sorted(rows, key=order):
+        if user is not None and at is not None:
+            hit = user in stored and at - stored[user] <= 500
+            stored[user] = stored[user] if hit else at
+            hits.append((event_id, user, hit, at - stored[user]))
+        mine = taken.setdefault(user, [])
+        ok = at is None or sum(x > at - 86_400 for x in mine) < 10 and sum(x > at - 600 for x in mine) < 3
+        if ok and at is not None:
+            mine.append(at)
+        accepted.append((event_id, user, ok))
+    for k, (out, want) in enumerate([(cached_reads(reads), hits), (limit_calls(source), accepted)]):
+        q = out.writeStream.format("parquet").option("path", f"{tmp_path}/{k}/out").option("checkpointLocation", f"{tmp_path}/{k}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{k}/out").collect()), key=repr) == sorted(want, key=repr)
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in map(lambda p: json.loads(p.json), q.recentProgress)) <= PARTS < 3000  # not a group for each of 3,000
