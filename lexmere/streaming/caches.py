@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexmere.functions.shared import shared_dir
 from lexmere.plans.registry import Tables, query
-from lexmere.streaming.feeds import in_parts, run_to_end, stream, with_nulls, without_nulls
+from lexmere.streaming.feeds import in_order, in_parts, run_to_end, stream, with_nulls, without_nulls
 
 #: How long an answer lives, in seconds: a week, a day, six hours, a quarter of an hour.
 LIVES = (604_800, 86_400, 21_600, 900)
@@ -34,21 +34,22 @@ def cached_reads(reads: DataFrame, late: str = "1 hour", longest: int = max(LIVE
             return
         entries, times, most = state.get if state.exists else ((), (), longest)
         held = dict(zip(entries, times))
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["entry", "second", "no_read_id", "read_id"])
-        hits, found = [], []
-        for entry, second, life in rows[["entry", "second", "life"]].itertuples(index=False, name=None):
-            stored = held.get(entry)
-            hit = stored is not None and second - stored <= life
-            if not hit:
-                held[entry] = stored = second
-            hits.append(hit)
-            found.append(stored)
-        most, now = max(most, int(rows["life"].max())), state.getCurrentWatermarkMs()
+        for rows in in_order(batches, ["entry", "second", "no_read_id", "read_id"], ("life",)):
+            hits, found = [], []
+            for entry, second, life in rows[["entry", "second", "life"]].itertuples(index=False, name=None):
+                stored = held.get(entry)
+                hit = stored is not None and second - stored <= life
+                if not hit:
+                    held[entry] = stored = second
+                hits.append(hit)
+                found.append(stored)
+            most = max(most, int(rows["life"].max()))
+            yield pd.DataFrame({"read_id": with_nulls(rows, "read_id"), "entry": rows["entry"], "hit": hits, "age": rows["second"] - found})
+        now = state.getCurrentWatermarkMs()
         last = (max(held.values()) + most + 1) * 1000
         held = {entry: stored for entry, stored in held.items() if (stored + most + 1) * 1000 > now}
         state.update((list(held), list(held.values()), most))
         state.setTimeoutTimestamp(max(last, now + 1))
-        yield pd.DataFrame({"read_id": with_nulls(rows, "read_id"), "entry": rows["entry"], "hit": hits, "age": rows["second"] - found})
 
     timed = reads.where("entry is not null and at is not null").withWatermark("at", late)
     timed = timed.select(*without_nulls("read_id"), "entry", "at", F.unix_seconds("at").alias("second"), F.coalesce("life", F.lit(0)).cast("long").alias("life"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
@@ -17,6 +18,8 @@ SHORT_SECONDS, SHORT_CALLS, LONG_SECONDS, LONG_CALLS = 600, 3, 86_400, 10
 #: Keys with state go by parts, so many hashes of them: a group of pandas takes milliseconds, however few rows it has, so
 #: that a group for each key would take longer than its rows. Checkpoints hold for this number.
 PARTS = 1024
+#: Results leave a task in frames of so many rows.
+FRAME = 10_000
 
 
 def stream(spark: SparkSession, table: DataFrame, path: str) -> DataFrame:
@@ -54,6 +57,14 @@ def with_nulls(rows: pd.DataFrame, name: str) -> pd.Series:
     return rows[name].astype("Int64").mask(rows[f"no_{name}"]) if rows[f"no_{name}"].any() else rows[name]
 
 
+def in_order(batches: Iterator[pd.DataFrame], by: list[str], also: tuple[str, ...] = ()) -> Iterator[pd.DataFrame]:
+    """Columns of a group's rows in order, as frames of a few rows each: the numbers are held at once, results are not."""
+    rows = pd.concat([b[[*by, *also]] for b in batches], ignore_index=True)
+    order = np.lexsort([rows[name].to_numpy() for name in reversed(by)])
+    for k in range(0, len(order), FRAME):
+        yield rows.iloc[order[k : k + FRAME]]
+
+
 def limit_calls(calls: DataFrame) -> DataFrame:
     """calls (event_id, user_id, at seconds): accepted or not. A user gets 3 calls in 10 minutes and 10 in a day;
     rejected calls don't count, which is why the decision needs state. A call without a time is accepted and doesn't count.
@@ -62,22 +73,21 @@ def limit_calls(calls: DataFrame) -> DataFrame:
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = dict(zip(*state.get)) if state.exists else {}
-        rows = pd.concat(list(batches), ignore_index=True)
-        rows = rows.sort_values(["no_user_id", "user_id", "no_at", "at", "no_event_id", "event_id"])
-        accepted = []
-        for user, nobody, at, timeless in rows[["user_id", "no_user_id", "at", "no_at"]].itertuples(index=False, name=None):
-            if timeless:
-                accepted.append(True)
-                continue
-            user = None if nobody else user
-            taken = [x for x in held.get(user, ()) if x > at - LONG_SECONDS]
-            ok = len(taken) < LONG_CALLS and sum(x > at - SHORT_SECONDS for x in taken) < SHORT_CALLS
-            if ok:
-                taken.append(at)
-            held[user] = taken
-            accepted.append(ok)
+        for rows in in_order(batches, ["no_user_id", "user_id", "no_at", "at", "no_event_id", "event_id"]):
+            accepted = []
+            for user, nobody, at, timeless in rows[["user_id", "no_user_id", "at", "no_at"]].itertuples(index=False, name=None):
+                if timeless:
+                    accepted.append(True)
+                    continue
+                user = None if nobody else user
+                taken = [x for x in held.get(user, ()) if x > at - LONG_SECONDS]
+                ok = len(taken) < LONG_CALLS and sum(x > at - SHORT_SECONDS for x in taken) < SHORT_CALLS
+                if ok:
+                    taken.append(at)
+                held[user] = taken
+                accepted.append(ok)
+            yield pd.DataFrame({"event_id": with_nulls(rows, "event_id"), "user_id": with_nulls(rows, "user_id"), "accepted": accepted})
         state.update((list(held), list(held.values())))
-        yield pd.DataFrame({"event_id": with_nulls(rows, "event_id"), "user_id": with_nulls(rows, "user_id"), "accepted": accepted})
 
     return in_parts(calls.select(*without_nulls("event_id", "user_id", "at")), "user_id").applyInPandasWithState(
         decide, "event_id long, user_id long, accepted boolean", "users array<long>, taken array<array<long>>", "append", GroupStateTimeout.NoTimeout

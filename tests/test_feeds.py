@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import datetime
 
+import pandas as pd
+
 from lexmere.plans.catalog import QUERIES
 from lexmere.streaming import feeds
 
@@ -28,3 +30,10 @@ def test_streams_read_tables_that_are_folders(spark, tmp_path):
     assert got["tumbling_counts"].agg({"n": "sum"}).first()[0] == 40
     assert {tuple(r) for r in got["change_feed_refresh"].collect()} == {(0, 39), (1, 37), (2, 38)}
     assert got["stateful_rate_limit"].count() == got["cache_outcomes"].count() == 40
+
+
+def test_a_long_group_comes_in_order_and_in_frames():
+    rows = pd.DataFrame({"at": [k * 7919 % 12_007 for k in range(25_000)], "id": [2**60 + k for k in range(25_000)], "unused": "x"})
+    frames = list(feeds.in_order(iter([rows[20_000:], rows[:20_000]]), ["at", "id"]))
+    assert [len(f) for f in frames] == [feeds.FRAME, feeds.FRAME, 5_000]
+    assert [tuple(r) for f in frames for r in f.itertuples(index=False)] == sorted(zip(rows["at"], rows["id"]))
