@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lexmere.functions.agreement import FORMS, NEGATIONS, NUMBERS, gender, inflect, said, table
 from lexmere.functions.numbers import quantities, quantity
-from lexmere.functions.shared import stage
+from lexmere.functions.shared import DEALT, dealt, stage
 from lexmere.functions.spans import anchors, citations
 
 MOST_RECORDS = 10_000
@@ -39,9 +39,9 @@ MINISTER_MARK, COMMITTEE_MARKS = "{השר}", ("{committee}", "{הוועדה}")
 YEAR_MARKS = {"{השנה שאחרי הבאה}": 2, "{השנה הבאה}": 1}
 CATEGORIES = ("people", "parties", "media", "groups", "places", "insults")
 
+DIGIT = re.compile("[0-9]")
 LETTER = r"[\p{L}\p{N}_]"
 VALUES = "struct<masked:string,values:array<struct<text:string,start:int,kind:string>>>"
-LINE = "array<struct<text:string,record:string>>"
 
 
 # --- records -------------------------------------------------------------------------------------------------------------
@@ -123,6 +123,10 @@ def _read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         masked, values = [], []
         for text in texts:
             text = text or ""
+            if not DIGIT.search(text):  # no value, and no year that a citation ends with
+                masked.append(text)
+                values.append([])
+                continue
             cut = text
             for start, end in citations(text):
                 cut = cut[:start] + "\0" * (end - start) + cut[end:]
@@ -136,12 +140,13 @@ def scopes(units: DataFrame) -> DataFrame:
     units beside them, the minister that a record's mark stands for, the values that may change, and the text without
     the laws that it cites. Null and empty texts are no scope; equal units stay apart by their place. A minister is the one
     that the section names, else the one that the bill names, else "the minister" if the bill says so; a section that
-    names two has none."""
-    section = Window.partitionBy("bill", "section")
+    names two has none. Units are dealt out by bill once, and one sort serves all windows."""
+    units = dealt(units, "bill")
+    section = Window.partitionBy(DEALT, "bill", "section")
     after = F.lead("labels").over(section.orderBy("unit"))
     names = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(NAMED_MINISTER), F.lit(1)), lambda x: F.regexp_replace(x, r"\s+", " "))
     distinct = lambda w: F.array_distinct(F.flatten(F.collect_set(F.array_distinct("__names")).over(w)))
-    whole = Window.partitionBy("bill")
+    whole = Window.partitionBy(DEALT, "bill")
     placed = (
         units.withColumns({"__names": names, "__n": F.size("labels"), "__after": after})
         .withColumns({"has_units": F.max(F.col("__n") > 0).over(section), "top_units": F.sum(F.when(F.col("__n") == 1, 1).otherwise(0)).over(section)})
@@ -197,13 +202,34 @@ def _line(text: Column, record: Column | None = None) -> Column:
     return F.struct(text.alias("text"), (F.lit("") if record is None else record).alias("record"))
 
 
-def _point(rows: DataFrame, family: str, op: str, anchor: Column, lines: Column, pos: Column, budget: Column | None = None) -> DataFrame:
-    """Points of one family. Alternatives without a text, or with one that stands before them, go."""
-    place = F.struct(F.col("section").cast("long"), F.lit(0), F.col("unit").cast("long"), F.lit(FAMILIES.index(family)), pos.cast("long")).alias("place")
+def _point(rows: DataFrame, family: str, op: str, anchor: Column, own: list[str], lines: Column, pos: Column, budget: Column | None = None, records: DataFrame | None = None, tail: int = 0) -> DataFrame:
+    """Points of one family, dealt by bill. Alternatives without a text, or with one that stands before them, go.
+
+    Lines are made of a point's address and anchor, of its own columns, and of the records. So of points that are alike
+    in all of these the first one is as good as all: only it gets lines, and only those that no other point alike in
+    address and anchor has before it. One sort by place serves both windows; what is dealt and sorted has no lines yet."""
+    place = F.struct(F.col("section").cast("long"), F.lit(tail), F.col("unit").cast("long"), F.lit(FAMILIES.index(family)), pos.cast("long")).alias("place")
     money = (F.lit(False) if budget is None else budget).alias("budget")
-    made = rows.select("bill", "section", "unit", F.lit(family).alias("family"), F.lit(op).alias("op"), anchor.alias("anchor"), "address", place, money, lines.cast(LINE).alias("lines"))
-    made = made.withColumn("lines", F.filter("lines", lambda x: x["text"].isNotNull())).withColumn("__texts", F.transform("lines", lambda x: x["text"]))
-    return made.withColumn("lines", F.filter("lines", lambda x, i: F.array_position("__texts", x["text"]) == i + 1)).drop("__texts")
+    made = dealt(rows.select("bill", "section", "unit", anchor.alias("anchor"), "address", place, money, *own), "bill")
+    alike = Window.partitionBy(DEALT, "bill", "address", "anchor").orderBy("place")
+    before = alike.rowsBetween(Window.unboundedPreceding, -1)
+    if own:
+        mine = F.struct(*own)
+        made = made.withColumn("__met", F.collect_set(mine).over(before)).where(~F.array_contains("__met", mine))
+    else:
+        made = made.withColumn("__met", F.row_number().over(alike)).where("__met = 1")
+    if records is not None:
+        made = made.join(F.broadcast(records), "anchor") if "anchor" in records.columns else made.crossJoin(F.broadcast(records))
+    texts = lambda xs: F.transform(xs, lambda x: x["text"])
+    said = made.withColumn("lines", F.filter(lines, lambda x: x["text"].isNotNull()))
+    if own:
+        said = said.withColumn("__before", F.flatten(F.collect_list(texts("lines")).over(before)))
+        fresh = F.when(F.size("__before") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("__before", x["text"])))
+        said = said.withColumn("lines", fresh)
+    said = said.where(F.size("lines") > 0)
+    once = F.filter("lines", lambda x, i: F.array_position(texts("lines"), x["text"]) == i + 1)
+    said = said.withColumn("lines", F.when(F.size(F.array_distinct(texts("lines"))) == F.size("lines"), F.col("lines")).otherwise(once))
+    return said.select(DEALT, "bill", "section", "unit", F.lit(family).alias("family"), F.lit(op).alias("op"), "anchor", "place", "budget", "lines")
 
 
 def value_points(units: DataFrame, level: str) -> DataFrame:
@@ -214,34 +240,35 @@ def value_points(units: DataFrame, level: str) -> DataFrame:
     free = F.filter("values", lambda a: ~F.exists(spans, lambda s: (s["s"] - 1 < a["start"] + F.length(a["text"])) & (a["start"] < s["s"] - 1 + s["n"])))
     bare = found.select("*", F.posexplode(free).alias("p", "a")).withColumn("n", F.col("a.text").cast("long"))
     bare = bare.where(can_anchor(F.col("a.text")))
-    n = F.col("n")
+    n, anchor = F.col("n"), F.col("anchor")
     numbers = {"serious": (n + 1, n - 1, n + 2, n - 2), "clever": (1, 7, 10, 100), "absurd": (365, 1000, 10_000)}[level]
     years = {"serious": (n + 1, n + 2, n - 1), "clever": (n + 10, 1948), "absurd": (2100, 3000)}[level]
     days = {"serious": (n - 1, n - 2, n - 3), "clever": (1, 15), "absurd": ()}[level]
     told = lambda xs: F.array(*[(x if isinstance(x, Column) else F.lit(x)).cast("long") for x in xs]).cast("array<bigint>")
     is_year = F.col("a.kind") == "gregorian_year"
     is_day = ~is_year & F.substr("text", F.col("a.start") + F.length("a.text") + 1).rlike(DAY_OF_MONTH)
+    bare = bare.withColumns({"is_year": is_year, "is_day": is_day})
     day_values = F.filter(told(days), lambda v: (v >= 1) & ((v <= 28) | ((v <= 31) & (v < n))) & (v != n))
-    other_values = F.filter(F.when(is_year, told(years)).otherwise(told(numbers)), lambda v: (v > 0) & (v != n))
-    plain_form = is_day | is_year
-    bare_lines = F.transform(F.when(is_day, day_values).otherwise(other_values), lambda v: _line(_replace(F.col("a.text"), F.when(plain_form, v.cast("string")).otherwise(F.format_number(v, 0)))))
-    points = _point(bare, "value_change", "replace", F.col("a.text"), bare_lines, F.col("p"))
+    other_values = F.filter(F.when(F.col("is_year"), told(years)).otherwise(told(numbers)), lambda v: (v > 0) & (v != n))
+    plain_form = F.col("is_day") | F.col("is_year")
+    bare_lines = F.transform(F.when(F.col("is_day"), day_values).otherwise(other_values), lambda v: _line(_replace(anchor, F.when(plain_form, v.cast("string")).otherwise(F.format_number(v, 0)))))
+    points = _point(bare, "value_change", "replace", F.col("a.text"), ["n", "is_year", "is_day"], bare_lines, F.col("p"))
 
-    q = found.select("*", F.posexplode("__q").alias("p", "q")).where(can_anchor(F.col("q.text")))
-    v = F.col("q.value")
+    q = found.select("*", F.posexplode("__q").alias("p", "q")).where(can_anchor(F.col("q.text"))).withColumns({c: F.col(f"q.{c}") for c in ("value", "digits")}).withColumn("of", F.col("q.unit"))
+    v, of = F.col("value"), F.col("of")
     whole = F.lit(None).cast("long")
     levels = {"serious": (v * 2, v * 3, v * 4, F.when((v % 2 == 0) & (v >= 2), F.floor(v / 2)).otherwise(whole)), "clever": (v + 1, v * 10, 7, 1), "absurd": (v * 100, v * 1000)}[level]
     news = F.filter(F.array_distinct(told(levels)), lambda x: x.isNotNull() & (x != v) & (x > 0) & (x < 100_000))
-    comma = F.contains("q.text", F.lit(","))
-    behind = F.regexp_extract("q.text", r"\s(\S+)$", 1)
+    comma = F.contains("anchor", F.lit(","))
+    behind = F.regexp_extract("anchor", r"\s(\S+)$", 1)
     in_digits = lambda x: F.concat(F.when(comma | (x >= 1000), F.format_number(x, 0)).otherwise(x.cast("string")), F.lit(" "), behind)
-    formed = F.transform(news, lambda x: _line(_replace(F.col("q.text"), F.when(F.col("q.digits"), in_digits(x)).otherwise(quantity(x, F.col("q.unit"))))))
-    points = points.unionByName(_point(q, "value_change", "replace", F.col("q.text"), formed, 1_000_000 + 2 * F.col("p") + 1, F.col("q.unit").isin(*MONEY)))
+    formed = F.transform(news, lambda x: _line(_replace(anchor, F.when(F.col("digits"), in_digits(x)).otherwise(quantity(x, of)))))
+    points = points.unionByName(_point(q, "value_change", "replace", F.col("q.text"), ["value", "digits", "of"], formed, 1_000_000 + 2 * F.col("p") + 1, of.isin(*MONEY)))
     if level == "absurd":
-        larger = F.element_at(F.create_map(*[F.lit(x) for p in LARGER.items() for x in p]), F.col("q.unit"))
+        larger = F.element_at(F.create_map(*[F.lit(x) for p in LARGER.items() for x in p]), of)
         word = F.regexp_extract("q.text", r"(\S+)$", 1)
-        swapped = q.where(~F.col("q.digits") & larger.isNotNull() & can_anchor(word))
-        points = points.unionByName(_point(swapped, "value_change", "replace", word, F.array(_line(_replace(word, larger))), 1_000_000 + 2 * F.col("p")))
+        swapped = q.withColumn("larger", larger).where(~F.col("digits") & F.col("larger").isNotNull() & can_anchor(word))
+        points = points.unionByName(_point(swapped, "value_change", "replace", word, ["larger"], F.array(_line(_replace(anchor, F.col("larger")))), 1_000_000 + 2 * F.col("p")))
     return points
 
 
@@ -253,11 +280,12 @@ def deletion_points(units: DataFrame) -> DataFrame:
     words = lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
     rows = units.select("*", F.posexplode(phrases).alias("p", "phrase"))
     rows = rows.where((words(F.col("text")) - words(F.col("phrase")) >= 4) & can_anchor(F.col("phrase")))
-    line = F.when(words(F.col("phrase")) == 1, _quoted('המילה "', F.col("phrase"), '" – תימחק.')).otherwise(_quoted('המילים "', F.col("phrase"), '" – יימחקו.'))
+    phrase = F.col("anchor")
+    line = F.when(words(phrase) == 1, _quoted('המילה "', phrase, '" – תימחק.')).otherwise(_quoted('המילים "', phrase, '" – יימחקו.'))
     gone = units.where((F.size("labels") == 1) & (F.col("top_units") >= 2) & F.col("certain") & F.col("kind").isin("paragraph", "subsection"))
     label = F.get("labels", F.lit(0))
-    unit_line = F.concat(F.when(F.col("kind") == "subsection", F.lit("סעיף קטן ")).otherwise("פסקה "), label, F.when(F.col("kind") == "subsection", " – יימחק.").otherwise(" – תימחק."))
-    return _point(rows, "deletion", "delete", F.col("phrase"), F.array(_line(line)), F.col("p")).unionByName(_point(gone, "deletion", "delete_unit", label, F.array(_line(unit_line)), F.lit(1_000_000)))
+    unit_line = F.concat(F.when(F.col("kind") == "subsection", F.lit("סעיף קטן ")).otherwise("פסקה "), F.col("anchor"), F.when(F.col("kind") == "subsection", " – יימחק.").otherwise(" – תימחק."))
+    return _point(rows, "deletion", "delete", F.col("phrase"), [], F.array(_line(line)), F.col("p")).unionByName(_point(gone, "deletion", "delete_unit", label, ["kind"], F.array(_line(unit_line)), F.lit(1_000_000)))
 
 
 def with_actors(units: DataFrame) -> DataFrame:
@@ -277,31 +305,32 @@ def resolved(text: Column, minister: Column) -> Column:
 
 def actor_points(units: DataFrame, records: DataFrame) -> DataFrame:
     """Another actor in an actor's place. One of the other gender takes the verb along, if that has a form for it."""
-    rows = with_actors(units).crossJoin(F.broadcast(records.select("actor_swap")))
-    mine, actor = gender(F.col("actor")), F.col("actor")
-    both = F.concat(actor, F.lit(" "), F.col("behind"))
-    rows = rows.withColumns({"__mine": mine, "__both": can_anchor(both), "__m": inflect(F.col("behind"), F.lit("m")), "__f": inflect(F.col("behind"), F.lit("f"))})
+    rows = with_actors(units)
+    rows = rows.withColumn("both", can_anchor(F.concat("actor", F.lit(" "), "behind")))
+    actor, behind = F.col("anchor"), F.col("behind")
+    mine, both = gender(actor), F.concat(actor, F.lit(" "), behind)
+    forms = F.struct(mine.alias("mine"), inflect(behind, F.lit("m")).alias("m"), inflect(behind, F.lit("f")).alias("f"))
 
-    def line(r: Column) -> Column:
+    def line(r: Column, own: Column) -> Column:
         new = resolved(r["text"], F.col("minister"))
-        other = F.when(r["gender"] == "m", F.col("__m")).otherwise(F.col("__f"))
-        with_verb = F.when(F.col("__both") & other.isNotNull(), _replace(both, F.concat(new, F.lit(" "), other)))
-        said_so = F.when(r["gender"] == F.col("__mine"), _replace(actor, new)).otherwise(with_verb)
-        return _line(F.when((new != actor) & r["gender"].isNotNull() & F.col("__mine").isNotNull(), said_so), r["id"])
+        other = F.when(r["gender"] == "m", own["m"]).otherwise(own["f"])
+        with_verb = F.when(F.col("both") & other.isNotNull(), _replace(both, F.concat(new, F.lit(" "), other)))
+        said_so = F.when(r["gender"] == own["mine"], _replace(actor, new)).otherwise(with_verb)
+        return _line(F.when((new != actor) & r["gender"].isNotNull() & own["mine"].isNotNull(), said_so), r["id"])
 
-    return _point(rows, "actor_swap", "replace", actor, F.transform("actor_swap", line), F.col("p"))
+    lines = F.flatten(F.transform(F.array(forms), lambda own: F.transform("actor_swap", lambda r: line(r, own))))  # forms are made once a row
+    return _point(rows, "actor_swap", "replace", F.col("actor"), ["minister", "behind", "both"], lines, F.col("p"), records=records.select("actor_swap"))
 
 
 def approval_points(units: DataFrame, records: DataFrame) -> DataFrame:
     """Approval or advice of others behind an actor, never the actor's own."""
-    rows = with_actors(units).crossJoin(F.broadcast(records.select("approval")))
-    actor = F.col("actor")
+    actor = F.col("anchor")
 
     def line(r: Column) -> Column:
         text = resolved(r["text"], F.col("minister"))
         return _line(F.when(~F.endswith(text, F.concat(F.lit(" "), actor)) & (r["value"] != actor), _quoted('אחרי "', actor, '" יבוא "', text, '".')), r["id"])
 
-    return _point(rows, "approval", "after", actor, F.transform("approval", line), F.col("p"))
+    return _point(with_actors(units), "approval", "after", F.col("actor"), ["minister"], F.transform("approval", line), F.col("p"), records=records.select("approval"))
 
 
 def any_of(words: list[str]) -> str:
@@ -339,27 +368,26 @@ def duty_points(units: DataFrame, records: DataFrame) -> DataFrame:
     spread = pairs.select("p", "r", numbers).select("p", "k", F.col("r.id").alias("id"), form(source).alias("verb"), form(target).alias("new"), known.alias("known"))
     spread = spread.where("known AND verb IS NOT NULL AND new IS NOT NULL AND verb <> new")
     by_verb = spread.groupBy("verb").agg(F.array_sort(F.collect_list(F.struct("p", "k", "new", "id"))).alias("news"))  # at most four rows a record
-    rows = with_verbs(units).join(F.broadcast(by_verb), "verb")
     first = F.get("news", F.lit(0))
-    return _point(rows, "duty", "replace", F.col("verb"), F.transform("news", lambda x: _line(_replace(F.col("verb"), x["new"]), x["id"])), first["p"] * 4 + first["k"])
+    rows = with_verbs(units).join(F.broadcast(by_verb.select("verb", (first["p"] * 4 + first["k"]).alias("at"))), "verb")
+    lines = F.transform("news", lambda x: _line(_replace(F.col("anchor"), x["new"]), x["id"]))
+    return _point(rows, "duty", "replace", F.col("verb"), [], lines, F.col("at"), records=by_verb.withColumnRenamed("verb", "anchor"))
 
 
 def modifier_points(units: DataFrame, records: DataFrame) -> DataFrame:
     """Words put behind a verb."""
     order = {f: str(i) for i, f in enumerate(FORMS)}
-    rows = with_verbs(units).crossJoin(F.broadcast(records.select("verb_modifier")))
     place = F.element_at(table(order), F.col("verb")).cast("long")
-    lines = F.transform("verb_modifier", lambda r: _line(_replace(F.col("verb"), F.concat(F.col("verb"), F.lit(" "), r["text"])), r["id"]))
-    return _point(rows, "verb_modifier", "modify", F.col("verb"), lines, place)
+    lines = F.transform("verb_modifier", lambda r: _line(_replace(F.col("anchor"), F.concat("anchor", F.lit(" "), r["text"])), r["id"]))
+    return _point(with_verbs(units), "verb_modifier", "modify", F.col("verb"), [], lines, place, records=records.select("verb_modifier"))
 
 
 def condition_points(units: DataFrame, records: DataFrame) -> DataFrame:
     """Conditions at the end of units without units below them."""
-    rows = units.where(F.col("leaf") & F.col("certain")).crossJoin(F.broadcast(records.select("conditions")))
     feminine = F.col("kind").isin("paragraph", "subparagraph", "lead") & (F.col("address") != "")
-    end = F.when(feminine, "בסופה").otherwise("בסופו")
-    lines = F.transform("conditions", lambda r: _line(_quoted(end, ' יבוא "', resolved(r["text"], F.col("minister")), '".'), r["id"]))
-    return _point(rows, "conditions", "append", F.lit(""), lines, F.lit(0))
+    rows = units.where(F.col("leaf") & F.col("certain")).withColumn("end", F.when(feminine, "בסופה").otherwise("בסופו"))
+    lines = F.transform("conditions", lambda r: _line(_quoted(F.col("end"), ' יבוא "', resolved(r["text"], F.col("minister")), '".'), r["id"]))
+    return _point(rows, "conditions", "append", F.lit(""), ["end", "minister"], lines, F.lit(0), records=records.select("conditions"))
 
 
 def closing_points(sections: DataFrame, units: DataFrame, records: DataFrame) -> DataFrame:
@@ -377,11 +405,9 @@ def closing_points(sections: DataFrame, units: DataFrame, records: DataFrame) ->
     rows = rows.select("bill", F.col("l.section").alias("section"), F.lit(0).alias("unit"), "taken", number.alias("n"), F.posexplode(told).alias("p", "r"))
     margin = F.split_part("r.text", F.lit("|"), F.lit(1))
     body = F.when(F.contains("r.text", F.lit("|")), F.substr("r.text", F.length(margin) + 2)).otherwise("")
-    line = F.concat(F.lit('אחרי הסעיף יבוא: "'), margin, F.lit(" "), (F.col("n") + 1).cast("string"), F.lit(". "), body, F.lit('"'))
-    free = rows.where(F.col("r.text").isNotNull() & ~F.array_contains("taken", squeezed(margin)))
-    place = F.struct(F.col("section").cast("long"), F.lit(1), F.lit(0).cast("long"), F.lit(FAMILIES.index("after_last")), F.col("p").cast("long"))
-    lines = F.array(_line(line, F.col("r.id"))).cast(LINE)
-    return free.select("bill", "section", "unit", F.lit("after_last").alias("family"), F.lit("after").alias("op"), margin.alias("anchor"), F.lit("").alias("address"), place.alias("place"), F.lit(False).alias("budget"), lines.alias("lines"))
+    line = F.concat(F.lit('אחרי הסעיף יבוא: "'), F.col("anchor"), F.lit(" "), (F.col("n") + 1).cast("string"), F.lit(". "), F.col("body"), F.lit('"'))
+    free = rows.where(F.col("r.text").isNotNull() & ~F.array_contains("taken", squeezed(margin))).withColumns({"address": F.lit(""), "body": body, "id": F.col("r.id")})
+    return _point(free, "after_last", "after", margin, ["n", "body", "id"], F.array(_line(line, F.col("id"))), F.col("p"), tail=1)
 
 
 # --- pool and plan -------------------------------------------------------------------------------------------------------
@@ -392,8 +418,8 @@ def points(units: DataFrame, records: DataFrame, level: str = "serious", familie
     the first point in document order keeps an instruction that others repeat, and a point with none left is none.
 
     Instructions of different families, actions, addresses or anchors differ in words, so that only points alike in
-    these meet; of them each different array of lines counts once, and arrays are as many as ministers named."""
-    said_of = stage(scopes(units), "scopes")
+    these meet, within their family (``_point``). All points of a bill are in the part that it is dealt to."""
+    said_of = stage(scopes(units).drop(DEALT), "scopes")
     records = stage(records, "bank")
     made = {
         "value_change": lambda: value_points(said_of, level),
@@ -405,17 +431,12 @@ def points(units: DataFrame, records: DataFrame, level: str = "serious", familie
         "conditions": lambda: condition_points(said_of, records),
         "verb_modifier": lambda: modifier_points(said_of, records),
     }
-    found = reduce(DataFrame.unionByName, [made[f]() for f in FAMILIES if f in families]).where(F.size("lines") > 0)
-    alike = ["bill", "family", "op", "address", "anchor"]
-    first = found.groupBy(*alike, "lines").agg(F.min(F.struct("place", "section", "unit", "budget")).alias("f"))
-    earlier = F.collect_list(F.transform("lines", lambda x: x["text"])).over(Window.partitionBy(*alike).orderBy("f.place").rowsBetween(Window.unboundedPreceding, -1))
-    fresh = first.withColumn("__before", F.flatten(earlier)).withColumn("lines", F.filter("lines", lambda x: ~F.array_contains("__before", x["text"])))
-    return fresh.where(F.size("lines") > 0).select("bill", "f.section", "f.unit", "family", "op", "anchor", "f.place", "f.budget", "lines")
+    return reduce(DataFrame.unionByName, [made[f]() for f in FAMILIES if f in families])
 
 
 def pool(found: DataFrame) -> DataFrame:
     """Every line of every point: a row each (bill, section, unit, family, op, anchor, depth from 1, text, record, budget)."""
-    rows = found.select("*", F.posexplode("lines").alias("p", "line"))
+    rows = found.select("*", F.posexplode(F.coalesce("lines", F.array())).alias("p", "line"))  # no column by itself: filters made of it would make the lines again
     return rows.select("bill", "section", "unit", "family", "op", "anchor", (F.col("p") + 1).alias("depth"), "line.text", "line.record", "budget")
 
 
