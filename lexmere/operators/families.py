@@ -442,19 +442,22 @@ def pool(found: DataFrame) -> DataFrame:
 
 def planned(found: DataFrame, n: int) -> DataFrame:
     """Up to n lines a bill: a first one of every point in document order, then second ones, and so on; rows as in
-    ``pool``. How deep whole rounds go follows from the points' sizes alone (a row for each size that a bill has), and the
-    rest is taken from the first points that are larger, so that no line is made that isn't taken."""
-    sized = found.withColumn("size", F.size("lines"))
-    up, down = Window.partitionBy("bill").orderBy("size"), Window.partitionBy("bill").orderBy(F.desc("size"))
-    steps = sized.groupBy("bill", "size").agg(F.count(F.lit(1)).alias("c"))
-    steps = steps.withColumns({"below": F.lag("size", 1, 0).over(up), "points": F.sum("c").over(down)})
-    steps = steps.withColumn("taken", F.sum((F.col("size") - F.col("below")) * F.col("points")).over(up))
-    start = F.col("taken") - (F.col("size") - F.col("below")) * F.col("points")
-    inside = F.when((start <= n) & (F.col("taken") > n), F.struct((F.col("below") + F.floor((n - start) / F.col("points"))).alias("rounds"), ((n - start) % F.col("points")).alias("rest")))
-    depth = steps.groupBy("bill").agg(F.max(inside).alias("d"), F.max("size").alias("deepest"))
-    depth = depth.select("bill", F.coalesce("d.rounds", F.col("deepest")).cast("int").alias("rounds"), F.coalesce("d.rest", F.lit(0)).alias("rest"))
-    met = sized.join(depth, "bill").withColumn("more", F.col("size") > F.col("rounds"))
-    turn = F.row_number().over(Window.partitionBy("bill", "more").orderBy("place"))
-    taken = F.least("size", F.col("rounds")) + F.when(F.col("more") & (turn <= F.col("rest")), 1).otherwise(0)
-    rows = met.withColumn("taken", taken).where("taken > 0")
-    return pool(rows.withColumn("lines", F.slice("lines", F.lit(1), F.col("taken").cast("int"))))
+    ``pool``. Only the first n points of a bill and n lines of each can be taken; how deep whole rounds go follows from
+    their sizes alone, and the rest is taken from the first points that are larger. All windows are within a bill's part."""
+    bill = Window.partitionBy(DEALT, "bill")
+    first = dealt(found, "bill").withColumn("lines", F.slice("lines", 1, n)).withColumn("turn", F.row_number().over(bill.orderBy("place"))).where(F.col("turn") <= n)
+    sized = first.withColumn("size", F.size("lines"))
+    # With s whole rounds: the lines of points of up to s, and s of each larger one.
+    up = bill.orderBy("size").rangeBetween(Window.unboundedPreceding, 0)
+    sized = sized.withColumns({"__lines": F.sum("size").over(up), "__to": F.count(F.lit(1)).over(up), "__all": F.count(F.lit(1)).over(bill)})
+    sized = sized.withColumn("__taken", F.col("__lines") + F.col("size") * (F.col("__all") - F.col("__to")))
+    fits = F.struct(F.col("size").alias("size"), F.col("__taken").alias("taken"), F.col("__to").alias("to"))
+    base = F.max(F.when(F.col("__taken") <= n, fits)).over(bill)  # the largest size of which whole rounds fit
+    sized = sized.withColumns({"__base": F.coalesce(base, F.struct(F.lit(0).alias("size"), F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("to")))})
+    larger, left = F.col("__all") - F.col("__base.to"), n - F.col("__base.taken")
+    sized = sized.withColumn("rounds", F.when(larger > 0, F.col("__base.size") + F.floor(left / larger)).otherwise(F.col("size"))).withColumn("rest", F.when(larger > 0, left % larger).otherwise(0))
+    sized = sized.withColumn("more", F.col("size") > F.col("rounds"))
+    turn = F.count_if("more").over(bill.orderBy("place"))
+    taken = F.least(F.col("size"), F.col("rounds")) + F.when(F.col("more") & (turn <= F.col("rest")), 1).otherwise(0)
+    rows = sized.withColumn("taken", taken.cast("int")).where("taken > 0")
+    return pool(rows.withColumn("lines", F.slice("lines", F.lit(1), F.col("taken"))))
